@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import quality_rules
+from glyphmill.llm import language_id, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
+    "op9_secret_scan": secret_scan.query,
 }
 
 ORACLES = {
