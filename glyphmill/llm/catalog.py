@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import language_id, quality_rules, secret_scan
+from glyphmill.llm import cap_filters, language_id, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op3_quality_rules": quality_rules.query,
+    "op5_simhash": simhash.query,
     "op9_secret_scan": secret_scan.query,
+    "op10_cap_filters": cap_filters.query,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.SQL,
+    "op10_cap_filters": cap_filters.SQL,
 }
