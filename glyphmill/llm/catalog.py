@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import cap_filters, language_id, quality_rules, secret_scan, simhash
+from glyphmill.llm import cap_filters, language_id, packing, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_packing": packing.query,
     "op3_quality_rules": quality_rules.query,
     "op5_simhash": simhash.query,
     "op9_secret_scan": secret_scan.query,

@@ -1,0 +1,57 @@
+"""Texts cut at single spaces, so that what a tokenizer makes of a chunk can be kept and used again.
+
+A space between two characters that aren't white space always begins a match of the usual pre-tokenizing pattern,
+and no match crosses it. So a text falls into chunks that are tokenized each for itself, with their leading space.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+from typing import Generic, TypeVar
+
+V = TypeVar("V")
+
+#: Characters taken at once (longer where no boundary comes), and chunks kept until the memory is emptied.
+SLICE, KEPT = 1 << 18, 1 << 17
+_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+
+
+class Chunks(Generic[V]):
+    """Values of a text's chunks by ``encode``, which gets lists of chunks."""
+
+    def __init__(self, encode: Callable[[list[str]], list[V]]) -> None:
+        self.encode, self.kept = encode, {}
+
+    def __call__(self, text: str) -> Iterator[list[V]]:
+        """Lists of values, slice by slice."""
+        at, size = 0, len(text)
+        while at < size:
+            cut = _BOUNDARY.search(text, at + SLICE) if size - at > 2 * SLICE else None
+            end = cut.start() if cut else size
+            yield self._slice(text[at:end], at == 0, end == size)
+            at = end
+
+    def _slice(self, text: str, first: bool, last: bool) -> list[V]:
+        parts = text.split(" ")
+        if not first:
+            parts = parts[1:]
+        inner = parts[first : len(parts) - last]
+        values = list(map(self.kept.get, inner))
+        if None in values:
+            new = {p for p, v in zip(inner, values, strict=True) if v is None}
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
+                parts = _BOUNDARY.split(text if first else text[1:])
+                inner = parts[first : len(parts) - last]
+                new = {p for p in inner if p not in self.kept}
+            if len(self.kept) + len(new) > KEPT:
+                self.kept.clear()
+                new = set(inner)
+            new = list(new)
+            got = dict(zip(new, self.encode([f" {p}" for p in new]), strict=True))
+            if len(new) <= KEPT:
+                self.kept |= got
+            values = [got[p] if p in got else self.kept[p] for p in inner]
+        if first and len(parts) == 1:
+            return self.encode(parts)
+        return [*(self.encode([parts[0]]) if first else []), *values, *(self.encode([f" {parts[-1]}"]) if last else [])]
