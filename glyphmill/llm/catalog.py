@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import cap_filters, language_id, packing, quality_rules, secret_scan, simhash
+from glyphmill.llm import byte_bpe, cap_filters, language_id, packing, quality_rules, secret_scan, simhash
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_packing": packing.query,
     "op3_quality_rules": quality_rules.query,
+    "op4_byte_bpe": byte_bpe.query,
     "op5_simhash": simhash.query,
     "op9_secret_scan": secret_scan.query,
     "op10_cap_filters": cap_filters.query,

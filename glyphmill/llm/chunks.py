@@ -13,7 +13,7 @@ from typing import Generic, TypeVar
 V = TypeVar("V")
 
 #: Characters taken at once (longer where no boundary comes), and chunks kept until the memory is emptied.
-SLICE, KEPT = 1 << 18, 1 << 17
+SLICE, KEPT = 1 << 18, 1 << 18
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
