@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from glyphmill.llm import byte_bpe, cap_filters, language_id, packing, quality_rules, secret_scan, simhash
+from glyphmill.llm import (
+    byte_bpe,
+    cap_filters,
+    extendible_shards,
+    language_id,
+    packing,
+    quality_rules,
+    quote_links,
+    sanitise,
+    secret_scan,
+    simhash,
+)
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,11 +21,16 @@ QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_byte_bpe": byte_bpe.query,
     "op5_simhash": simhash.query,
+    "op6_sanitise": sanitise.query,
+    "op7_extendible_shards": extendible_shards.query,
+    "op8_quote_links": quote_links.query,
     "op9_secret_scan": secret_scan.query,
     "op10_cap_filters": cap_filters.query,
 }
 
 ORACLES = {
     "op3_quality_rules": quality_rules.SQL,
+    "op7_extendible_shards": extendible_shards.SQL,
+    "op8_quote_links": quote_links.SQL,
     "op10_cap_filters": cap_filters.SQL,
 }
