@@ -12,16 +12,18 @@ table gives no piece. Rows with a null doc_id are packed like others. Only doc_i
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmill.llm.chunks import Chunks
 from glyphmill.llm.common import table
 
 CAPACITY, CLOSING = 1024, 0
@@ -86,17 +88,52 @@ class Packer:
 
 _NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-_chunks: dict[int, Chunks[bytes]] = {}
 
 
-def _tokenizer(vocabulary: str) -> Chunks[bytes]:
-    """Chunks of text to their ids as unsigned 32-bit little-endian bytes; one for each worker."""
-    if (key := hash(vocabulary)) not in _chunks:
-        t = Tokenizer.from_str(vocabulary)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        as_bytes = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
-        _chunks[key] = Chunks(lambda parts: [as_bytes(e.ids) for e in t.encode_batch_fast(parts, add_special_tokens=False)])
-    return _chunks[key]
+class Ids:
+    """Ids of a text as unsigned 32-bit little-endian bytes, by the vocabulary of a tokenizer's file.
+
+    The file's merges are in the order of its ids, so its vocabulary serves as ranks, for which there is a faster
+    encoder with the same ids. A text that this one refuses, such as millions of white-space characters together,
+    goes through the tokenizer itself. Strings of special tokens in a text are ordinary text in both.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
+        parsed = json.loads(vocabulary)
+        special = {t["id"] for t in parsed["added_tokens"]}
+        byte_of = _byte_alphabet()
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if i not in special}
+        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.slow, self.vocabulary = None, vocabulary
+
+    def __call__(self, text: str) -> bytes:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return self.by_tokenizer(text)
+
+    def by_tokenizer(self, text: str) -> bytes:
+        if self.slow is None:
+            self.slow = Tokenizer.from_str(self.vocabulary)
+            self.slow.encode_special_tokens = True
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if printable, else the next from U+0100."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+_ids: dict[int, Ids] = {}
+
+
+def _encoder(vocabulary: str) -> Ids:
+    """One for each worker."""
+    if (key := hash(vocabulary)) not in _ids:
+        _ids[key] = Ids(vocabulary)
+    return _ids[key]
 
 
 def packed(docs: DataFrame, vocabulary_file: str | None = None) -> DataFrame:
@@ -108,7 +145,7 @@ def packed(docs: DataFrame, vocabulary_file: str | None = None) -> DataFrame:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, packer = _tokenizer(vocabulary.value), Packer(TaskContext.get().partitionId() << 32)
+        encode, packer = _encoder(vocabulary.value), Packer(TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
         size = 0
 
@@ -117,7 +154,7 @@ def packed(docs: DataFrame, vocabulary_file: str | None = None) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = b"".join([*(b"".join(x) for x in chunks(text.as_py() or "")), CLOSING.to_bytes(4, "little")])
+                ids = encode(text.as_py() or "") + CLOSING.to_bytes(4, "little")
                 size += len(ids)
                 rows += packer.add(doc_id.as_py(), ids)
                 if size > BATCH and rows:
