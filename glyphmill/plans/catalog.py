@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import roster, scores
+from glyphmill.plans import inputs, reports, roster, scores
 
-_ALL = {**scores.QUERIES, **roster.QUERIES}
+_ALL = {**scores.QUERIES, **roster.QUERIES, **reports.QUERIES, **inputs.QUERIES}
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
