@@ -53,9 +53,9 @@ def id_list(spark: SparkSession, path: str, pattern: str = r"^[A-Za-z0-9-]+$") -
 
 def forms(spark: SparkSession, path: str) -> DataFrame:
     """form, writer, line order, text and box of form XML; a last line that holds a signature is left out."""
-    schema = "_id string, _`writer-id` string, `handwritten-part` struct<line: array<struct<_id: string, _text: string, word: array<struct<cmp: array<struct<_x: int, _y: int, _width: int, _height: int>>>>>>>".replace("_`writer-id`", "`_writer-id`")
+    schema = "_id string, `_writer-id` string, `handwritten-part` struct<line: array<struct<_id: string, _text: string, word: array<struct<cmp: array<struct<_x: int, _y: int, _width: int, _height: int>>>>>>>"
     raw = spark.read.schema(schema).option("rowTag", "form").xml(path)
-    lines = raw.select(F.col("_id").alias("form"), F.col("`_writer-id`").alias("writer_id"), F.posexplode("handwritten-part.line").alias("at", "line"), F.size("handwritten-part.line").alias("n"))
+    lines = raw.select(F.col("_id").alias("form"), F.col("`_writer-id`").alias("writer_id"), F.posexplode("`handwritten-part`.line").alias("at", "line"), F.size("`handwritten-part`.line").alias("n"))
     parts = F.flatten(F.transform("line.word", lambda w: w["cmp"]))
     box = lambda f, e: F.array_max(F.transform(parts, e)) if f == "max" else F.array_min(F.transform(parts, e))
     out = lines.select("form", "writer_id", "at", "n", F.col("line._text").alias("text"), box("min", lambda c: c["_x"]).alias("left"), box("min", lambda c: c["_y"]).alias("top"), box("max", lambda c: c["_x"] + c["_width"]).alias("right"), box("max", lambda c: c["_y"] + c["_height"]).alias("bottom"))
