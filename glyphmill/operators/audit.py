@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.operators.components import connected_components
-from glyphmill.plans.cut import checkpointed
 
 #: Bits of a visual hash; any two within 4 bits agree on one of five runs.
 HASH_BITS, HASH_DISTANCE, RUN = 64, 4, 13
@@ -108,5 +107,3 @@ def grouped_split(samples: DataFrame, ratios: dict[str, float], seed: int) -> Da
     return out.select("sample_id", F.col("component").alias("split_group"), F.coalesce(split, F.lit(names[-1])).alias("split"))
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    return checkpointed(df)
