@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
+from glyphmill.operators.summary import with_measures
 
 
 def merge_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -58,8 +59,7 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, q: float) -> DataFram
 
 def worst(results: DataFrame, n: int) -> DataFrame:
     """The n results to look at first: failures, then by error rate."""
-    m = results.withColumn("m", F.when((F.col("status") == "success") & F.col("prediction").isNotNull(), t.score(F.col("prediction"), F.col("reference"), raw=False)))
-    rows = m.select("model", "sample_id", "status", F.col("m.cer").alias("cer"), t.flags(F.col("prediction"), F.col("truncated")).alias("flags"))
+    rows = with_measures(results).select("model", "sample_id", "status", F.col("m.cer").alias("cer"), t.flags(F.col("prediction"), F.col("truncated")).alias("flags"))
     return rows.orderBy((F.col("status") == "success").asc(), F.coalesce("cer", F.lit(-1.0)).desc(), "model", "sample_id").limit(n)
 
 

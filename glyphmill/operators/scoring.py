@@ -32,13 +32,21 @@ def track(content_type: Column) -> Column:
     return F.when(content_type == "equation", F.lit("equation")).otherwise(F.lit("prose"))
 
 
+def spread(df: DataFrame, key: str = "sample_id") -> DataFrame:
+    """df dealt out by key. Measuring costs far more than the bytes show, so small inputs mustn't be gathered into a task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def scored(results: DataFrame, raw: bool = False) -> DataFrame:
     """Successful results with their measures as columns. Equal predictions for a sample are measured once."""
     rest = [c for c in results.columns if c not in ("sample_id", "reference", "prediction")]
-    ok = results.where((F.col("status") == "success") & F.col("prediction").isNotNull())
-    pairs = ok.groupBy("sample_id", "reference", "prediction").agg(F.collect_list(F.struct(*rest)).alias("of"))
-    measured = pairs.withColumn("m", t.score(F.col("prediction"), F.col("reference"), raw)).where("m is not null")
-    return measured.select("sample_id", "reference", "prediction", "m", F.explode("of").alias("x")).select("sample_id", "reference", "prediction", "x.*", "m.*")
+    ok = results.where((F.col("status") == "success") & F.col("prediction").isNotNull() & (t.normalize_text(F.col("reference")) != ""))
+    pairs = spread(ok).groupBy("sample_id", "reference", "prediction").agg(F.collect_list(F.struct(*rest)).alias("of"))
+    # The measure goes into each element of the array, where no later step can pull it apart and compute it again.
+    m = t.score(F.col("prediction"), F.col("reference"), raw)
+    each = F.flatten(F.transform(F.array(m), lambda y: F.transform("of", lambda x: F.struct(x.alias("x"), y.alias("m")))))
+    measured = pairs.select("sample_id", "reference", "prediction", F.explode(each).alias("z"))
+    return measured.select("sample_id", "reference", "prediction", "z.x.*", "z.m.*")
 
 
 def spine(samples: DataFrame, models: DataFrame, passes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
+from glyphmill.operators.scoring import spread
 
 
 def number(value: Column) -> Column:
@@ -23,7 +24,7 @@ def _ratio(part: str, whole: str) -> Column:
 
 def with_measures(results: DataFrame) -> DataFrame:
     ok = (F.col("status") == "success") & F.col("prediction").isNotNull()
-    return results.withColumn("m", F.when(ok, t.score(F.col("prediction"), F.col("reference"), raw=False)))
+    return spread(results).withColumn("m", F.when(ok, t.score(F.col("prediction"), F.col("reference"), raw=False)))
 
 
 def _common(measured: DataFrame, by: list[str]) -> DataFrame:
