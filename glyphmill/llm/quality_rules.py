@@ -39,8 +39,8 @@ class Rule:
     low: int | None = None
     high: int | None = None
 
-    def column(self) -> Column:
-        part, whole = F.lit(100) * F.col(self.part), F.col(self.whole)
+    def column(self, m: Column) -> Column:
+        part, whole = F.lit(100) * m[self.part], m[self.whole]
         ok = F.lit(True)
         if self.low is not None:
             ok = ok & (part >= F.lit(self.low) * whole)
@@ -112,22 +112,33 @@ def measures(text: Column) -> Column:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words"]
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in ``keep`` (doc_id by default), the measures, base_failed, kept and the names of failed rules."""
-    keep = ["doc_id"] if keep is None else keep
-    inner = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
-    found = docs.select(*inner, measures(F.col("text")).alias("m"))
-    flat = found.select(*[F.col(f"keep_{i}") for i in range(len(keep))], "m.w.*", "m.l.*", "m.n_symbols")
-    failed = (F.col("n_words") < 20) | (F.lit(100) * F.col("n_repeat_words") > F.lit(30) * F.col("n_words"))
-    names = F.array_compact(F.array(*[F.when(~r.column(), F.lit(r.name)) for r in rules]))
-    flat = flat.withColumns({"base_failed": failed, "failed_rules": names})
-    return flat.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], *MEASURES, "base_failed", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the measures, base_failed, kept and the names of failed rules.
+
+    The measures are bound before they are compared: a filter on the verdict computes them once.
+    """
+
+    def judged_(m: Column) -> Column:
+        flat = {c: m["w"][c] for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {c: m["l"][c] for c in ("n_lines", "n_dup_lines")} | {"n_symbols": m["n_symbols"]}
+        return let(F.struct(*[flat[c].alias(c) for c in MEASURES]), with_rules)
+
+    def with_rules(m: Column) -> Column:
+        failed = (m["n_words"] < 20) | (F.lit(100) * m["n_repeat_words"] > F.lit(30) * m["n_words"])
+        names = F.array_compact(F.array(*[F.when(~r.column(m), F.lit(r.name)) for r in rules]))
+        kept = ~failed & (F.size(names) == 0)
+        return F.struct(*[m[c].alias(c) for c in MEASURES], failed.alias("base_failed"), kept.alias("kept"), names.alias("failed_rules"))
+
+    return let(measures(text), judged_)
+
+
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the measures, base_failed, kept and failed_rules."""
+    return docs.select("doc_id", verdict(F.col("text"), rules).alias("v")).select("doc_id", "v.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; their columns as they were."""
-    out = judged(docs, keep=["doc_id", "text", "lang", "source", "n_chars"])
-    return out.where("kept").select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").where(verdict(F.col("text"))["kept"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
