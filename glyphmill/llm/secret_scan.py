@@ -71,10 +71,13 @@ def _passing(text: Column, kind: int) -> Column:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled samples: value, random. Ordinary ones are words of about SAMPLE_DOCS documents at most."""
+    """Labelled samples: value, random. Ordinary ones are words of about SAMPLE_DOCS documents, but for those in question themselves."""
     n = docs.count()
     words = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select(F.explode(F.array_distinct(F.split("text", GAP))).alias("value"))
-    named = words.where(F.length("value") >= 4).select("value", F.lit(False).alias("random"))
+    suspect = F.col("value").rlike(CANDIDATE)
+    for kind_, pattern, _ in BASE:
+        suspect = suspect | F.col("value").rlike(PROBE.get(kind_, pattern))
+    named = words.where((F.length("value") >= 4) & ~suspect).select("value", F.lit(False).alias("random"))
     digest = docs.sparkSession.range(SAMPLE_RANDOM).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), "id")
     kind = F.pmod(F.col("id"), F.lit(3))
     code = F.base64(F.unhex("x"))
