@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.plans.cut import checkpointed
+
+__all__ = ["DOCUMENT_COLUMNS", "GAP", "checkpointed", "let", "table"]
+
 #: Columns of the documents table.
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,14 +25,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once per row: a bound lambda variable is never inlined."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so its lineage ends in replicable files.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
