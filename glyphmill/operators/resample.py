@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.scoring import Policy, _score
+from glyphmill.plans.cut import checkpointed
 
 
 def draws(documents: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -27,9 +28,10 @@ def draws(documents: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 def paired_difference(scored: DataFrame, left: str, right: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Corpus CER of right less left on samples that both have, with a percentile interval."""
-    side = lambda m: scored.where(F.col("model") == m).select("sample_id", "source_document", "char_edits", "reference_chars")
-    pairs = side(left).join(side(right).select("sample_id", F.col("char_edits").alias("edits_r"), F.col("reference_chars").alias("chars_r")), "sample_id")
-    sums = pairs.groupBy("source_document").agg(F.sum("char_edits").alias("el"), F.sum("reference_chars").alias("cl"), F.sum("edits_r").alias("er"), F.sum("chars_r").alias("cr"))
+    of = lambda m, c: F.max(F.when(F.col("model") == m, F.col(c)))
+    both = scored.where(F.col("model").isin(left, right)).groupBy("sample_id", "source_document").agg(of(left, "char_edits").alias("el"), of(left, "reference_chars").alias("cl"), of(right, "char_edits").alias("er"), of(right, "reference_chars").alias("cr"))
+    pairs = both.where("el is not null and er is not null")
+    sums = checkpointed(pairs.groupBy("source_document").agg(*[F.sum(c).alias(c) for c in ("el", "cl", "er", "cr")]))
     rate = lambda e, c: F.try_divide(F.sum(F.col("times") * F.col(e)).cast("double"), F.sum(F.col("times") * F.col(c)))
     deltas = draws(sums, replicates, seed).join(sums, "source_document").groupBy("replicate").agg((rate("er", "cr") - rate("el", "cl")).alias("delta"))
     ends = deltas.agg(F.percentile("delta", 0.025).alias("ci_low"), F.percentile("delta", 0.975).alias("ci_high"), F.count("delta").alias("replicates"))
@@ -40,8 +42,8 @@ def paired_difference(scored: DataFrame, left: str, right: str, replicates: int
 def joint_bootstrap(cells: DataFrame, policy: Policy = Policy(), replicates: int = 250, seed: int = 42) -> DataFrame:
     """Intervals of model scores: all passes of a drawn document stay together."""
     live = cells.where("outcome <> 'unsupported'")
-    sums = live.groupBy("track", "model", "pass", "source_document").agg(F.sum("char_edits").alias("e"), F.sum("reference_chars").alias("c"), F.count(F.when(F.col("exact_match"), 1)).alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = checkpointed(live.groupBy("track", "model", "pass", "source_document").agg(F.sum("char_edits").alias("e"), F.sum("reference_chars").alias("c"), F.count(F.when(F.col("exact_match"), 1)).alias("x"), F.count(F.lit(1)).alias("n")))
     w = lambda c: F.sum(F.col("times") * F.col(c)).cast("double")
-    drawn = draws(cells, replicates, seed).join(sums, "source_document").groupBy("track", "model", "pass", "replicate").agg(F.try_divide(w("e"), w("c")).alias("cer"), F.try_divide(w("x"), w("n")).alias("exact"))
+    drawn = draws(sums, replicates, seed).join(sums, "source_document").groupBy("track", "model", "pass", "replicate").agg(F.try_divide(w("e"), w("c")).alias("cer"), F.try_divide(w("x"), w("n")).alias("exact"))
     scores = drawn.withColumn("score", _score(F.col("cer"), F.col("exact"), policy)).groupBy("track", "model", "replicate").agg(F.avg("score").alias("score"))
     return scores.groupBy("track", "model").agg(F.percentile("score", 0.025).alias("ci_low"), F.percentile("score", 0.975).alias("ci_high"), F.count("score").alias("replicates"))
