@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter, defaultdict
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glyphmill.operators.components import connected_components
 
 #: Bits of a visual hash; any two within 4 bits agree on one of five runs.
 HASH_BITS, HASH_DISTANCE, RUN = 64, 4, 13
+#: Characters of a block of texts compared with another; lengths of the runs of characters that rule pairs out.
+BLOCK, GRAMS = 1 << 18, (1, 3)
 
 
 def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -50,30 +55,86 @@ def components(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))).distinct()
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two texts."""
-    return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+def _tagged(text: str, size: int) -> list[tuple[str, int]]:
+    """Runs of ``size`` characters, each with how often it came before: a set's overlap is then the bag's."""
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(text) - size + 1):
+        gram = text[i : i + size]
+        out.append((gram, seen[gram]))
+        seen[gram] += 1
+    return out
+
+
+def _alike(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Ordered pairs of a cell's left and right texts with a ratio at or over the threshold."""
+
+    def compared(cell: pd.DataFrame) -> pd.DataFrame:
+        left, right = (cell[cell["side"] == side] for side in (0, 1))
+        hashes, texts = right["h"].tolist(), right["t"].tolist()
+        lengths = np.array([len(t) for t in texts], np.int64)
+        postings = []
+        for size in GRAMS:
+            found = defaultdict(list)
+            for j, t in enumerate(texts):
+                for gram in _tagged(t, size):
+                    found[gram].append(j)
+            postings.append({g: np.array(js, np.int64) for g, js in found.items()})
+        same = len(cell) and (cell["c"].iat[0], cell["i"].iat[0]) == (cell["d"].iat[0], cell["j"].iat[0])
+        out = []
+        for h, t, lo, hi in zip(left["h"], left["t"], left["lo"], left["hi"], strict=True):
+            total = lengths + len(t)
+            keep = 2.0 * np.minimum(lengths, len(t)) >= threshold * total - 1e-9
+            if lo == hi:  # texts of one split only, and that the same one
+                keep &= ~((right["lo"].to_numpy() == lo) & (right["hi"].to_numpy() == lo))
+            for size, posting in zip(GRAMS, postings, strict=True):
+                need = (threshold / 2 - (size - 1) * (1 - threshold)) * total - (size - 1)
+                hit = [posting[g] for g in _tagged(t, size) if g in posting]
+                shared = np.bincount(np.concatenate(hit), minlength=len(texts)) if hit else np.zeros(len(texts), np.int64)
+                keep &= shared >= need - 1e-9
+            for j in np.flatnonzero(keep):
+                if hashes[j] == h or (same and hashes[j] < h):
+                    continue
+                for x, y, u, v in ((h, hashes[j], t, texts[j]), (hashes[j], h, texts[j], t)):  # the ratio depends on the order
+                    ratio = difflib.SequenceMatcher(None, u, v, autojunk=False).ratio()
+                    if ratio >= threshold:
+                        out.append((x, y, ratio))
+        return pd.DataFrame(out, columns=["left_h", "right_h", "ratio"])
+
+    return compared
 
 
 def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs of texts in different splits that are alike once digits are masked.
+    """Pairs of texts in different splits that are alike once digits are masked: all that a comparison of all finds.
 
-    Ratios over the threshold need lengths within it, and equal masked texts are joined as one class; other pairs
-    must share a rare word, so that only they are compared.
+    Equal masked texts are one class with ratio 1, so only distinct ones are compared, block against block, with
+    those whose length allows the ratio: lengths of a pair are in the same or adjoining classes. In a block a pair is
+    left out only where it cannot reach the threshold: with m matching of T characters in all, the matches are at
+    most 1 + T - 2m blocks, so the texts share m - (q - 1)(1 + T - 2m) runs of q characters or more.
     """
     masked = F.regexp_replace(F.lower(F.col(text)), "[0-9]+", "#")
-    rows = df.select(F.col(key).alias("k"), masked.alias("t"), F.col(split).alias("s")).where("s is not null and t <> ''")
-    words = rows.select("k", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("w"))
-    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ranked = words.join(often, "w").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "w"))).where("r <= 3").select("w", "k")
-    a, b = ranked.withColumnRenamed("k", "left_id"), ranked.withColumnRenamed("k", "right_id")
-    near = a.join(b, "w").where("left_id < right_id").select("left_id", "right_id").distinct()
-    left, right = (rows.select(F.col("k").alias(f"{x}_id"), F.col("t").alias(f"{x}_t"), F.col("s").alias(f"{x}_s")) for x in ("left", "right"))
-    pairs = near.join(left, "left_id").join(right, "right_id").where("left_s <> right_s")
-    short, long = F.least(F.char_length("left_t"), F.char_length("right_t")), F.greatest(F.char_length("left_t"), F.char_length("right_t"))
-    pairs = pairs.where(2.0 * short / (short + long) >= threshold)
-    return pairs.withColumn("ratio", similarity("left_t", "right_t")).where(F.col("ratio") >= threshold).select("left_id", "right_id", "ratio")
+    rows = df.select(F.col(key).alias("k"), masked.alias("t"), F.col(split).alias("s")).where("s is not null and t <> ''").withColumn("h", F.sha2("t", 256))
+    width = math.log((2 - threshold) / threshold) + 1e-9 if threshold > 0 else math.inf
+    texts = rows.groupBy("h").agg(F.first("t").alias("t"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    texts = texts.withColumn("c", F.floor(F.log(F.char_length("t").cast("double")) / F.lit(width)).cast("int"))
+    # A handful of rows: classes grow by a factor.
+    blocks = texts.groupBy("c").agg(F.ceil(F.sum(F.char_length("t")) / F.lit(BLOCK)).cast("int").alias("n"))
+    of = lambda step, name: blocks.select((F.col("c") + step).alias("c"), F.col("n").alias(name))
+    placed = texts.join(of(0, "n"), "c").join(of(-1, "above"), "c", "left").join(of(1, "below"), "c", "left").withColumn("b", F.pmod(F.xxhash64("h"), "n").cast("int"))
+    each = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    cell = lambda side, c, i, d, j: F.struct(F.lit(side).alias("side"), c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
+    c, b = F.col("c"), F.col("b")
+    cells = F.concat(
+        F.transform(F.sequence(b, F.col("n") - 1), lambda j: cell(0, c, b, c, j)),
+        F.transform(F.sequence(F.lit(0), b), lambda i: cell(1, c, i, c, b)),
+        F.transform(each(F.coalesce("above", F.lit(0))), lambda j: cell(0, c, b, c + 1, j)),
+        F.transform(each(F.coalesce("below", F.lit(0))), lambda i: cell(1, c - 1, i, c, b)),
+    )
+    dealt = placed.select("h", "t", "lo", "hi", F.explode(cells).alias("x")).select("h", "t", "lo", "hi", "x.*")
+    found = dealt.groupBy("c", "i", "d", "j").applyInPandas(_alike(threshold), "left_h string, right_h string, ratio double")
+    equal = texts.where("lo <> hi").select(F.col("h").alias("left_h"), F.col("h").alias("right_h"), F.lit(1.0).alias("ratio"))
+    left, right = (rows.select(F.col("h").alias(f"{x}_h"), F.col("k").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")) for x in ("left", "right"))
+    return found.union(equal).join(left, "left_h").join(right, "right_h").where("left_id < right_id and left_s <> right_s").select("left_id", "right_id", "ratio")
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

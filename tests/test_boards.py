@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,29 @@ def test_near_text_pairs(spark):
     assert [(r.left_id, r.right_id) for r in got] == [(1, 2)]
 
 
+@pytest.mark.parametrize("block", [1 << 18, 700])
+def test_near_text_pairs_against_all_pairs(spark, monkeypatch, block):
+    import difflib
+    import random
+
+    monkeypatch.setattr(audit, "BLOCK", block)
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    base = [word(r.randrange(2, 9)) for _ in range(60)]
+    texts = []
+    for _ in range(15):  # near copies with changed words, each of them also in one other row
+        own = [word(7) for _ in range(3)]
+        at = r.sample(range(60), 3)
+        texts += [" ".join(own[at.index(i)] if i in at else w for i, w in enumerate(base)), " ".join([*own, word(5), word(5)])]
+    texts += ["".join(r.choice("ab1 ") for _ in range(r.randrange(1, 12))) for _ in range(40)] + ["Chapter 1", "chapter 22", "x" * 50, "x" * 60, "x" * 62]
+    rows = [(i, t, r.choice(["train", "test", "validation"])) for i, t in enumerate(texts)]
+    mask = [re.sub("[0-9]+", "#", t.lower()) for t in texts]
+    ratio = lambda i, j: difflib.SequenceMatcher(None, mask[i], mask[j], autojunk=False).ratio()
+    want = {(i, j): x for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][2] != rows[j][2] and mask[i] and mask[j] and (x := ratio(i, j)) >= 0.9}
+    got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split").collect()
+    assert len(want) > 50 and len(got) == len(want) and {(x.left_id, x.right_id): x.ratio for x in got} == want
+
+
 def test_violations(spark):
     samples = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "sample_id long, reference string")
     results = spark.createDataFrame([("m", 1, 1, "a"), ("m", 1, 1, "a"), ("m", 3, 9, "x"), ("m", 1, 2, "B")], "model string, pass int, sample_id long, reference string")
