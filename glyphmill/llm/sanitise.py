@@ -4,7 +4,7 @@ The rules find e-mail addresses, IP addresses, card and phone numbers: the prote
 entity discloses it as far as the corpus has the two together: with p(e) the share of documents about the entity
 and p(e|t) the windows that hold both over the documents that hold the term, the disclosure is their pointwise
 mutual information over the entity's information, 1 - log p(e|t) / log p(e). Terms at or over the threshold are
-spans too, generalised where they disclose less and removed where they disclose more. Copies of a window count
+spans too, wherever they stand in any text, generalised where they disclose less and removed where they disclose more. Copies of a window count
 once, and a pair needs SUPPORT different windows, so copied text discloses nothing.
 
 Document frequencies are counted over all documents, each task adding up its own; only terms whose bucket in a
@@ -32,6 +32,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 WINDOW, SUPPORT, THRESHOLD, REMOVE = 8, 3, 0.75, 0.9
 #: Buckets of the bitmap of candidates; terms that a task adds up before it sends them on.
 BUCKETS, FLUSH = 1 << 20, 1 << 18
+#: Buckets of the bitmap of disclosing terms.
+MARKS = 1 << 24
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -82,14 +84,18 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def _side(text: str, at: int, step: int) -> tuple[int, int]:
     """The stretch before or after a place in which a window's words are looked for."""
     reach = 24 * WINDOW
     return (max(0, at - reach), at) if step < 0 else (at, min(len(text), at + reach))
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(entity, window, term, start, end) of the words near each entity, other entities left out."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(entity, window, term) of the words near each entity, other entities left out."""
     for kind, start, end in spans:
         words = []
         for step, place in ((-1, start), (1, end)):
@@ -100,21 +106,23 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
         terms = [text[a:b].lower() for a, b in words]
         value = text[start:end].lower() if kind == 0 else text[start:end] if kind == 1 else _DIGITS.sub("", text[start:end])
         entity, window = _hash(f"{kind}:{value}"), _hash(" ".join(terms))
-        for t, (a, b) in zip(terms, words, strict=True):
-            yield entity, window, _hash(t), a, b
+        for t in terms:
+            yield entity, window, _hash(t)
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-_NEAR = pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_NEAR = pa.struct([("entity", pa.int64()), ("window", pa.int64()), ("term", pa.int64())])
+_HIT = pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
         base = [base_spans(t) for t in texts]
-        near = [[dict(zip(("entity", "window", "term", "start", "end"), c, strict=True)) for c in contexts(t, s)] if s else [] for t, s in zip(texts, base, strict=True)]
+        near = [[dict(zip(("entity", "window", "term"), c, strict=True)) for c in contexts(t, s)] if s else [] for t, s in zip(texts, base, strict=True)]
         spans = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in base]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "base", "near"])
+        digests = pa.array([_digest(t) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "digest", "base", "near"])
 
 
 def _frequencies(bitmap) -> callable:
@@ -133,31 +141,82 @@ def _frequencies(bitmap) -> callable:
     return counted
 
 
+def _occurrences(bitmap) -> callable:
+    """Where words of the bitmap's buckets stand in each text, once for copies in a batch; entities left out."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, cache = bitmap.value.tobytes(), {}
+
+        def marked(word: str) -> int | None:
+            if word not in cache:
+                if len(cache) >= FLUSH:
+                    cache.clear()
+                at = (h := _hash(word.lower())) % MARKS
+                cache[word] = h if len(word) >= 4 and bits[at >> 3] >> (7 - (at & 7)) & 1 else None
+            return cache[word]
+
+        for batch in batches:
+            out = {}
+            for text in {x.as_py() or "" for x in batch.column(0)}:
+                wanted = {w: h for w in set(_WORD.findall(text)) if (h := marked(w)) is not None}
+                if not wanted:
+                    continue
+                base, hits, at = [], [], 0
+                for start, end in sorted((s, e) for _, s, e in base_spans(text)):  # apart from each other
+                    if base and start < base[-1][1]:
+                        base[-1] = (base[-1][0], max(end, base[-1][1]))
+                    else:
+                        base.append((start, end))
+                for m in _WORD.finditer(text):
+                    if m.group() in wanted:
+                        while at < len(base) and base[at][1] <= m.start():
+                            at += 1
+                        if at == len(base) or base[at][0] >= m.end():
+                            hits.append({"term": wanted[m.group()], "start": m.start(), "end": m.end()})
+                out[_digest(text)] = hits
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.list_(_HIT))], names=["digest", "hits"])
+
+    return placed
+
+
+def _bitmap(spark: SparkSession, terms: DataFrame, size: int):
+    """The buckets of a frame's terms as a broadcast bitmap, or None where it has none; at most ``size`` numbers come here."""
+    taken = terms.select(F.pmod("term", F.lit(size)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
+    if not len(taken):
+        return None
+    bits = np.zeros(size, np.uint8)
+    bits[taken] = 1
+    return spark.sparkContext.broadcast(np.packbits(bits))
+
+
 def scanned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """row, doc_id, base and spans: arrays of (kind, start, end) by kind, then start; terms also in ``disclosure``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shape = "array<struct<kind:int,start:int,end:int>>"
-    found = docs.mapInArrow(_scan, f"doc_id long, base {shape}, near array<struct<entity:long,window:long,term:long,start:int,end:int>>")
+    found = docs.mapInArrow(_scan, f"doc_id long, digest binary, base {shape}, near array<struct<entity:long,window:long,term:long>>")
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     windows = near.select("entity", "term", "window").distinct()
     pairs = checkpointed(windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
-    taken = pairs.select(F.pmod("term", F.lit(BUCKETS)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()  # at most BUCKETS numbers
+    shared = _bitmap(docs.sparkSession, pairs, BUCKETS)
     none = F.array().cast("array<struct<kind:int,start:int,end:int,disclosure:double>>")
-    if not len(taken):
-        return found.select("row", "doc_id", "base", F.col("base").alias("spans"), none.alias("terms"))
-    bitmap = np.zeros(BUCKETS, np.uint8)
-    bitmap[taken] = 1
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    bare = found.select("row", "doc_id", "base", F.col("base").alias("spans"), none.alias("terms"))
+    if shared is None:
+        return bare
     frequency = docs.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     about = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     total = F.lit(float(max(2, found.count())))
     given = F.least(F.lit(1.0), F.col("both") / F.greatest("df", F.lit(1)))
     share = F.least(F.col("of_entity"), total - 1) / total
-    told = pairs.join(frequency, "term").join(about, "entity").select("entity", "term", (1 - F.log(given) / F.log(share)).alias("disclosure")).where(F.col("disclosure") >= threshold)
-    hit = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = hit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", "disclosure"))).alias("terms"))
-    out = found.select("row", "doc_id", "base").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", none))
+    told = pairs.join(frequency, "term").join(about, "entity").select("term", (1 - F.log(given) / F.log(share)).alias("disclosure")).where(F.col("disclosure") >= threshold)
+    told = checkpointed(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    marks = _bitmap(docs.sparkSession, told, MARKS)
+    if marks is None:
+        return bare
+    hits = docs.select("text").mapInArrow(_occurrences(marks), "digest binary, hits array<struct<term:long,start:int,end:int>>").groupBy("digest").agg(F.first("hits").alias("hits"))
+    hit = hits.select("digest", F.explode("hits").alias("x")).select("digest", "x.*").join(told, "term")
+    terms = hit.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", "disclosure"))).alias("terms"))
+    out = found.select("row", "doc_id", "digest", "base").join(terms, "digest", "left").withColumn("terms", F.coalesce("terms", none))
     return out.select("row", "doc_id", "base", F.concat("base", F.transform("terms", lambda t: F.struct(t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end")))).alias("spans"), "terms")
 
 

@@ -190,6 +190,19 @@ def test_pii_terms_and_text(spark, odd, empty):
     assert sanitise.scanned(odd).count() == len(ODD) and sanitise.scanned(empty).count() == 0
 
 
+def test_pii_terms_are_marked_wherever_they_stand(spark):
+    far = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(i, f"Report {i} by Zebulon near river{i} mail boss@corp.example.com about item{i} budget") for i in range(6)]
+    rows += [(i, f"plain river words {i} about budget report near nothing mail {far}") for i in range(6, 60)]
+    rows += [(60, f"Zebulon was here {far} and zebulon too"), (61, f"Zebulon {far} boss@corp.example.com {far} zebulon@corp.example.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert not any("zebulon" in t.lower() for t in text.values()) and text[60].endswith(" too") and text[30] == rows[30][1]
+    got = {r.doc_id: [(t.start, t.end) for t in r.terms] for r in sanitise.scanned(docs).collect()}
+    at = rows[60][1].index("zebulon")
+    assert {(0, 7), (at, at + 7)} <= set(got[60]) and (0, 7) in got[61]
+
+
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
