@@ -4,8 +4,10 @@ The rules find e-mail addresses, IP addresses, card and phone numbers: the prote
 entity discloses it as far as the corpus has the two together: with p(e) the share of documents about the entity
 and p(e|t) the windows that hold both over the documents that hold the term, the disclosure is their pointwise
 mutual information over the entity's information, 1 - log p(e|t) / log p(e). Terms at or over the threshold are
-spans too, wherever they stand in any text, generalised where they disclose less and removed where they disclose more. Copies of a window count
-once, and a pair needs SUPPORT different windows, so copied text discloses nothing.
+spans too, wherever they stand in any text, generalised where they disclose less and removed where they disclose more.
+p(e|t) is smoothed towards p(e) by PRIOR windows, so a pair met in few windows is measured, with less certainty.
+Copies of a window count once. Terms are words without regard to case; words under 4 characters are terms, in their
+own case, unless they begin with a small letter.
 
 Document frequencies are counted over all documents, each task adding up its own; only terms whose bucket in a
 bitmap of fixed size holds a candidate are counted, which is exact as candidates are then joined by their hash.
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import checkpointed, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words on each side of an entity that are its window; windows that a pair needs; disclosure that makes a span.
-WINDOW, SUPPORT, THRESHOLD, REMOVE = 8, 3, 0.75, 0.9
+#: Words of 4 characters or more on each side of an entity that are its window, with the shorter ones among them;
+#: windows that p(e) weighs in p(e|t); disclosure that makes a span; disclosure that removes.
+WINDOW, PRIOR, THRESHOLD, REMOVE = 8, 1.0, 0.75, 0.9
 #: Buckets of the bitmap of candidates; terms that a task adds up before it sends them on.
 BUCKETS, FLUSH = 1 << 20, 1 << 18
 #: Buckets of the bitmap of disclosing terms.
@@ -41,7 +44,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W_][\w'-]*[^\W_]")
+_WORD = re.compile(r"[^\W_](?:[\w'-]*[^\W_])?")
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -84,6 +87,11 @@ def _hash(text: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _term(word: str) -> str | None:
+    """A word as a term. Short ones are names or numbers if they don't begin with a small letter, in their own case."""
+    return word.lower() if len(word) >= 4 else None if word[0].islower() else word
+
+
 def _digest(text: str) -> bytes:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
 
@@ -100,10 +108,15 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int
         words = []
         for step, place in ((-1, start), (1, end)):
             a, b = _side(text, place, step)
-            found = [m.span() for m in _WORD.finditer(text, a, b) if m.end() - m.start() >= 4 and not (step < 0 and m.start() == a > 0) and not (step > 0 and m.end() == b < len(text))]
-            words += found[-WINDOW:] if step < 0 else found[:WINDOW]
-        words = [w for w in words if not any(s < w[1] and w[0] < e for _, s, e in spans)]
-        terms = [text[a:b].lower() for a, b in words]
+            found = [m.span() for m in _WORD.finditer(text, a, b) if not (step < 0 and m.start() == a > 0) and not (step > 0 and m.end() == b < len(text))]
+            long = 0
+            for w in reversed(found) if step < 0 else found:
+                long += w[1] - w[0] >= 4
+                if long > WINDOW:
+                    break
+                words.append(w)
+        words = sorted(w for w in words if not any(s < w[1] and w[0] < e for _, s, e in spans))
+        terms = [t for a, b in words if (t := _term(text[a:b]))]
         value = text[start:end].lower() if kind == 0 else text[start:end] if kind == 1 else _DIGITS.sub("", text[start:end])
         entity, window = _hash(f"{kind}:{value}"), _hash(" ".join(terms))
         for t in terms:
@@ -130,8 +143,8 @@ def _frequencies(bitmap) -> callable:
         wanted, counts = np.unpackbits(bitmap.value), {}
         for batch in batches:
             for text in batch.column(0):
-                for word in {w.lower() for w in _WORD.findall(text.as_py() or "")}:
-                    if len(word) >= 4 and wanted[(h := _hash(word)) % BUCKETS]:
+                for word in set(map(_term, set(_WORD.findall(text.as_py() or "")))) - {None}:
+                    if wanted[(h := _hash(word)) % BUCKETS]:
                         counts[h] = counts.get(h, 0) + 1
             if len(counts) >= FLUSH:
                 yield pa.record_batch([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
@@ -151,8 +164,8 @@ def _occurrences(bitmap) -> callable:
             if word not in cache:
                 if len(cache) >= FLUSH:
                     cache.clear()
-                at = (h := _hash(word.lower())) % MARKS
-                cache[word] = h if len(word) >= 4 and bits[at >> 3] >> (7 - (at & 7)) & 1 else None
+                at = (h := _hash(_term(word) or "")) % MARKS
+                cache[word] = h if _term(word) and bits[at >> 3] >> (7 - (at & 7)) & 1 else None
             return cache[word]
 
         for batch in batches:
@@ -189,7 +202,7 @@ def _bitmap(spark: SparkSession, terms: DataFrame, size: int):
     return spark.sparkContext.broadcast(np.packbits(bits))
 
 
-def scanned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def scanned(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """row, doc_id, base and spans: arrays of (kind, start, end) by kind, then start; terms also in ``disclosure``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shape = "array<struct<kind:int,start:int,end:int>>"
@@ -197,7 +210,7 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     windows = near.select("entity", "term", "window").distinct()
-    pairs = checkpointed(windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support))
+    pairs = checkpointed(windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
     shared = _bitmap(docs.sparkSession, pairs, BUCKETS)
     none = F.array().cast("array<struct<kind:int,start:int,end:int,disclosure:double>>")
     bare = found.select("row", "doc_id", "base", F.col("base").alias("spans"), none.alias("terms"))
@@ -206,8 +219,8 @@ def scanned(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPOR
     frequency = docs.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     about = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     total = F.lit(float(max(2, found.count())))
-    given = F.least(F.lit(1.0), F.col("both") / F.greatest("df", F.lit(1)))
     share = F.least(F.col("of_entity"), total - 1) / total
+    given = (F.col("both") * F.least(F.lit(1.0), F.col("both") / F.greatest("df", F.lit(1))) + prior * share) / (F.col("both") + prior)
     told = pairs.join(frequency, "term").join(about, "entity").select("term", (1 - F.log(given) / F.log(share)).alias("disclosure")).where(F.col("disclosure") >= threshold)
     told = checkpointed(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
     marks = _bitmap(docs.sparkSession, told, MARKS)
@@ -238,9 +251,9 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
 
-def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def sanitised(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """doc_id and text with entities masked and disclosing terms generalised or removed. doc_id must be unique."""
-    found = scanned(docs, threshold, support).where(F.size("spans") > 0).select("doc_id", "base", "terms")
+    found = scanned(docs, threshold, prior).where(F.size("spans") > 0).select("doc_id", "base", "terms")
     empty = {"base": F.array().cast("array<struct<kind:int,start:int,end:int>>"), "terms": F.array().cast("array<struct<kind:int,start:int,end:int,disclosure:double>>")}
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id", "left")
     return joined.select("doc_id", "text", *[F.coalesce(F.col(c), e).alias(c) for c, e in empty.items()]).mapInArrow(_masked, "doc_id long, text string")

@@ -203,6 +203,16 @@ def test_pii_terms_are_marked_wherever_they_stand(spark):
     assert {(0, 7), (at, at + 7)} <= set(got[60]) and (0, 7) in got[61]
 
 
+def test_pii_terms_of_an_entity_met_once(spark):
+    rows = [(i, f"Call the office about item{i} budget and plain river report, with the bill by mail") for i in range(1000)]
+    rows += [(1000, "Call the office, Zebulon or Bo, with the bill by mail boss@corp.example.com about the plain river budget")]
+    rows += [(1001, "report of Zebulon and Bo"), (1002, "the bo of a tree")]
+    text = {r.doc_id: r.text for r in sanitise.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Zebulon" not in text[1000] + text[1001] and "Bo" not in text[1000] + text[1001] and text[1001].startswith("report of ")
+    assert text[1000].startswith("Call the office, ") and text[1000].endswith("about the plain river budget")
+    assert all(text[i] == rows[i][1] for i in (*range(1000), 1002))
+
+
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
