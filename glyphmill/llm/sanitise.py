@@ -2,15 +2,16 @@
 
 The rules find e-mail addresses, IP addresses, card and phone numbers: the protected entities. A term near an
 entity discloses it as far as the corpus has the two together: with p(e) the share of documents about the entity
-and p(e|t) the windows that hold both over the documents that hold the term, the disclosure is their pointwise
+and p(e|t) the share of those that hold the term that hold both near each other, all in different texts, the disclosure is their pointwise
 mutual information over the entity's information, 1 - log p(e|t) / log p(e). Terms at or over the threshold are
 spans too, wherever they stand in any text, generalised where they disclose less and removed where they disclose more.
 p(e|t) is smoothed towards p(e) by PRIOR windows, so a pair met in few windows is measured, with less certainty.
-Copies of a window count once. Terms are words without regard to case; words under 4 characters are terms, in their
+Copies of a text count once, and copies of a window once in that weight. Terms are words without regard to case; words under 4 characters are terms, in their
 own case, unless they begin with a small letter.
 
-Document frequencies are counted over all documents, each task adding up its own; only terms whose bucket in a
-bitmap of fixed size holds a candidate are counted, which is exact as candidates are then joined by their hash.
+Frequencies are counted over all different texts. Each task adds up its own; a text that has copies is sent on with
+its terms, once from each task, and counted once. Only terms whose bucket in a bitmap of fixed size holds a
+candidate are counted, which is exact as candidates are then joined by their hash.
 
 Defined results: a null or empty text has no span. Repeated rows are scanned each for itself and their windows
 count once. Only doc_id and text are read.
@@ -138,18 +139,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "digest", "base", "near"])
 
 
-def _frequencies(bitmap) -> callable:
+def _frequencies(bitmap, copied) -> callable:
+    """Counts of terms over texts without copies, and the terms of each text whose digest's bucket is among ``copied``."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = np.unpackbits(bitmap.value), {}
+        wanted, counts, cache = np.unpackbits(bitmap.value), {}, {}
+        several, seen = copied.value.tobytes() if copied else None, set()
+
+        def given(digests: list, terms: list, counts: dict) -> pa.RecordBatch:
+            few, many = [None] * len(digests), [None] * len(counts)
+            columns = [([*digests, *many], pa.binary()), ([*terms, *many], pa.list_(pa.int64())), ([*few, *counts], pa.int64()), ([*few, *counts.values()], pa.int64())]
+            return pa.record_batch([pa.array(x, t) for x, t in columns], ["digest", "terms", "term", "n"])
+
+        def candidate(word: str) -> int | None:
+            if word not in cache:
+                if len(cache) >= FLUSH:
+                    cache.clear()
+                term = _term(word)
+                cache[word] = h if term and wanted[(h := _hash(term)) % BUCKETS] else None
+            return cache[word]
+
         for batch in batches:
+            digests, terms = [], []
             for text in batch.column(0):
-                for word in set(map(_term, set(_WORD.findall(text.as_py() or "")))) - {None}:
-                    if wanted[(h := _hash(word)) % BUCKETS]:
-                        counts[h] = counts.get(h, 0) + 1
+                text = text.as_py() or ""
+                found = set(map(candidate, set(_WORD.findall(text)))) - {None}
+                if several and found:
+                    at = int.from_bytes((digest := _digest(text))[:4], "big") % BUCKETS
+                    if several[at >> 3] >> (7 - (at & 7)) & 1:
+                        if digest not in seen:
+                            seen.add(digest)
+                            digests.append(digest)
+                            terms.append(list(found))
+                        continue
+                for h in found:
+                    counts[h] = counts.get(h, 0) + 1
+            if digests:
+                yield given(digests, terms, {})
             if len(counts) >= FLUSH:
-                yield pa.record_batch([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+                yield given([], [], counts)
                 counts = {}
-        yield pa.record_batch([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+            if len(seen) >= FLUSH:
+                seen.clear()
+        yield given([], [], counts)
 
     return counted
 
@@ -192,9 +224,9 @@ def _occurrences(bitmap) -> callable:
     return placed
 
 
-def _bitmap(spark: SparkSession, terms: DataFrame, size: int):
-    """The buckets of a frame's terms as a broadcast bitmap, or None where it has none; at most ``size`` numbers come here."""
-    taken = terms.select(F.pmod("term", F.lit(size)).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()
+def _bitmap(spark: SparkSession, buckets: DataFrame, size: int):
+    """A frame's one column of buckets as a broadcast bitmap, or None where it has none; at most ``size`` numbers come here."""
+    taken = buckets.distinct().toPandas().iloc[:, 0].to_numpy()
     if not len(taken):
         return None
     bits = np.zeros(size, np.uint8)
@@ -202,28 +234,35 @@ def _bitmap(spark: SparkSession, terms: DataFrame, size: int):
     return spark.sparkContext.broadcast(np.packbits(bits))
 
 
+def _bucket(size: int) -> Column:
+    return F.pmod("term", F.lit(size)).cast("int")
+
+
 def scanned(docs: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """row, doc_id, base and spans: arrays of (kind, start, end) by kind, then start; terms also in ``disclosure``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shape = "array<struct<kind:int,start:int,end:int>>"
     found = docs.mapInArrow(_scan, f"doc_id long, digest binary, base {shape}, near array<struct<entity:long,window:long,term:long>>")
     found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
-    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    windows = near.select("entity", "term", "window").distinct()
-    pairs = checkpointed(windows.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")))
-    shared = _bitmap(docs.sparkSession, pairs, BUCKETS)
+    near = found.where(F.size("near") > 0).dropDuplicates(["digest"]).select("digest", F.explode("near").alias("x")).select("digest", "x.*")
+    pairs = checkpointed(near.groupBy("entity", "term").agg(F.countDistinct("digest").alias("both"), F.countDistinct("window").alias("windows")))
+    shared = _bitmap(docs.sparkSession, pairs.select(_bucket(BUCKETS)), BUCKETS)
     none = F.array().cast("array<struct<kind:int,start:int,end:int,disclosure:double>>")
     bare = found.select("row", "doc_id", "base", F.col("base").alias("spans"), none.alias("terms"))
     if shared is None:
         return bare
-    frequency = docs.select("text").mapInArrow(_frequencies(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
-    about = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    total = F.lit(float(max(2, found.count())))
+    texts = checkpointed(found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).select("copies", F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int").alias("b")))
+    copied = _bitmap(docs.sparkSession, texts.where("copies > 1").select("b"), BUCKETS)
+    counts = checkpointed(docs.select("text").mapInArrow(_frequencies(shared, copied), "digest binary, terms array<long>, term long, n long"))
+    once = counts.where("digest is not null").groupBy("digest").agg(F.first("terms").alias("terms")).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
+    frequency = counts.where("digest is null").select("term", "n").union(once).groupBy("term").agg(F.sum("n").alias("df"))
+    about = near.groupBy("entity").agg(F.countDistinct("digest").alias("of_entity"))
+    total = F.lit(float(max(2, texts.count())))
     share = F.least(F.col("of_entity"), total - 1) / total
-    given = (F.col("both") * F.least(F.lit(1.0), F.col("both") / F.greatest("df", F.lit(1))) + prior * share) / (F.col("both") + prior)
+    given = (F.col("windows") * F.least(F.lit(1.0), F.col("both") / F.greatest("df", F.lit(1))) + prior * share) / (F.col("windows") + prior)
     told = pairs.join(frequency, "term").join(about, "entity").select("term", (1 - F.log(given) / F.log(share)).alias("disclosure")).where(F.col("disclosure") >= threshold)
     told = checkpointed(told.groupBy("term").agg(F.max("disclosure").alias("disclosure")))
-    marks = _bitmap(docs.sparkSession, told, MARKS)
+    marks = _bitmap(docs.sparkSession, told.select(_bucket(MARKS)), MARKS)
     if marks is None:
         return bare
     hits = docs.select("text").mapInArrow(_occurrences(marks), "digest binary, hits array<struct<term:long,start:int,end:int>>").groupBy("digest").agg(F.first("hits").alias("hits"))

@@ -213,6 +213,20 @@ def test_pii_terms_of_an_entity_met_once(spark):
     assert all(text[i] == rows[i][1] for i in (*range(1000), 1002))
 
 
+def test_pii_terms_count_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(sanitise, "FLUSH", 5)
+    rows = [(i, f"plain item{i} of the river report") for i in range(300)]
+    rows += [(300 + i, f"case{i} by Zebulon with bill{i} mail boss@corp.example.com") for i in range(3)]
+    rows += [(400 + i, rows[302][1]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert not any("Zebulon" in t for t in text.values()) and all(text[i] == rows[i][1] for i in range(300))
+    found = [r for r in sanitise.scanned(docs).where("doc_id >= 300").collect() if r.terms]
+    at = rows[302][1].index("Zebulon")
+    x = {t.disclosure for r in found for t in r.terms if t.start == at}  # of 303 texts 3 are about the entity, and all hold it
+    assert len(found) == 503 and len(x) == 1 and abs(x.pop() - (1 - np.log((3 + 3 / 303) / 4) / np.log(3 / 303))) < 1e-9
+
+
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
