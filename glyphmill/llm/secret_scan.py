@@ -28,11 +28,15 @@ BASE = (
 )
 #: Short runs of hex digits are in every word; only a text with a long one is taken apart.
 PROBE = {"hex": r"[0-9a-f]{32}"}
-#: What the models are asked about: runs of identifier characters with a digit, 20 characters or more.
-CANDIDATE = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,}"
+#: What the models are asked about: runs of identifier characters, with or without a digit.
+CANDIDATE = r"[A-Za-z0-9_+/=-]{8,}"
+#: Words left out of the ordinary sample.
+SUSPECT = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,}"
 KINDS = [k for k, *_ in BASE] + ["markov"]
 #: Mean log-likelihood ratio per character, in nats, above which a candidate is a secret.
 THRESHOLD = 0.75
+#: Steps of a candidate that make the evidence whole: a shorter one must reach the sum that these reach at the threshold.
+STEPS = 19
 #: Documents whose words are the sample of ordinary identifiers, about as many; random strings of the other sample.
 SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 6000
 #: Printable ASCII.
@@ -71,13 +75,13 @@ def _passing(text: Column, kind: int) -> Column:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled samples: value, random. Ordinary ones are words of about SAMPLE_DOCS documents, but for those in question themselves."""
+    """Labelled samples: value, random. Ordinary ones are words of about SAMPLE_DOCS documents, as they are and, up to 64 characters, in capitals and joined by capitals, but for long runs with a digit."""
     n = docs.count()
     words = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select(F.explode(F.array_distinct(F.split("text", GAP))).alias("value"))
-    suspect = F.col("value").rlike(CANDIDATE)
+    suspect = F.col("value").rlike(SUSPECT)
     for kind_, pattern, _ in BASE:
         suspect = suspect | F.col("value").rlike(PROBE.get(kind_, pattern))
-    named = words.where((F.length("value") >= 4) & ~suspect).select("value", F.lit(False).alias("random"))
+    named = words.where((F.length("value") >= 4) & ~suspect).select(F.explode(F.when(F.length("value") <= 64, F.array("value", F.upper("value"), F.repeat(F.initcap("value"), 2))).otherwise(F.array("value"))).alias("value"), F.lit(False).alias("random"))
     digest = docs.sparkSession.range(SAMPLE_RANDOM).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), "id")
     kind = F.pmod(F.col("id"), F.lit(3))
     code = F.base64(F.unhex("x"))
@@ -101,9 +105,9 @@ def train(docs: DataFrame) -> list[float]:
 
 
 def _score(value: Column, model: Column) -> Column:
-    """Mean log-likelihood ratio of a candidate."""
+    """Log-likelihood ratio of a candidate by its steps, or by STEPS if it has fewer."""
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c) - FIRST)
-    total = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, F.get(c, i - 1) * SIZE + F.get(c, i))) / (F.size(c) - 1)
+    total = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, F.get(c, i - 1) * SIZE + F.get(c, i))) / F.greatest(F.size(c) - 1, F.lit(STEPS))
     return let(codes, total)
 
 
@@ -115,7 +119,8 @@ def scanned(docs: DataFrame, keep: list[str] | None = None, threshold: float = T
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     base = F.sort_array(F.concat(*[bare(_passing(text, i)) for i in range(len(BASE))]))
-    more = F.filter(_found(text, len(BASE), CANDIDATE), lambda s: _score(s["match"], model) >= threshold)
+    # The model is bound once for a row, also where Spark evaluates a local table before it folds constants.
+    more = let(model, lambda m: F.filter(_found(text, len(BASE), CANDIDATE), lambda s: _score(s["match"], m) >= threshold))
     found = docs.select(*keep, base.alias("base"), more.alias("more"))
     free = F.filter(F.col("more"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return found.select(*keep, "base", F.sort_array(F.concat("base", bare(free))).alias("spans"))

@@ -256,6 +256,15 @@ def test_secret_models_and_redaction(spark, sf):
     assert got[-1][1] == "use [SECRET] or thtionality_of_reports_20 then" and got[-2][1] == "[SECRET] and [SECRET]"
 
 
+def test_short_and_letter_only_secrets(spark, sf):
+    words = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    secret = ["x8Kq2ZpLw4Tn", "aG9f3Kd02LqX", "qZxvKjWpRtYbNmLs", "kjhgQWErtyZXcvBNqwPLmnRT"]
+    plain = ["INTERNATIONALISATION", "CamelCaseIdentifier", "snake_case_name_2", "configuration", "2024-11-26", "=========", "1234567890"]
+    docs = words.union(spark.createDataFrame([(-1, " ".join(secret)), (-2, " ".join(plain))], "doc_id long, text string"))
+    got = {r.doc_id: r.t for r in secret_scan.scanned(docs, ["doc_id", "text"]).where("doc_id < 0").withColumn("t", secret_scan.redacted(F.col("text"), F.col("spans"))).collect()}
+    assert got == {-1: " ".join(["[SECRET]"] * 4), -2: " ".join(plain)}
+
+
 def test_digest_columns(spark, sf):
     r = secret_scan.query(spark, sf).where("n_assign + n_access + n_hex = 0").first()
     assert r.base_sha256 == hashlib.sha256(b"").hexdigest()
