@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset a local master gets a temporary folder, a cluster an error."""
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the session's spark.checkpoint.dir and read back; only where that is unset, a temporary folder."""
+    """df, written to the session's shared folder and read back."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

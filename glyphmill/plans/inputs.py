@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from glyphmill.functions import equations
+from glyphmill.plans.cut import shared_folder
 from glyphmill.plans.scores import _round
 from glyphmill.sources import readers, sinks
 from glyphmill.streaming import attempts
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_attempt_pairing(spark, sf_dir):
