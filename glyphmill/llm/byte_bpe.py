@@ -2,15 +2,18 @@
 
 Adjacent tokens are compatible if merging their joined bytes gives just these two. A sequence of tokens is the
 encoding of its bytes if and only if all its neighbours are compatible, so each prefix of a piece has one last
-token, and the encodings of all prefixes form a tree. Of that tree only those ends matter from which some token can
-still reach beyond what was read; what all of them have in common is certain, and is emitted. A state of the
-transducer is what isn't certain yet: the open ends, each with the tokens up to it and the bytes after it. Its transitions are made when
-first taken and kept, states that are equal are one, and all are dropped when they reach a fixed number. Tokens
-come after bounded lookahead: a byte string that no token of the vocabulary starts with can't stay open.
+token, and the encodings of all prefixes form a tree. A state of the transducer is what can still matter of that
+tree: the last token of all that was read, and the open ends, from which some token can still reach beyond it, each
+as a node of the trie of tokens and the last token before it. Its transitions are made when first taken and kept,
+states that are equal are one, and all are dropped when they reach a fixed number. A run goes back over its states,
+token by token, to emit them: at a piece's end, or in a long piece after every BLOCK bytes what all open ends have
+in common, which is certain. Tokens come after bounded lookahead: an end whose bytes no token starts with can't
+stay open.
 
 Each match of the pattern is a piece with its own run of the transducer. A piece that is itself in the vocabulary
-is that token, as the library has it. What the transducer made of a chunk between single spaces is kept, within a
-fixed size.
+is that token, as the library has it. What the transducer made of a piece is kept, within a fixed size. Long texts are
+cut at spaces between characters that aren't white space, where a match of the usual pattern always begins. Ids are
+held as 32-bit little-endian bytes.
 
 Decoding takes ids in any cuts and gives text as soon as it is whole: a state machine holds the bytes of a code
 point that isn't complete, three at most. Bytes that aren't UTF-8 become U+FFFD.
@@ -23,20 +26,25 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.chunks import Chunks
 from glyphmill.llm.common import table
 
-#: States and compatible pairs that are kept before all are dropped.
-STATES, PAIRS = 1 << 18, 1 << 19
+#: States and compatible pairs that are kept before all are dropped; bytes of a piece after which ids are emitted.
+STATES, PAIRS, BLOCK = 1 << 18, 1 << 19, 1 << 12
+#: Characters of a text taken at once (longer where no boundary comes); pieces kept in each of two generations, and
+#: the longest one kept.
+SLICE, KEPT, LONGEST = 1 << 18, 1 << 18, 64
+_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Ids decoded at once, and bytes in a batch that a task sends on.
 FEED, BATCH = 1 << 16, 4 << 20
 
@@ -45,20 +53,17 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-#: An end that some token can still reach beyond: the bytes after it, the last token before it (NONE at a piece's
-#: start), and the tokens up to it that aren't emitted yet.
-_Open = tuple[bytes, int, tuple[int, ...]]
 NONE = -1
 
 
 class _State:
-    """The open ends, that of all bytes read last."""
+    """Open ends as (node, last token before it), that of all bytes read last; the token read last and its bytes."""
 
-    __slots__ = ("next", "open")
+    __slots__ = ("next", "open", "size", "token")
 
-    def __init__(self, open_: tuple[_Open, ...]) -> None:
-        self.open = open_
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
+    def __init__(self, open_: tuple[tuple[int, int], ...], token: int, size: int) -> None:
+        self.open, self.token, self.size = open_, token, size
+        self.next: dict[int, _State] = {}
 
 
 class Transducer:
@@ -66,10 +71,22 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        starts = {t[:i] for t in ranks for i in range(1, len(t))}
-        #: For each token and each string that a token starts with: the token or None, and whether a token goes on.
-        self.nodes = {x: (ranks.get(x), x in starts) for x in starts | ranks.keys()}
         self.bytes_of = {i: t for t, i in ranks.items()}
+        #: The trie: children by node and byte; by node the token (NONE if none), its depth, and whether it goes on.
+        self.child: dict[int, int] = {}
+        self.token, self.depth, self.goes_on = [NONE], [0], [False]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                key = node << 8 | byte
+                if key not in self.child:
+                    self.child[key] = len(self.token)
+                    self.goes_on[node] = True
+                    self.token.append(NONE)
+                    self.depth.append(self.depth[node] + 1)
+                    self.goes_on.append(False)
+                node = self.child[key]
+            self.token[node] = i
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self._reset()
@@ -77,7 +94,7 @@ class Transducer:
     def _reset(self) -> None:
         for state in getattr(self, "states", {}).values():
             state.next.clear()  # states refer to each other; so they go without the cycle collector
-        self.start = _State(((b"", NONE, ()),))
+        self.start = _State(((0, NONE),), NONE, 0)
         self.states = {self.start.open: self.start}
 
     def merged(self, piece: bytes, down_to: int = 1) -> list[bytes]:
@@ -126,51 +143,60 @@ class Transducer:
             self.pairs[left, right] = found
         return found
 
-    def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        x = bytes([byte])
-        open_: list[_Open] = []
-        end: _Open | None = None
-        for after, last, path in state.open:
-            after += x
-            node = self.nodes.get(after)
+    def _step(self, state: _State, byte: int) -> _State:
+        child, token, goes_on = self.child, self.token, self.goes_on
+        open_, end, size = [], NONE, 0
+        for node, last in state.open:
+            node = child.get(node << 8 | byte)
             if node is not None:
-                token, goes_on = node
-                if end is None and token is not None and self._compatible(last, token):
-                    end = (b"", token, (*path, token))
-                if goes_on:
-                    open_.append((after, last, path))
-        if end is None:
+                if end == NONE and token[node] != NONE and self._compatible(last, token[node]):
+                    end, size = token[node], self.depth[node]
+                if goes_on[node]:
+                    open_.append((node, last))
+        if end == NONE:
             raise ValueError("the vocabulary lacks a byte or can't be encoded piece by piece")
-        sure, out = 0, end[2]
-        if not open_:
-            sure = len(out)
-        elif open_[0][2]:
-            shortest = min(len(o[2]) for o in open_)
-            while sure < shortest and all(o[2][sure] == out[sure] for o in open_):
-                sure += 1
-        open_.append(end)
-        out = out[:sure]
-        key = tuple((a, t, p[sure:]) for a, t, p in open_) if sure else tuple(open_)
+        open_.append((0, end))
+        key = tuple(open_)
         new = self.states.get(key)
         if new is None:
             if len(self.states) >= STATES:
                 self._reset()
-            new = self.states[key] = _State(key)
-        return new, out
+            new = self.states[key] = _State(key, end, size)
+        state.next[byte] = new
+        return new
+
+    def _certain(self, read: list[_State]) -> int:
+        """How many of the bytes read lie before what the encodings of all open ends have in common."""
+        ends = {len(read) - self.depth[node] for node, _ in read[-1].open}
+        while len(ends) > 1:
+            latest = max(ends)
+            ends.remove(latest)
+            ends.add(latest - read[latest - 1].size)
+        return ends.pop()
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, ids = self.start, []
-        for byte in piece:
-            step = state.next.get(byte)
-            if step is None:
-                step = state.next[byte] = self._step(state, byte)
-            state, out = step
-            if out:
-                ids += out
-        return [*ids, *state.open[-1][2]]
+        state, ids, read = self.start, [], []
+
+        def emit(end: int) -> None:
+            tokens = []
+            while end > 0:
+                tokens.append(read[end - 1].token)
+                end -= read[end - 1].size
+            ids.extend(reversed(tokens))
+
+        for at in range(0, len(piece), BLOCK):
+            if at:
+                sure = self._certain(read)
+                emit(sure)
+                del read[:sure]
+            for byte in piece[at : at + BLOCK]:
+                state = state.next.get(byte) or self._step(state, byte)
+                read.append(state)
+        emit(len(read))
+        return ids
 
 
 class Utf8Stream:
@@ -200,23 +226,40 @@ class Codec:
     def __init__(self, data: bytes, pattern: str) -> None:
         self.transducer = Transducer(parse_ranks(data))
         self.pieces = regex.compile(pattern)
-        self.chunks: Chunks[tuple[int, ...]] = Chunks(lambda parts: [self._chunk(p) for p in parts])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         top = max(self.transducer.bytes_of, default=-1)
         self.table = [self.transducer.bytes_of.get(i, b"") for i in range(top + 1)]
 
-    def _chunk(self, text: str) -> tuple[int, ...]:
-        encode = self.transducer.encode
-        return tuple(chain.from_iterable(encode(p.encode("utf-8", "surrogatepass")) for p in self.pieces.findall(text)))
-
-    def encode(self, text: str) -> Iterator[list[int]]:
-        for values in self.chunks(text):
-            yield list(chain.from_iterable(values))
-
-    def decode(self, ids: Iterable[list[int]]) -> Iterator[str]:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the young generation may not have; when that is full it becomes the old one."""
+        value = self.young.get(piece) or self.old.get(piece)
+        if value is None:
+            value = array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self.young[piece] = value
+        return value
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Ids of a text in slices, as 32-bit little-endian bytes."""
+        at, size = 0, len(text)
+        while at < size:
+            cut = _BOUNDARY.search(text, at + SLICE) if size - at > 2 * SLICE else None
+            end = cut.start() if cut else size
+            pieces = self.pieces.findall(text[at:end])
+            values = list(map(self.young.get, pieces))
+            if None in values:
+                values = [self._piece(p) if v is None else v for p, v in zip(pieces, values, strict=True)]
+            yield b"".join(values)
+            at = end
+
+    def decode(self, ids: Iterable[bytes]) -> Iterator[str]:
         stream = Utf8Stream()
         for some in ids:
-            for at in range(0, len(some), FEED):
-                yield stream.feed(b"".join(map(self.table.__getitem__, some[at : at + FEED])))
+            for at in range(0, len(some), 4 * FEED):
+                yield stream.feed(b"".join(map(self.table.__getitem__, memoryview(some[at : at + 4 * FEED]).cast("i"))))
         yield stream.close()
 
 
@@ -249,14 +292,16 @@ def coded(docs: DataFrame, ranks_file: str | None = None, pattern: str = public_
     def coded_(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = size = 0
-            ids: list[list[int]] = []
+            ids: list[bytes] = []
             texts: list[str] = []
             for i, text in enumerate(batch.column(1)):
-                ids.append(list(chain.from_iterable(codec.encode(text.as_py() or ""))))
+                ids.append(b"".join(codec.encode(text.as_py() or "")))
                 texts.append("".join(codec.decode([ids[-1]])))
-                size += 4 * len(ids[-1]) + len(texts[-1])
+                size += len(ids[-1]) + len(texts[-1])
                 if size > BATCH or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : i + 1], pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : i + 1], lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
                     at, size, ids, texts = i + 1, 0, [], []
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(both, "doc_id long, ids array<int>, decoded string")
