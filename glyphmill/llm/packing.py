@@ -91,22 +91,25 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(
 
 
 class Ids:
-    """Ids of a text as unsigned 32-bit little-endian bytes, by the vocabulary of a tokenizer's file.
+    """Ids of a text as unsigned 32-bit little-endian bytes, just as the tokenizer's file has them.
 
-    The file's merges are in the order of its ids, so its vocabulary serves as ranks, for which there is a faster
-    encoder with the same ids. A text that this one refuses, such as millions of white-space characters together,
-    goes through the tokenizer itself. Strings of special tokens in a text are ordinary text in both.
+    Where the file is plain byte-level BPE whose merges are in the order of its ids, its vocabulary serves as ranks,
+    for which there is a faster encoder with the same ids. A text that holds the string of an added token, or that
+    the faster one refuses, such as millions of white-space characters together, goes through the tokenizer itself;
+    so does every text where the file is anything else.
     """
 
     def __init__(self, vocabulary: str) -> None:
         parsed = json.loads(vocabulary)
-        special = {t["id"] for t in parsed["added_tokens"]}
-        byte_of = _byte_alphabet()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if i not in special}
-        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow, self.vocabulary = None, vocabulary
+        self.slow, self.vocabulary, self.fast = None, vocabulary, None
+        self.added = [t["content"] for t in parsed.get("added_tokens") or []]
+        ranks = _plain_ranks(parsed)
+        if ranks is not None:
+            self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
+        if self.fast is None or any(a in text for a in self.added):
+            return self.by_tokenizer(text)
         try:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         except ValueError:
@@ -115,10 +118,25 @@ class Ids:
     def by_tokenizer(self, text: str) -> bytes:
         if self.slow is None:
             self.slow = Tokenizer.from_str(self.vocabulary)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def _plain_ranks(parsed: dict) -> dict[bytes, int] | None:
+    """Ranks of a tokenizer's file, or None where it does anything but split by the usual pattern and merge bytes by rank."""
+    model, split = parsed["model"], parsed.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    odd = parsed.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or not usual or odd or any(t.get("normalized") for t in parsed.get("added_tokens") or []):
+        return None
+    special = {t["id"] for t in parsed.get("added_tokens") or []}
+    byte_of = _byte_alphabet()
+    vocab = {token: i for token, i in model["vocab"].items() if i not in special}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if [vocab.get(m) for m in merges] != list(range(len(vocab) - len(merges), len(vocab))) or not all(c in byte_of for t in vocab for c in t):
+        return None
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: itself if printable, else the next from U+0100."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
