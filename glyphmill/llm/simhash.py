@@ -15,7 +15,9 @@ meeting is a star of links, exact and in proportion to the fingerprints.
 
 Defined results: a text that is null or has no word has fingerprint zero, linked like any other; fewer than three
 words make one shingle of them all. Repeated rows each get their row. A null doc_id never is a component's id
-unless all its members' are null. Only doc_id and text are read.
+unless all its members' are null. An empty table gives no rows; texts of any length are hashed in parts. Of several
+least doc_ids there is one value, so ties can't arise. Only doc_id and text are read; columns of other names, fp or
+component_id among them, don't matter.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import checkpointed, table
-from glyphmill.llm.components import connected_components
+from glyphmill.llm.common import DOCUMENT_COLUMNS, checkpointed, table
+from glyphmill.operators.components import connected_components
+from glyphmill.operators.skew import skewed_join
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 BLOCKS = 6
@@ -59,15 +62,18 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Columns in ``keep`` (doc_id by default) and fp, a long with the fingerprint's bits."""
+    keep = ["doc_id"] if keep is None else keep
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*keep, "text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes[:-1])
 
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.fromiter((fingerprint(x.as_py()) for x in batch.columns[-1]), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64))], names=[*keep, "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a long with the fingerprint's bits."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.mapInArrow(scanned, f"{schema}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -111,25 +117,40 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
     return pairs.union(stars)
 
 
+def grouped(prints: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(fp, component, least, n) of every different fingerprint, and (component, least, n), with the least doc_ids.
+
+    n counts the rows of a fingerprint, and the fingerprints of a component.
+    """
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    of = connected_components(links(least.select("fp"), cell)).withColumnsRenamed({"node": "fp"})
+    group = checkpointed(least.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    return group, group.groupBy("component").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("n"))
+
+
 def components(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """doc_id, fp and component_id of every row of docs."""
     prints = checkpointed(fingerprints(docs))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of = connected_components(links(least.select("fp"), cell)).withColumnsRenamed({"node": "fp"})
-    group = least.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(group.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    group, ids = grouped(prints, cell)
+    different = group.count()
+    of = skewed_join(group.select("fp", "component", F.col("n").alias("rows")), ids.withColumnRenamed("least", "component_id"), ["component"], different)
+    of = checkpointed(of.select("fp", "component_id", F.col("rows").alias("n")))
+    return skewed_join(prints, of, ["fp"], prints.count()).select("doc_id", "fp", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; of rows that repeat it, one.
+    """One document of each group stays: the one with the least doc_id, rows without one last.
 
-    Rows without a doc_id can't be told apart and stay.
+    Rows that share this doc_id are told apart by a hash of all their columns; of equal rows one stays.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    named = docs.where(F.col("doc_id").isNotNull())
-    first = components(named).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*DOCUMENT_COLUMNS).alias("hash"))
+    prints = checkpointed(fingerprints(docs.withColumn("key", key), ["doc_id", "key"]))
+    group, _ = grouped(prints)
+    first = prints.groupBy("fp").agg(F.min("key").alias("key")).join(group.select("fp", "component"), "fp")
+    first = first.groupBy("component").agg(F.min("key").alias("key")).select(F.col("key.hash").alias("first_hash"), F.col("key.doc_id").alias("first_id"))
+    kept = docs.withColumn("hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(first, F.expr("doc_id <=> first_id and hash = first_hash"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash"]).select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
