@@ -19,7 +19,8 @@ MISS, and less beyond it; tests measure it against brute force.
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components, and those whose label
 is null, link with nothing: n_links 0, component_id their own vec_id, kept true. Vectors of different dimension
 never link. Rows that repeat a vector link with each other and are counted as other vectors. A null vec_id is
-never a component's id unless all its members' are null. Only vec_id, embedding and label are read.
+never a component's id unless all its members' are null. An empty table gives no rows. Only vec_id, embedding and
+label are read; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import checkpointed, table
-from glyphmill.llm.components import connected_components
+from glyphmill.operators.components import connected_components
+from glyphmill.operators.skew import skewed_join
 
 THRESHOLD = 0.98
 BLOCKS = 2
@@ -45,35 +47,33 @@ BOUND = 2 * math.log(1 / MISS)
 GROUP = 512
 SEED = 7
 
-_Codes = tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]
+_Codes = tuple[np.ndarray, list[np.ndarray]]
 
 
 def codebook(dim: int, words: int) -> _Codes:
-    """A rotation, and for each block its codewords and the distances between them."""
+    """A rotation, and for each block its codewords, which are unit vectors."""
     rng = np.random.default_rng([SEED, dim, words])
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    codes, apart = [], []
+    codes = []
     for part in np.array_split(np.arange(dim), min(BLOCKS, dim)):
         c = rng.standard_normal((words, len(part)))
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        codes.append(c)
-        d = np.linalg.norm(c[:, None] - c[None], axis=2)
-        apart.append(np.where(d > 0, d, np.inf))
-    return rotation, codes, apart
+        codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12))
+    return rotation, codes
 
 
 def decode(vectors: np.ndarray, book: _Codes, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, filter, whether it is the row's home) of all filters within reach of each unit vector."""
-    rotation, codes, apart = book
+    rotation, codes = book
     words = len(codes[0])
     turned = vectors @ rotation
     rows, filters, cost, home = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors)), np.ones(len(vectors), bool)
     at = 0
-    for c, d in zip(codes, apart, strict=True):
+    for c in codes:
         inner = turned[:, at : at + c.shape[1]] @ c.T
         at += c.shape[1]
         best = inner.argmax(axis=1)
-        gap = ((inner.max(axis=1, keepdims=True) - inner) / d[best]) ** 2
+        apart = 2 - 2 * (c[best] @ c.T)  # squared, of the best codeword from each; equal ones can't be told apart
+        gap = (inner.max(axis=1, keepdims=True) - inner) ** 2 / np.where(apart > 1e-12, apart, np.inf)
         gap[np.arange(len(best)), best] = 0
         total = cost[:, None] + gap[rows]
         i, w = np.nonzero(total <= reach)
@@ -164,15 +164,17 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     valid = rows.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    # A class is found again by 128 bits of its vector's and label's hashes, so vectors aren't shuffled a second time.
+    hashes = {"k1": F.xxhash64("label", "embedding"), "k2": F.xxhash64(F.lit("second"), "embedding", "label")}
     classes = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count(F.lit(1)).alias("n"))
-    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = checkpointed(classes.withColumns(hashes).withColumn("id", F.monotonically_increasing_id()))
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     words = max(1, round((largest / PER_HOME) ** (1 / BLOCKS)))
     sent = checkpointed(classes.select("id", "embedding", "label", "n").mapInArrow(_sent(words, threshold), f"dim int, label string, filter long, home boolean, id long, embedding {kind}, n long"))
     key = ["dim", "label", "filter"]
     groups = lambda c: F.ceil(F.count(F.when(c, 1)) / GROUP).cast("int")
-    sizes = sent.groupBy(key).agg(groups(F.col("home")).alias("homes"), groups(F.lit(True)).alias("visits")).where("homes > 0")
-    met = sent.join(sizes, key)
+    sizes = sent.groupBy(key).agg(groups(F.col("home")).alias("homes"), groups(F.lit(True)).alias("visits"), F.count(F.lit(1)).alias("n_")).where("homes > 0")
+    met = skewed_join(sent.withColumnRenamed("n", "copies"), checkpointed(sizes.withColumnRenamed("n_", "n")), key, sent.count()).withColumnRenamed("copies", "n")
     slot = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     homes = met.where("home").select(*key, slot(F.col("homes")).alias("h"), span("visits").alias("v"), F.lit(True).alias("home"), "id", "embedding", "n")
@@ -182,12 +184,16 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = checkpointed(dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_linked(threshold), "u long, v long, n long"))
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "id")
     of = connected_components(found.where("v is not null").select("u", "v")).withColumnRenamed("node", "id")
-    group = classes.select("id", "vec", "label", "embedding", "n").join(of, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    ids = group.groupBy("component").agg(F.min("vec").alias("component_id"))
-    result = group.join(ids, "component").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    out = rows.join(result, ["label", "embedding"], "left")
+    group = classes.select("id", "vec", "k1", "k2", "n").join(of, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    group = checkpointed(group.withColumnRenamed("n", "copies"))
+    ids = group.groupBy("component").agg(F.min("vec").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    result = skewed_join(group, ids, ["component"], group.count())
+    result = checkpointed(result.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("n")))
+    known = skewed_join(valid.withColumns(hashes).select("vec_id", "k1", "k2"), result, ["k1", "k2"], result.agg(F.sum("n")).first()[0] or 0)
+    other = rows.where(F.col("label").isNull() | ~F.coalesce(finite, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = known.select("vec_id", "n_links", "component_id").union(other)
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
