@@ -9,16 +9,21 @@ they are dealt over pages of one shard, numbered by task and place in it. So eve
 one that holds a single row which is larger itself (``over_limit``).
 
 Defined results: null text has no bytes, a null doc_id is hashed as the empty string. An empty table has no shard.
+A text over the limit is a page of its own. Repeated rows are dealt over pages in the order of tasks; as they are
+equal, which goes where makes no difference. Columns that aren't asked for don't matter, whatever their names; those
+named shard, depth, page, bytes or over_limit can't be asked for by ``sharded`` and are written by ``write`` as they
+are only under other names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import checkpointed, table
+from glyphmill.operators.skew import skewed_join
 
 #: The byte limit of a shard's texts; large outputs take a larger one.
 SHARD_BYTES = 1 << 20
@@ -39,8 +44,9 @@ def sharded(docs: DataFrame, limit: int = SHARD_BYTES, keep: list[str] | None =
     keep = ["doc_id"] if keep is None else keep
     named = {f"keep_{i}": F.col(c) for i, c in enumerate(keep)}
     rows = docs.select(*[c.alias(n) for n, c in named.items()], _hash().alias("h"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
-    sizes = checkpointed(rows.groupBy("h").agg(F.sum("bytes").alias("bytes")))
-    total = sizes.agg(F.sum("bytes")).first()[0]
+    rows = checkpointed(rows)  # the hashes of all texts are made once
+    sizes = checkpointed(rows.groupBy("h").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    total, n_rows = sizes.agg(F.sum("bytes"), F.sum("n")).first()
     if total is None:
         return rows.select(*[F.col(n).alias(c) for n, c in zip(named, keep, strict=True)], F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("page"), "bytes", F.lit(False).alias("over_limit"))
     low, high, left, directory = -1, min(BITS, step + max(0, math.ceil(math.log2(max(1, total) / limit)))), sizes, None
@@ -64,15 +70,16 @@ def sharded(docs: DataFrame, limit: int = SHARD_BYTES, keep: list[str] | None =
         low, high = high, min(BITS, high + 2 * step)
     # A hash finds its shard by the depths that shards have: at most BITS + 1 of them, and one shard matches.
     depths = sorted(r["depth"] for r in directory.select("depth").distinct().collect())
-    found = sizes.select("h", F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("h"), F.lit(BITS) - F.col("depth")))
-    found = found.join(directory, ["depth", "prefix"]).select("h", "depth", "prefix", ((F.col("size") > limit) & (F.col("first") == F.col("last"))).alias("paged"))
-    out = rows.join(found, "h")
+    found = sizes.select("h", "n", F.explode(F.array(*[F.lit(d) for d in depths])).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("h"), F.lit(BITS) - F.col("depth")))
+    found = found.join(directory, ["depth", "prefix"]).select("h", "n", "depth", "prefix", ((F.col("size") > limit) & (F.col("first") == F.col("last"))).alias("paged"))
+    out = skewed_join(rows, checkpointed(found), ["h"], n_rows)
     plain = out.where("not paged").withColumn("page", F.lit(0).cast("long"))
     # Rows of one hash are alike. Their place is counted within a task's rows, after the rows of the tasks before.
     many = checkpointed(out.where("paged").withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()))
     tasks = many.groupBy("h", "task").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("from"))
-    before = tasks.alias("a").join(tasks.alias("b"), "h").where("b.task < a.task or a.task = b.task").groupBy("h", F.col("a.task").alias("task"), F.col("a.from").alias("from")).agg((F.sum("b.n") - F.first("a.n")).alias("before"))
-    placed = many.join(before, ["h", "task"])
+    earlier = F.sum("n").over(Window.partitionBy("h").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    before = tasks.select("h", "task", "from", F.coalesce(earlier, F.lit(0)).alias("before"), "n")
+    placed = skewed_join(many, checkpointed(before), ["h", "task"], n_rows)
     pages = placed.withColumn("page", F.floor((F.col("before") + F.col("place") - F.col("from")) / F.greatest(F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1))), F.lit(1))).cast("long"))
     columns = [*named, "depth", "prefix", "page", "bytes"]
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))
