@@ -2,11 +2,13 @@
 
 Training counts n-grams per language on the executors, each task adding up its documents before anything is
 shuffled; the matrix of log-probabilities is broadcast, and texts are scored in numpy from the sparse n-grams
-they hold. Every text is scored whole, in pieces of bounded size.
+they hold: a batch of texts is a sparse matrix of n-gram counts, multiplied by the matrix of log-probabilities in
+parts of bounded size. Every text is scored whole, in pieces of bounded size.
 
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0; so is every text where
 no language was learned. Ties go to the first language in order. Repeated rows are scored each for itself. A null
 doc_id is in no fold: never learned from, held_out false. Rows with lang null are scored and never learned from.
+An empty table gives no rows and no language. Columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PIECE = 1 << 18
 #: The broadcast matrix holds a column for each language; more labels than this are an error, not a cut.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
+#: Numbers of the sparse product held at once.
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -107,15 +111,52 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS_PER_LANGUAGE) -> Model:
     return Model(languages, np.log(prior / prior.sum()), np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-def score(text: str | None, model: Model) -> tuple[str, float]:
-    """The language and its posterior probability."""
-    if not model.languages or not _has_letter(text):
-        return UNKNOWN, 0.0
-    total = model.log_prior.astype(np.float64).copy()
+def _sparse(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Different buckets and their counts, piece by piece."""
     for codes in _pieces(text):
-        total += model.log_prob[ngrams(codes)].sum(axis=0, dtype=np.float64)
-    best = int(total.argmax())
-    return model.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        grams = ngrams(codes).astype(np.uint16)
+        grams.sort(kind="stable")  # by radix
+        starts = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+        yield grams[starts], np.diff(np.append(starts, len(grams)))
+
+
+def _product(rows: list[int], parts: list[tuple[np.ndarray, np.ndarray]], model: Model, totals: np.ndarray) -> None:
+    """Adds a sparse matrix of counts, in parts of one row each, times the matrix of log-probabilities."""
+    sizes = np.array([len(b) for b, _ in parts])
+    buckets, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        sums = np.add.reduceat(model.log_prob[buckets] * counts[:, None].astype(np.float64), (np.cumsum(sizes) - sizes)[full], axis=0)
+        np.add.at(totals, np.array(rows)[full], sums)
+
+
+def scores(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+    """The language of each text and its posterior probability; at most about CELLS numbers are held at once."""
+    totals = np.tile(model.log_prior.astype(np.float64), (len(texts), 1))
+    known = [bool(model.languages) and _has_letter(t) for t in texts]
+    rows: list[int] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held, room = 0, max(1, CELLS // max(1, len(model.languages)))
+    for i in np.flatnonzero(known).tolist():
+        for buckets, counts in _sparse(texts[i]):
+            for at in range(0, len(buckets), room):
+                rows.append(i)
+                parts.append((buckets[at : at + room], counts[at : at + room]))
+                held += len(parts[-1][0])
+                if held >= room:
+                    _product(rows, parts, model, totals)
+                    rows, parts, held = [], [], 0
+    if parts:
+        _product(rows, parts, model, totals)
+    out = []
+    for ok, total in zip(known, totals, strict=True):
+        best = int(total.argmax()) if ok else 0
+        out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum())) if ok else (UNKNOWN, 0.0))
+    return out
+
+
+def score(text: str | None, model: Model) -> tuple[str, float]:
+    return scores([text], model)[0]
 
 
 def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -125,7 +166,7 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> D
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [score(x.as_py(), shared.value) for x in batch.column(len(keep))]
+            got = scores([x.as_py() for x in batch.column(len(keep))], shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     docs = docs.select(*keep, F.col("text").alias("text_"))
