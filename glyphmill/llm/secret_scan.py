@@ -6,7 +6,9 @@ the one before it. The samples are random strings made by rule and words of a bo
 what comes to the driver is one table of at most 95 x 95 counts for each label.
 
 Defined results: null and empty texts have no span; repeated rows are scanned each for itself; an empty table
-gives an empty result, scored by the rule-made samples alone. Only doc_id and text are read.
+gives an empty result, scored by the rule-made samples alone. Texts of any length are scanned in time in proportion
+to their length, but for the ends of matches, which take the root of their count each. A score equal to the threshold
+is a secret. Only doc_id and text are read; columns of other names don't matter.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ BASE = (
 PROBE = {"hex": r"[0-9a-f]{32}"}
 #: What the models are asked about: runs of identifier characters, with or without a digit.
 CANDIDATE = r"[A-Za-z0-9_+/=-]{8,}"
-#: Words left out of the ordinary sample.
-SUSPECT = r"(?=[A-Za-z_+/=-]*[0-9])[A-Za-z0-9_+/=-]{20,}"
+#: Words left out of the ordinary sample: those with such a run that holds a digit.
+SUSPECT = r"[A-Za-z0-9_+/=-]{20,}"
 KINDS = [k for k, *_ in BASE] + ["markov"]
 #: Mean log-likelihood ratio per character, in nats, above which a candidate is a secret.
 THRESHOLD = 0.75
@@ -78,7 +80,7 @@ def samples(docs: DataFrame) -> DataFrame:
     """Labelled samples: value, random. Ordinary ones are words of about SAMPLE_DOCS documents, as they are and, up to 64 characters, in capitals and joined by capitals, but for long runs with a digit."""
     n = docs.count()
     words = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select(F.explode(F.array_distinct(F.split("text", GAP))).alias("value"))
-    suspect = F.col("value").rlike(SUSPECT)
+    suspect = F.exists(F.regexp_extract_all("value", F.lit(SUSPECT), F.lit(0)), lambda x: x.rlike("[0-9]"))
     for kind_, pattern, _ in BASE:
         suspect = suspect | F.col("value").rlike(PROBE.get(kind_, pattern))
     named = words.where((F.length("value") >= 4) & ~suspect).select(F.explode(F.when(F.length("value") <= 64, F.array("value", F.upper("value"), F.repeat(F.initcap("value"), 2))).otherwise(F.array("value"))).alias("value"), F.lit(False).alias("random"))
