@@ -1,7 +1,11 @@
 """Operators over many rows together, against plain versions and on odd rows."""
 
+import collections
+import itertools
+import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -137,15 +141,104 @@ def test_shards_and_quotes_match_sql(spark, sf, duck, same_rows):
     assert same_rows(cap_filters.query(spark, sf).toPandas(), duck.execute(cap_filters.SQL).df())
 
 
+MESSAGES = "conv_id long, turn long, role string, text string"
+
+
+def plain_replies(rows):
+    """{(conv_id, turn): (reply_to, links)} by the definition, message against message."""
+
+    def parsed(text):
+        out = []
+        for line in text.split("\n"):
+            mark = re.match(r"(?: {0,3}>)+ ?", line)
+            mark = mark.group() if mark else ""
+            out.append((mark.count(">"), " ".join(re.split("[ \t\n\x0b\f\r]+", line[len(mark) :].lower())).strip()))
+        return out
+
+    def passages(text):
+        for level, run in itertools.groupby(parsed(text), key=lambda x: x[0]):
+            lines = [x for _, x in run]
+            paragraphs = [list(g) for filled, g in itertools.groupby(lines, key=bool) if filled]
+            yield level, [[sum(paragraphs, [])] if paragraphs else [], paragraphs, [[x] for x in lines if x]]
+
+    wrote = collections.defaultdict(set)
+    for conv, turn, _, text in rows:
+        for level, kinds in passages(text or ""):
+            if not level:
+                wrote[conv, turn] |= {tuple(u) for k in kinds for u in k}
+    out = {}
+    found = collections.defaultdict(collections.Counter)
+    for conv, turn, text in {(c, t, x) for c, t, _, x in rows if None not in (c, t, x)}:
+        for level, kinds in passages(text):
+            for units in kinds if level else ():
+                hits = [(len(u), [t for (c, t), w in wrote.items() if c == conv and t is not None and t < turn and tuple(u) in w]) for u in units]
+                for n, turns in hits:
+                    if turns:
+                        found[conv, turn][level, max(turns)] += n
+                if any(turns for _, turns in hits):
+                    break
+    for key, links in found.items():
+        reply = min(links, key=lambda x: (x[0], -links[x], -x[1]))[1]
+        out[key] = reply, ",".join(f"{a}:{b}" for a, b in sorted(links))
+    return out
+
+
+def chats():
+    """Conversations whose messages quote earlier ones whole, in part and nested, with common lines and repeated rows."""
+    r = random.Random(3)
+    rows = []
+    for conv in range(40):
+        texts = []
+        for turn in range(r.randrange(1, 14)):
+            lines = []
+            for _ in range(r.randrange(0, 3)):
+                if texts:
+                    old = r.choice(texts).split("\n")
+                    a = r.randrange(len(old))
+                    lines += [("> " if r.random() < 0.7 else ">") + (x.upper() if r.random() < 0.2 else x) for x in old[a : a + r.randrange(1, 6)]]
+                if r.random() < 0.7:
+                    lines += [r.choice(["thanks", "yes", "", f"words {conv % 3} {turn} {r.randrange(9)}", "a  common line"]) for _ in range(r.randrange(1, 5))]
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, r.choice(["user", "assistant"]), texts[-1]))
+    return [*rows, rows[3], rows[50], (None, 1, "u", "> thanks"), (1, None, "u", "> thanks"), (2, 20, "u", None)]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_quote_links_against_plain_version(spark, monkeypatch, block, same_rows):
+    monkeypatch.setattr(quote_links, "BLOCK", block)
+    rows = chats()
+    messages = spark.createDataFrame(rows, MESSAGES)
+    out = quote_links.linked(messages)
+    want = plain_replies(rows)
+    assert len(want) > 70 and len({x for _, l in want.values() for x in l.split(",") if x > "2"}) > 5
+    assert out.count() == len(rows)
+    for r in out.collect():
+        assert (r.reply_to, r.links) == want.get((r.conv_id, r.turn), (None, ""))
+    con = duckdb.connect()
+    con.register("conversations", messages.toArrow())
+    assert same_rows(out.toPandas(), con.execute(quote_links.SQL).df())
+
+
 def test_quote_links(spark):
     rows = [(1, 0, "u", "Hello there\nHow are you?"), (1, 1, "a", "> Hello there\nI am fine"), (1, 2, "u", "> > how are  YOU?\n> I am fine\n\nGood"), (1, 3, "u", "none"), (1, 4, "u", None), (1, 5, "u", ">"), (2, 1, "u", "> I am fine\nx"), (None, 1, "u", "> I")]
-    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("thread", F.lit("clash"))
-    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.max_level, r.n_quoted, r.text) for r in quote_links.linked(m).collect()}
-    assert got[1, 1] == (0, 0, 1, 1, "I am fine") and got[1, 2] == (1, 0, 2, 2, "\nGood")
-    assert got[1, 4] == (None, 4, 0, 0, None) and got[1, 5] == (None, 5, 1, 1, "") and got[2, 1] == (None, 1, 1, 1, "x") and got[None, 1][0] is None
+    m = spark.createDataFrame(rows, MESSAGES).withColumn("thread", F.lit("clash")).withColumn("links", F.lit("clash"))
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread, r.max_level, r.n_quoted, r.links, r.text) for r in quote_links.linked(m).collect()}
+    assert got[1, 1] == (0, 0, 1, 1, "1:0", "I am fine") and got[1, 2] == (1, 0, 2, 2, "1:1,2:0", "\nGood")
+    assert got[1, 4] == (None, 4, 0, 0, "", None) and got[1, 5] == (None, 5, 1, 1, "", "") and got[2, 1] == (None, 1, 1, 1, "", "x") and got[None, 1][0] is None
     assert quote_links.linked(m.limit(0)).count() == 0
     long = [(1, i, "u", f"line {i}" if not i else f"> line {i - 1}\nline {i}") for i in range(40)]
-    assert {r.thread for r in quote_links.linked(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).collect()} == {0}
+    assert {r.thread for r in quote_links.linked(spark.createDataFrame(long, MESSAGES)).collect()} == {0}
+    # A common line doesn't outweigh the passage, the latest writer before is meant, and deeper quotes link alone.
+    rows = [(1, 0, "u", "first\nthanks"), (1, 1, "a", "thanks"), (1, 2, "u", "> first\n> thanks\nok"), (1, 3, "u", "> thanks\nwell"), (1, 4, "u", "thanks"), (1, 5, "u", "> > first\nso")]
+    got = {r.turn: (r.reply_to, r.thread) for r in quote_links.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert [got[i] for i in (2, 3, 5)] == [(0, 0), (1, 1), (0, 0)]
+
+
+def test_quote_links_of_a_very_long_message(spark):
+    text = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(1, 0, "u", text), (1, 1, "u", "> " + text.replace("\n", "\n> ") + "\nend"), (1, 2, "u", "x" * 500_000)]
+    got = {r.turn: (r.reply_to, r.n_quoted, len(r.text)) for r in quote_links.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == {0: (None, 0, len(text)), 1: (0, 30_000, 3), 2: (None, 0, 500_000)}
 
 
 def test_pipeline(spark, sf):

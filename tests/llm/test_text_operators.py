@@ -1,6 +1,7 @@
 """Operators over each document for itself, against plain versions and on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -67,6 +68,41 @@ def test_language_id(spark, sf, odd, empty):
     assert language_id.train(empty).languages == () and language_id.predicted(empty, language_id.train(empty)).count() == 0
 
 
+def test_language_id_against_plain_naive_bayes(spark, monkeypatch):
+    """Counts by dict, one n-gram and one text at a time."""
+    rows = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der Hund und die Katze", "de"), ("the house", "en"), ("la maison", "fr"), ("das Haus", "de")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def buckets(text):
+        text = f" {text} ".lower()
+        out = []
+        for at in range(len(text) - 2):
+            h = 0
+            for k in (1, 2, 3):
+                h = (h ^ ord(text[at + k - 1])) * 0x9E3779B1 % (1 << 32)
+                h ^= h >> 15
+                out.append((h + k) % (1 << 16))
+        return out
+
+    counts, seen = {}, {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            seen[lang] = seen.get(lang, 0) + 1
+            for b in buckets(text):
+                counts.setdefault(lang, {}).setdefault(b, 0)
+                counts[lang][b] += 1
+    model = language_id.train(docs)
+    monkeypatch.setattr(language_id, "CELLS", 60)  # many parts
+    texts = ["the dog is in the house", "la chien", "ein Hund", "x", None, "", "12 !", "le haus " * 50]
+    for text, got in zip(texts, language_id.scores(texts, model), strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert got == ("und", 0.0)
+            continue
+        logs = {x: math.log(seen[x] / sum(seen.values())) + sum(math.log((counts[x].get(b, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * (1 << 16))) for b in buckets(text)) for x in sorted(counts)}
+        best = max(logs, key=logs.get)
+        assert got[0] == best and got[1] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-4)
+
+
 def test_language_id_pieces(monkeypatch, spark, sf):
     model = language_id.train(spark.read.parquet(f"{sf}/documents.parquet"))
     text = "der Hund und die Katze gehen nach Hause " * 30
@@ -77,7 +113,6 @@ def test_language_id_pieces(monkeypatch, spark, sf):
 
 def reference_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
 
 
@@ -104,7 +139,11 @@ def test_packing_falls_back_to_the_tokenizer():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         ids = packing.Ids(f.read())
     text = " \n" * 500_000 + "end"
-    assert ids(text) == ids.by_tokenizer(text)
+    assert ids.fast and ids(text) == ids.by_tokenizer(text)
+    assert np.frombuffer(ids("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = packing.Ids(f.read())
+    assert words.fast is None and np.frombuffer(words("Hello, World"), "<u4").tolist() == words.slow.encode("Hello, World", add_special_tokens=False).ids
     assert packing.tail_cuts(16, 0)[15] and all(sum(x) == i for i, x in enumerate(packing.tail_cuts(1024, 8)))
 
 
@@ -122,9 +161,9 @@ def test_transducer_against_library(tokens):
     parts = ["a", "b", " ", "  ", "\n", "'s", "'ll", "é", "ß", "日本", "🙂", "1", "23", "--", " ", "\x1c", "\t", "the", "ing", "ção", "́", "Ω", "я", "aaaa"]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(1, 30)))
-        ids = [i for x in codec.encode(text) for i in x]
-        assert ids == library.encode_ordinary(text)
-        assert "".join(codec.decode([[i] for i in ids])) == text
+        data = b"".join(codec.encode(text))
+        assert np.frombuffer(data, "<i4").tolist() == library.encode_ordinary(text)
+        assert "".join(codec.decode(data[i : i + 4] for i in range(0, len(data), 4))) == text
 
 
 def test_transducer_forgets_and_goes_on(tokens, monkeypatch):
@@ -136,6 +175,15 @@ def test_transducer_forgets_and_goes_on(tokens, monkeypatch):
         assert small.encode(word.encode()) == library.encode_ordinary(word)
 
 
+def test_transducer_emits_long_pieces_in_blocks(tokens, monkeypatch):
+    codec, library = tokens
+    monkeypatch.setattr(byte_bpe, "BLOCK", 7)
+    r = random.Random(8)
+    for _ in range(300):
+        word = "".join(r.choice(["a", "b", "th", "er", "internation", "x", "aaaa", "\u00e9"]) for _ in range(r.randrange(1, 40)))
+        assert codec.transducer.encode(word.encode()) == library.encode_ordinary(word)
+
+
 def test_utf8_stream_in_any_cuts():
     text = "aé日🙂z"
     data = text.encode()
@@ -187,7 +235,7 @@ def test_pii_terms_and_text(spark, odd, empty):
     assert text[10] == rows[10][1] and text[60] is None and text[61] == ""
     copies = spark.createDataFrame([(i, "Zebulon mail boss@corp.example.com now") for i in range(20)], "doc_id long, text string")
     assert sanitise.scanned(copies).where("size(terms) > 0").count() == 0
-    assert sanitise.scanned(odd).count() == len(ODD) and sanitise.scanned(empty).count() == 0
+    assert len(sanitise.scanned(odd).collect()) == len(ODD) and sanitise.scanned(empty).collect() == []
 
 
 def test_pii_terms_are_marked_wherever_they_stand(spark):
@@ -227,6 +275,81 @@ def test_pii_terms_count_different_texts(spark, monkeypatch):
     assert len(found) == 503 and len(x) == 1 and abs(x.pop() - (1 - np.log((3 + 3 / 303) / 4) / np.log(3 / 303))) < 1e-9
 
 
+def plain_terms(texts, threshold=0.75, prior=1.0):
+    """{text: (start, end) of its terms}, by the definition, each text searched for each term."""
+    texts = list(dict.fromkeys(t or "" for t in texts))
+    word = re.compile(r"[^\W_](?:[\w'-]*[^\W_])?")
+    term = lambda w: w.lower() if len(w) >= 4 else None if w[0].islower() else w
+    free = lambda t: [m for m in word.finditer(t) if not any(a < m.end() and m.start() < b for _, a, b in base(t))]
+    windows, holds, about = {}, {}, {}
+    for t in texts:
+        for w in set(word.findall(t)):
+            holds.setdefault(term(w), set()).add(t)
+        for kind, a, b in base(t):
+            entity = (kind, t[a:b].lower() if kind == 0 else t[a:b] if kind == 1 else re.sub("[^0-9]", "", t[a:b]))
+            about.setdefault(entity, set()).add(t)
+            sides = []
+            for side in ([m.group() for m in free(t) if m.start() < a][::-1], [m.group() for m in free(t) if m.start() >= a]):
+                side = side[:24]
+                eighth = ([i for i, w in enumerate(side) if len(w) >= 4] + [99] * 8)[7]
+                sides.append(side[: eighth + 1])
+            near = [x for w in [*sides[0][::-1], *sides[1]] if (x := term(w))]
+            for x in near:
+                windows.setdefault((entity, x), []).append((t, tuple(near)))
+    told = {}
+    for (entity, x), met in windows.items():
+        both, weight, n = len({t for t, _ in met}), len({w for _, w in met}), max(2, len(texts))
+        share = min(len(about[entity]), n - 1) / n
+        given = (weight * min(1, both / len(holds[x])) + prior * share) / (weight + prior)
+        told[x] = max(told.get(x, -9), 1 - math.log(given) / math.log(share))
+    return {t: [m.span() for m in free(t) if told.get(term(m.group()), -9) >= threshold] for t in texts}
+
+
+def test_pii_terms_against_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(sanitise, "FLUSH", 7)
+    r = random.Random(9)
+    words = ["report", "Zebulon", "Bo", "river", "mail", "of", "x_y", "l'été", "budget", "Ann-Marie", "item", "plain", "(house)", "a", "77", "Q3"]
+    entities = ["boss@corp.example.com", "10.0.0.7", "4111 1111 1111 1111", "+1 202 555 0143 9", "z@y.example.org"]
+    rows = []
+    for i in range(150):
+        text = [r.choice(words[3:]) for _ in range(r.randrange(0, 40))]
+        if r.random() < 0.2:
+            e = r.randrange(5)
+            text[len(text) // 2 : len(text) // 2] = [f"Name{e}", entities[e], f"case{e}"]
+        if r.random() < 0.1:
+            text += [r.choice(words[:3]), r.choice(["boss@corp.example.com.", f"Name{r.randrange(5)},", "name1"])]
+        rows.append((r.choice([i, 7, None]), r.choice([" ", "  ", "\n"]).join(text)))
+    rows += [rows[5]] * 30 + [(3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_terms([t for _, t in rows])
+    assert 20 < sum(map(len, want.values()))
+    for searched, light in ((16, 10_000), (0, 20)):
+        monkeypatch.setattr(sanitise, "SEARCHED", searched)
+        monkeypatch.setattr(sanitise, "LIGHT", light)
+        got = sanitise.scanned(docs)
+        digests = docs.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")).distinct()
+        seen = got.join(digests, "digest").collect()
+        assert got.count() == len(rows) and {r.text or "" for r in seen} == set(want)
+        for r_ in seen:
+            assert [(t.start, t.end) for t in r_.terms] == want[r_.text or ""], r_.text
+    text = sorted((str(r.doc_id), str(r.text)) for r in sanitise.sanitised(docs).collect())
+    assert len(text) == len(rows) and not any(e in t for _, t in text for e in entities)
+    assert [str(i) for i, _ in text] == sorted(str(i) for i, _ in rows)
+
+
+def test_pii_masks_rows_without_and_with_repeated_id(spark):
+    rows = [(None, "mail bob@corp.example.com now"), (1, "x"), (1, "call 10.1.2.3"), (1, "x"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("terms", F.lit("clash"))
+    got = sorted((str(r.doc_id), str(r.text)) for r in sanitise.sanitised(docs, threshold=9.0).collect())
+    assert got == [("1", "call [IP]"), ("1", "x"), ("1", "x"), ("None", "None"), ("None", "mail [EMAIL] now")]
+
+
+def test_pii_of_very_many_entities(spark):
+    text = " ".join(f"user{i}@corp.example.com, 1" for i in range(50_000))
+    r = sanitise.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(r.base) == 50_000
+
+
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
 
@@ -244,7 +367,44 @@ def test_secrets(spark, sf, odd, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.base] for x in secret_scan.scanned(docs).collect()}
     assert got == {i: secrets(t) for i, t in rows}
-    assert secret_scan.scanned(odd).count() == len(ODD) and secret_scan.scanned(empty).count() == 0
+    found = secret_scan.scanned(odd, ["doc_id", "text"]).collect()
+    assert sorted(repr((x.doc_id, [(s.start, s.kind, s.end) for s in x.base])) for x in found) == sorted(repr((i, secrets(t or ""))) for i, t in ODD)
+    assert secret_scan.scanned(empty).collect() == []
+
+
+def test_secret_models_against_plain_version(spark, sf):
+    """Models trained and asked in Python, a character at a time, over the same samples."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    count = {True: np.full((95, 95), 0.5), False: np.full((95, 95), 0.5)}
+    r = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
+    extra = [(-i, " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(4, 40))) for _ in range(5)) + r.choice(["", ".", "\u00e9"])) for i in range(1, 60)]
+    both = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
+    for value, is_random in secret_scan.samples(both).collect():
+        codes = [ord(c) - 32 for c in value if 32 <= ord(c) < 127]
+        for a, b in zip(codes, codes[1:], strict=False):
+            count[is_random][a, b] += 1
+    ratio = np.log(count[True] / count[True].sum(1, keepdims=True)) - np.log(count[False] / count[False].sum(1, keepdims=True))
+    some = both.where("doc_id < 0 or doc_id % 5 = 0").collect()
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.spans] for x in secret_scan.scanned(both).collect()}
+    # The model is given in four decimals, so texts with a run at the very threshold are left out.
+    unsure, found = 0, 0
+    for doc_id, text in some:
+        want = secrets(text)
+        for m in re.finditer("[A-Za-z0-9_+/=-]{8,}", text):
+            codes = [ord(c) - 32 for c in m.group()]
+            score = sum(ratio[a, b] for a, b in zip(codes, codes[1:], strict=False)) / max(len(codes) - 1, 19)
+            free = not any(a < m.end() and m.start() < b for a, _, b in secrets(text))
+            if free and abs(score - 0.75) < 0.0005:
+                unsure += 1
+                want = None
+                break
+            if free and score >= 0.75:
+                want.append((m.start(), 3, m.end()))
+                found += 1
+        if want is not None:
+            assert got[doc_id] == sorted(want), text[:200]
+    assert found > 100 and unsure < 5
 
 
 def test_secret_models_and_redaction(spark, sf):
