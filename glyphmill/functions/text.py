@@ -62,13 +62,14 @@ def word_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance of word sequences: each word of the pair becomes one code point, which the built-in compares."""
 
     def coded(sequence: Column, known: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFF), 4, "0")), "UTF-16BE")
+        place = lambda w: F.array_position(known, w) + 0xFF
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + F.when(place(w) < 0xD800, 0).otherwise(0x800)), 8, "0")), "UTF-32")
         return F.array_join(F.transform(sequence, code), "")
 
     pair = F.struct(words(left).alias("a"), words(right).alias("b"))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     known = lambda p: F.array_distinct(F.concat(p["a"], p["b"]))
-    return let(pair, lambda p: let(known(p), lambda k: F.when(F.size(k) > 55000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(coded(p["a"], k), coded(p["b"], k)))))
+    return let(pair, lambda p: let(known(p), lambda k: F.when(F.size(k) > 1_100_000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(coded(p["a"], k), coded(p["b"], k)))))
 
 
 def score(prediction: Column, reference: Column, raw: bool = True) -> Column:

@@ -104,16 +104,17 @@ def _alike(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compared
 
 
-def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs of texts in different splits that are alike once digits are masked: all that a comparison of all finds.
+def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9, min_words: int = 12) -> DataFrame:
+    """Pairs of texts of ``min_words`` or more in different splits, alike once numbers are masked: all that a comparison of all finds.
 
     Equal masked texts are one class with ratio 1, so only distinct ones are compared, block against block, with
     those whose length allows the ratio: lengths of a pair are in the same or adjoining classes. In a block a pair is
     left out only where it cannot reach the threshold: with m matching of T characters in all, the matches are at
     most 1 + T - 2m blocks, so the texts share m - (q - 1)(1 + T - 2m) runs of q characters or more.
     """
-    masked = F.regexp_replace(F.lower(F.col(text)), "[0-9]+", "#")
-    rows = df.select(F.col(key).alias("k"), masked.alias("t"), F.col(split).alias("s")).where("s is not null and t <> ''").withColumn("h", F.sha2("t", 256))
+    masked = F.regexp_replace(F.lower(F.col(text)), r"\p{Nd}+(?:\.\p{Nd}+)?", "<number>")
+    long = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) >= min_words
+    rows = df.where(long).select(F.col(key).alias("k"), masked.alias("t"), F.col(split).alias("s")).where("s is not null and t <> ''").withColumn("h", F.sha2("t", 256))
     width = math.log((2 - threshold) / threshold) + 1e-9 if threshold > 0 else math.inf
     texts = rows.groupBy("h").agg(F.first("t").alias("t"), F.min("s").alias("lo"), F.max("s").alias("hi"))
     texts = texts.withColumn("c", F.floor(F.log(F.char_length("t").cast("double")) / F.lit(width)).cast("int"))

@@ -17,13 +17,14 @@ def merge_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def contingency(scored: DataFrame, samples: DataFrame, left: str, right: str) -> DataFrame:
-    """How often both, one or none of two models is exactly right, and where one has no result."""
-    side = lambda m, c: scored.where(F.col("model") == m).select("sample_id", F.col("exact_match").alias(c))
-    both = samples.select("sample_id").join(side(left, "l"), "sample_id", "left").join(side(right, "r"), "sample_id", "left")
+def contingency(scored: DataFrame, planned: DataFrame, left: str, right: str, by: list[str]) -> DataFrame:
+    """By ``by``, how often both, one or none of two models is exactly right on (by, sample_id), and where one has no result."""
+    key = [*by, "sample_id"]
+    side = lambda m, c: scored.where(F.col("model") == m).select(*key, F.col("exact_match").alias(c))
+    both = planned.select(*key).join(side(left, "l"), key, "left").join(side(right, "r"), key, "left")
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     a, b = F.col("l"), F.col("r")
-    return both.agg(n(a & b, "both_correct"), n(a & ~b, "left_only"), n(~a & b, "right_only"), n(~a & ~b, "both_wrong"), n(a.isNull() | b.isNull(), "missing_pair"))
+    return both.groupBy(*by).agg(n(a & b, "both_correct"), n(a & ~b, "left_only"), n(~a & b, "right_only"), n(~a & ~b, "both_wrong"), n(a.isNull() | b.isNull(), "missing_pair"))
 
 
 def variability(per_pass: DataFrame) -> DataFrame:

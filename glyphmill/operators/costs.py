@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import running_sums
+
 
 @dataclass(frozen=True)
 class Rates:
@@ -53,10 +55,9 @@ def scenarios(costs: DataFrame, volumes: list[int], upfront: float, local_unit:
 
 def spend_ledger(results: DataFrame, rates: Rates, budget: float) -> DataFrame:
     """Running spend of each model in order of pass and sample; blocked once it is unknown or over the budget."""
-    order = Window.partitionBy("model").orderBy("pass", "sample_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     priced = results.where("status <> 'unsupported'").withColumn("cost", meter_cost(rates))
-    spent, unknown = F.sum(F.coalesce("cost", F.lit(0.0))).over(order), F.count(F.when(F.col("cost").isNull(), 1)).over(order)
-    return priced.select("model", "pass", "sample_id", spent.alias("spent"), unknown.alias("unknown"), ((unknown > 0) | (spent > budget)).alias("blocked"))
+    sums = running_sums(priced, ["model"], ["pass", "sample_id"], {"spent": F.coalesce("cost", F.lit(0.0)), "unknown": F.when(F.col("cost").isNull(), 1).otherwise(0).cast("long")})
+    return sums.withColumn("blocked", (F.col("unknown") > 0) | (F.col("spent") > budget))
 
 
 def usage_summary(results: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.running import running_sums
+
 
 def supported(capabilities: DataFrame, tracks: DataFrame) -> DataFrame:
     """model, track and why the model doesn't do it: an allow-list, a deny-list or a flag of (model, allowed, denied, equations)."""
@@ -55,9 +57,8 @@ def unique_labels(df: DataFrame, label: str, order: str) -> DataFrame:
 
 def progress(results: DataFrame, planned: int) -> DataFrame:
     """Running seconds and what is left of each model's plan at the pace so far."""
-    w = Window.partitionBy("model").orderBy("pass", "sample_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    done, spent = F.count(F.lit(1)).over(w), F.sum("latency_seconds").over(w)
-    return results.select("model", "pass", "sample_id", done.alias("done"), spent.alias("seconds"), (spent / done * F.greatest(F.lit(planned) - done, F.lit(0))).alias("eta_seconds"))
+    sums = running_sums(results, ["model"], ["pass", "sample_id"], {"done": F.lit(1).cast("long"), "seconds": F.col("latency_seconds")})
+    return sums.withColumn("eta_seconds", F.col("seconds") / F.col("done") * F.greatest(F.lit(planned) - F.col("done"), F.lit(0)))
 
 
 def preview(samples: DataFrame) -> DataFrame:

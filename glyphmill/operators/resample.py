@@ -13,17 +13,22 @@ from glyphmill.operators.scoring import Policy, _score
 from glyphmill.plans.cut import checkpointed
 
 
+def numbered(documents: DataFrame) -> DataFrame:
+    """source_document and place, from 0 in their order, without gathering them: sorted ranges, each after the counts before it."""
+    ranges = documents.select("source_document").distinct().repartitionByRange(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_document").sortWithinPartitions("source_document")
+    placed = checkpointed(ranges.select("source_document", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), "part").select("source_document", (F.col("before") + F.col("at")).alias("place"))
+
+
 def draws(documents: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """replicate, document and how often it was drawn: as many draws as there are documents.
-
-    Documents must be few enough to be numbered; each task makes its own draws.
-    """
-    numbered = documents.select("source_document").distinct()
-    n = numbered.count()
-    numbered = numbered.withColumn("place", F.row_number().over(Window.orderBy("source_document")) - 1)
-    each = numbered.sparkSession.range(replicates).withColumnRenamed("id", "replicate").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
-    at = F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "draw")), F.lit(1), F.lit(8)), 16, 10).cast("long") % max(1, n)
-    return each.select("replicate", at.alias("place")).groupBy("replicate", "place").count().join(numbered, "place").select("replicate", "source_document", F.col("count").alias("times"))
+    """replicate, document and how often it was drawn: as many draws as there are documents, dealt over all tasks."""
+    places = numbered(documents)
+    n = max(1, places.count())
+    each = places.sparkSession.range(replicates * n).selectExpr(f"id div {n} as replicate", f"id % {n} as draw")
+    at = F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "draw")), F.lit(1), F.lit(8)), 16, 10).cast("long") % n
+    return each.select("replicate", at.alias("place")).groupBy("replicate", "place").count().join(places, "place").select("replicate", "source_document", F.col("count").alias("times"))
 
 
 def paired_difference(scored: DataFrame, left: str, right: str, replicates: int = 1000, seed: int = 42) -> DataFrame:

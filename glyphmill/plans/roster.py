@@ -45,7 +45,9 @@ def split_overlap(spark, sf_dir):
 
 
 def hamming_lsh_pairs(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("bits", audit.sign_hash("embedding"))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    turned = F.transform("embedding", lambda x, i: F.when(i.isin(3, 40), -x).otherwise(x))  # a near copy of every vector
+    v = v.union(v.select(F.col("vec_id") + 10_000_000, turned)).withColumn("bits", audit.sign_hash("embedding"))
     return audit.hamming_pairs(v, "vec_id", "bits")
 
 
@@ -54,7 +56,8 @@ def duplicate_components(spark, sf_dir):
 
 
 def near_text_pairs(spark, sf_dir):
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("split", F.when(F.col("item_id") % 2 == 0, "train").otherwise("test"))
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    b = b.union(b.select(F.col("item_id") + 10_000_001, F.concat(F.lit("Item 7.5: "), "text"))).withColumn("split", F.when(F.col("item_id") % 2 == 0, "train").otherwise("test"))
     return audit.near_text_pairs(b, "item_id", "text", "split")
 
 
@@ -73,11 +76,11 @@ def grouped_split(spark, sf_dir):
 
 def paired_difference(spark, sf_dir):
     one = scoring.scored(e.results(spark, sf_dir).where("pass = 1"))
-    return _round(resample.paired_difference(one, "m_exact", "m_sub", 200, 42))
+    return _round(resample.paired_difference(one, "m_exact", "m_sub"))
 
 
 def joint_bootstrap(spark, sf_dir):
-    return _round(resample.joint_bootstrap(_cells(spark, sf_dir), replicates=100))
+    return _round(resample.joint_bootstrap(_cells(spark, sf_dir)))
 
 
 _DRAWS = """num as (select source_document, row_number() over (order by source_document) - 1 as place, count(*) over () as n from (select distinct source_document from {of})),
@@ -85,7 +88,7 @@ drawn as (select replicate, ('0x' || substr(md5('42|' || replicate || '|' || dra
 times as (select replicate, source_document, count(*) as times from drawn join num using (place) group by all)"""
 
 _SIGN = "list_reduce(list_transform(range(1, 65), lambda i: case when embedding[i] > 0 then (1::ubigint << (64 - i)::ubigint) else 0::ubigint end), lambda a, b: a | b)"
-_PAIRS = f"v as (select vec_id, {_SIGN} as h from embeddings), p as (select a.vec_id as left_id, b.vec_id as right_id, bit_count(xor(a.h, b.h))::integer as distance from v a join v b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 4)"
+_PAIRS = f"e2 as (select vec_id, embedding from embeddings union all select vec_id + 10000000, list_transform(embedding, lambda x, i: case when i in (4, 41) then -x else x end) from embeddings), v as (select vec_id, {_SIGN} as h from e2), p as (select a.vec_id as left_id, b.vec_id as right_id, bit_count(xor(a.h, b.h))::integer as distance from v a join v b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 4)"
 
 QUERIES = {
     "exclusion_reasons": (exclusion_reasons, f"{P} select content_type, case when verification_status = 'unverified' then 'reference_unverified' when split <> 'test' then 'not_test_split' end as reason, count(*) as n from samples group by all"),
@@ -108,9 +111,9 @@ QUERIES = {
         select sample_id, component as split_group, case when place < 0.7 then 'train' when place < 0.85 then 'validation' else 'test' end as split from samples join h on h.w = source_document // 5"""),
     "paired_difference": (paired_difference, f"""{SCORED}, one as (select r.model, r.sample_id, r.source_document, m.char_edits, m.reference_chars from results r join m using (model, sample_id) where pass = 1 and status = 'success'),
         sums as (select a.source_document, sum(a.char_edits) as el, sum(a.reference_chars) as cl, sum(b.char_edits) as er, sum(b.reference_chars) as cr from one a join one b using (sample_id) where a.model = 'm_exact' and b.model = 'm_sub' group by 1),
-        {_DRAWS.format(of='sums', reps=200)}, de as (select replicate, sum(times * er)::double / sum(times * cr) - sum(times * el)::double / sum(times * cl) as delta from times join sums using (source_document) group by 1)
+        {_DRAWS.format(of='sums', reps=1000)}, de as (select replicate, sum(times * er)::double / sum(times * cr) - sum(times * el)::double / sum(times * cl) as delta from times join sums using (source_document) group by 1)
         select 'm_exact' as left_model, 'm_sub' as right_model, (select count(*) from sums) as documents, (select round(sum(er)::double / sum(cr) - sum(el)::double / sum(cl), 6) from sums) as difference, round(quantile_cont(delta, 0.025), 6) as ci_low, round(quantile_cont(delta, 0.975), 6) as ci_high, count(delta) as replicates from de"""),
     "joint_bootstrap": (joint_bootstrap, f"""{CELLS}, sums as (select track, model, pass, source_document, sum(char_edits) as e, sum(reference_chars) as c, count(*) filter (exact_match) as x, count(*) as n from cells where outcome <> 'unsupported' group by all),
-        {_DRAWS.format(of='cells', reps=100)}, dr as (select track, model, pass, replicate, 100.0::double * (0.95::double * greatest(0::double, 1 - sum(times * e)::double / sum(times * c)) + 0.05::double * (sum(times * x)::double / sum(times * sums.n))) as score from times join sums using (source_document) group by all),
+        {_DRAWS.format(of='cells', reps=250)}, dr as (select track, model, pass, replicate, 100.0::double * (0.95::double * greatest(0::double, 1 - sum(times * e)::double / sum(times * c)) + 0.05::double * (sum(times * x)::double / sum(times * sums.n))) as score from times join sums using (source_document) group by all),
         sc as (select track, model, replicate, avg(score) as score from dr group by all) select track, model, round(quantile_cont(score, 0.025), 6) as ci_low, round(quantile_cont(score, 0.975), 6) as ci_high, count(score) as replicates from sc group by all"""),
 }

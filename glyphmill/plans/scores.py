@@ -86,17 +86,17 @@ def normalize_content(spark, sf_dir):
 
 
 def score_sample(spark, sf_dir):
-    found = scoring.scored(e.results(spark, sf_dir).where("pass = 1"))
-    return _round(found.select("model", "sample_id", "char_edits", "reference_chars", "word_edits", "reference_words", "exact_match", "cer", "wer"))
+    found = scoring.scored(e.results(spark, sf_dir))
+    return _round(found.select("model", "pass", "sample_id", "char_edits", "reference_chars", "word_edits", "reference_words", "exact_match", "cer", "wer"))
 
 
 def edit_breakdown(spark, sf_dir):
-    ok = e.results(spark, sf_dir).where("pass = 1 and status = 'success'")
+    ok = e.results(spark, sf_dir).where("status = 'success'").select("model", "sample_id", "reference", "prediction").distinct()
     return ok.withColumn("d", t.edit_breakdown(t.normalize_text(F.col("reference")), t.normalize_text(F.col("prediction")))).select("model", "sample_id", "d.*")
 
 
 def edit_alignment(spark, sf_dir):
-    ok = e.results(spark, sf_dir).where("pass = 1 and status = 'success'")
+    ok = e.results(spark, sf_dir).where("status = 'success'").select("model", "sample_id", "reference", "prediction").distinct()
     return ok.withColumn("d", t.edit_alignment(t.normalize_text(F.col("reference")), t.normalize_text(F.col("prediction")))).select("model", "sample_id", "d.*")
 
 
@@ -138,9 +138,14 @@ def raw_accuracy_rank(spark, sf_dir):
 _SUM = ["model", "sample_count", "scored_sample_count", "success_count", "failed_count", "truncated_count", "cache_hit_count", "char_edits", "reference_chars", "word_edits", "reference_words", "cer", "wer", "mean_sample_cer", "exact_match_rate", "expected_sample_count", "missing_sample_count", "complete", "failure_rate", "measured_latency_sample_count", "total_latency_seconds", "mean_latency_seconds", "median_latency_seconds", "p95_latency_seconds", "samples_per_minute", "load_duration_seconds", "load_event_count", "rank"]
 
 
+def _by_run(df: DataFrame) -> DataFrame:
+    """Each pass of a model as a system of its own."""
+    return df.withColumn("model", F.concat_ws("@", "model", "pass"))
+
+
 def summary_by_model(spark, sf_dir):
     samples, models, _, results = _all(spark, sf_dir)
-    return _round(summary.summarize(results.where("pass = 1"), samples, models).select(*_SUM))
+    return _round(summary.summarize(_by_run(results), samples, _by_run(models.crossJoin(e.passes(spark)))).select(*_SUM))
 
 
 _TRACK = ["content_type", "model", "status", "eligible_sample_count", "scored", "unsupported", "failed", "missing", "cer", "wer", "failure_rate", "sample_coverage", "samples_per_minute", "rank"]
@@ -148,18 +153,18 @@ _TRACK = ["content_type", "model", "status", "eligible_sample_count", "scored",
 
 def track_report(spark, sf_dir):
     samples, models, _, results = _all(spark, sf_dir)
-    return _round(summary.track_report(samples, models, results.where("pass = 1")).select(*_TRACK))
+    return _round(summary.track_report(samples, _by_run(models.crossJoin(e.passes(spark))), _by_run(results)).select(*_TRACK))
 
 
 def subgroup_report(spark, sf_dir):
     samples, _, _, results = _all(spark, sf_dir)
-    return _round(summary.subgroups(results.where("pass = 1"), samples, ["writer_id", "difficulty", "verification_status"]))
+    return _round(summary.subgroups(_by_run(results), samples, ["writer_id", "difficulty", "verification_status"]))
 
 
 QUERIES = {
     "normalize_text": (normalize_text, rf"select doc_id, {norm('text')} as normalized from documents"),
     "normalize_content": (normalize_content, r"select doc_id, regexp_replace(nfc_normalize(text), '[\p{P}\s\p{Z}\x{85}\x{1c}-\x{1f}\x0b]', '', 'g') as normalized from documents"),
-    "score_sample": (score_sample, f"{SCORED} select r.model, r.sample_id, char_edits, reference_chars, word_edits, reference_words, exact_match, round(char_edits::double / reference_chars, 6) as cer, round(word_edits::double / reference_words, 6) as wer from results r join m using (model, sample_id) where pass = 1 and status = 'success'"),
+    "score_sample": (score_sample, f"{SCORED} select r.model, r.pass, r.sample_id, char_edits, reference_chars, word_edits, reference_words, exact_match, round(char_edits::double / reference_chars, 6) as cer, round(word_edits::double / reference_words, 6) as wer from results r join m using (model, sample_id) where status = 'success'"),
     "edit_breakdown": (edit_breakdown, None),
     "edit_alignment": (edit_alignment, None),
     "result_spine": (result_spine, f"{CELLS} select track, model, pass, outcome, count(*) as n from cells group by all"),
@@ -169,7 +174,7 @@ QUERIES = {
     "winner": (winner, f"""{RANKED} select track, case when bool_and(terminal_complete) then max(case when overall = 1 then model end) end as winner, case when bool_and(terminal_complete) then null else 'incomplete_evaluation' end as winner_reason,
         case when bool_and(terminal_complete) then 'available' else 'incomplete' end as status from ranks group by track"""),
     "raw_accuracy_rank": (raw_accuracy_rank, f"{CELLS} select track, model, row_number() over (partition by track order by score desc, model)::integer as raw_accuracy_rank from models_"),
-    "summary_by_model": (summary_by_model, f"""{SCORED}, one as (select * from results where pass = 1), j as (select one.*, m.char_edits, m.reference_chars, m.word_edits, m.reference_words, m.exact_match from one left join m on m.model = one.model and m.sample_id = one.sample_id and one.status = 'success'),
+    "summary_by_model": (summary_by_model, f"""{SCORED}, one as (select * replace (model || '@' || pass as model), model as base from results), j as (select one.* exclude (base), m.char_edits, m.reference_chars, m.word_edits, m.reference_words, m.exact_match from one left join m on m.model = one.base and m.sample_id = one.sample_id and one.status = 'success'),
         a as (select model, count(*) as sample_count, count(char_edits) as scored_sample_count, count(*) filter (status = 'success') as success_count, count(*) filter (status <> 'success') as failed_count, count(*) filter (truncated) as truncated_count, count(*) filter (cache_hit) as cache_hit_count,
         sum(char_edits)::bigint as char_edits, sum(reference_chars)::bigint as reference_chars, sum(word_edits)::bigint as word_edits, sum(reference_words)::bigint as reference_words, avg(char_edits::double / reference_chars) as mean_sample_cer, count(*) filter (exact_match) as exact_matches,
         sum(latency_seconds) filter (not cache_hit) as total_latency_seconds, count(latency_seconds) filter (not cache_hit) as measured_latency_sample_count, quantile_cont(case when not cache_hit then latency_seconds end, 0.5) as median_latency_seconds, quantile_cont(case when not cache_hit then latency_seconds end, 0.95) as p95_latency_seconds,
@@ -178,14 +183,14 @@ QUERIES = {
         failed_count::double / sample_count as failure_rate, total_latency_seconds / measured_latency_sample_count as mean_latency_seconds, 60.0 * measured_latency_sample_count / total_latency_seconds as samples_per_minute from a),
         c as (select *, failed_count = 0 and missing_sample_count = 0 and sample_count = expected_sample_count as complete from b),
         d as (select *, case when complete then row_number() over (partition by complete order by cer, wer, model) end::integer as rank from c) select {_sql(_SUM)} from d"""),
-    "track_report": (track_report, f"""{SCORED}, one as (select r.*, m.char_edits, m.reference_chars, m.word_edits, m.reference_words from results r left join m on m.model = r.model and m.sample_id = r.sample_id and r.status = 'success' where pass = 1),
+    "track_report": (track_report, f"""{SCORED}, one as (select r.* replace (r.model || '@' || r.pass as model), m.char_edits, m.reference_chars, m.word_edits, m.reference_words from results r left join m on m.model = r.model and m.sample_id = r.sample_id and r.status = 'success'),
         el as (select content_type, count(*) as eligible_sample_count from samples group by all),
         st as (select content_type, model, count(char_edits) as scored, count(*) filter (status = 'unsupported') as unsupported, count(*) filter (char_edits is null and status <> 'unsupported') as failed, count(*) filter (char_edits is not null and cache_hit) as cached_scored, sum(latency_seconds) filter (not cache_hit) as total_latency_seconds,
         sum(char_edits) as char_edits, sum(reference_chars) as reference_chars, sum(word_edits) as word_edits, sum(reference_words) as reference_words from one group by all),
-        a as (select content_type, models.model, eligible_sample_count, coalesce(scored, 0) as scored, coalesce(unsupported, 0) as unsupported, coalesce(failed, 0) as failed, coalesce(cached_scored, 0) as cached_scored, total_latency_seconds, char_edits::double / nullif(reference_chars, 0) as cer, word_edits::double / nullif(reference_words, 0) as wer from el cross join models left join st using (content_type, model)),
+        a as (select content_type, models.model, eligible_sample_count, coalesce(scored, 0) as scored, coalesce(unsupported, 0) as unsupported, coalesce(failed, 0) as failed, coalesce(cached_scored, 0) as cached_scored, total_latency_seconds, char_edits::double / nullif(reference_chars, 0) as cer, word_edits::double / nullif(reference_words, 0) as wer from el cross join (select model || '@' || pass as model from models cross join passes) models left join st using (content_type, model)),
         b as (select *, eligible_sample_count - scored - failed - unsupported as missing, case when unsupported = eligible_sample_count then 'unsupported' when scored = eligible_sample_count then 'complete' else 'incomplete' end as status, failed::double / nullif(scored + failed, 0) as failure_rate, scored::double / eligible_sample_count as sample_coverage, 60.0 * (scored - cached_scored) / nullif(total_latency_seconds, 0) as samples_per_minute from a),
         d as (select *, case when status = 'complete' then row_number() over (partition by content_type, status order by cer, wer, model) end::integer as rank from b) select {_sql(_TRACK)} from d"""),
-    "subgroup_report": (subgroup_report, f"""{SCORED}, one as (select r.model, r.status, r.source_document, m.char_edits, m.reference_chars, m.exact_match, s.writer_id, s.difficulty, s.verification_status from results r join samples s using (sample_id) left join m on m.model = r.model and m.sample_id = r.sample_id and r.status = 'success' where pass = 1),
+    "subgroup_report": (subgroup_report, f"""{SCORED}, one as (select r.model || '@' || r.pass as model, r.status, r.source_document, m.char_edits, m.reference_chars, m.exact_match, s.writer_id, s.difficulty, s.verification_status from results r join samples s using (sample_id) left join m on m.model = r.model and m.sample_id = r.sample_id and r.status = 'success'),
         f as (select 'writer_id' as field, coalesce(writer_id::varchar, 'Unknown') as value, * from one union all select 'difficulty', coalesce(difficulty, 'Unknown'), * from one union all select 'verification_status', coalesce(verification_status, 'Unknown'), * from one)
         select field, value, model, count(*) as result_count, count(char_edits) as scored_count, count(distinct source_document) as document_count, sum(char_edits)::bigint as char_edits, sum(reference_chars)::bigint as reference_chars, count(*) filter (exact_match) as exact_matches, round(sum(char_edits)::double / nullif(sum(reference_chars), 0), 6) as cer from f group by all"""),
 }

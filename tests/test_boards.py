@@ -76,7 +76,7 @@ def test_grouped_split_keeps_groups_whole(spark):
 
 def test_near_text_pairs(spark):
     rows = [(1, "page 12 of the long report on rivers", "train"), (2, "page 34 of the long report on rivers", "test"), (3, "something else entirely", "test"), (4, None, "test")]
-    got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split").collect()
+    got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split", min_words=0).collect()
     assert [(r.left_id, r.right_id) for r in got] == [(1, 2)]
 
 
@@ -96,10 +96,10 @@ def test_near_text_pairs_against_all_pairs(spark, monkeypatch, block):
         texts += [" ".join(own[at.index(i)] if i in at else w for i, w in enumerate(base)), " ".join([*own, word(5), word(5)])]
     texts += ["".join(r.choice("ab1 ") for _ in range(r.randrange(1, 12))) for _ in range(40)] + ["Chapter 1", "chapter 22", "x" * 50, "x" * 60, "x" * 62]
     rows = [(i, t, r.choice(["train", "test", "validation"])) for i, t in enumerate(texts)]
-    mask = [re.sub("[0-9]+", "#", t.lower()) for t in texts]
+    mask = [re.sub(r"\d+(?:\.\d+)?", "<number>", t.lower()) for t in texts]
     ratio = lambda i, j: difflib.SequenceMatcher(None, mask[i], mask[j], autojunk=False).ratio()
     want = {(i, j): x for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][2] != rows[j][2] and mask[i] and mask[j] and (x := ratio(i, j)) >= 0.9}
-    got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split").collect()
+    got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split", min_words=0).collect()
     assert len(want) > 50 and len(got) == len(want) and {(x.left_id, x.right_id): x.ratio for x in got} == want
 
 

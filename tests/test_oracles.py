@@ -12,4 +12,4 @@ def test_query_matches_sql(name, spark, sf, duck, same_rows):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_runs(name, spark, sf):
-    assert catalog.QUERIES[name](spark, sf).count() >= 0
+    assert len(catalog.QUERIES[name](spark, sf).toPandas()) > 0
