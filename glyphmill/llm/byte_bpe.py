@@ -43,7 +43,7 @@ from glyphmill.llm.common import table
 STATES, PAIRS, BLOCK = 1 << 18, 1 << 19, 1 << 12
 #: Characters of a text taken at once (longer where no boundary comes); pieces kept in each of two generations, and
 #: the longest one kept.
-SLICE, KEPT, LONGEST = 1 << 18, 1 << 18, 64
+SLICE, KEPT, LONGEST = 1 << 18, 1 << 19, 64
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Ids decoded at once, and bytes in a batch that a task sends on.
 FEED, BATCH = 1 << 16, 4 << 20
@@ -179,24 +179,26 @@ class Transducer:
         if whole is not None:
             return [whole]
         state, ids, read = self.start, [], []
-
-        def emit(end: int) -> None:
-            tokens = []
-            while end > 0:
-                tokens.append(read[end - 1].token)
-                end -= read[end - 1].size
-            ids.extend(reversed(tokens))
-
         for at in range(0, len(piece), BLOCK):
             if at:
                 sure = self._certain(read)
-                emit(sure)
+                ids += self._tokens(read, sure)
                 del read[:sure]
-            for byte in piece[at : at + BLOCK]:
+            for byte in piece[at : at + BLOCK] if len(piece) > BLOCK else piece:
                 state = state.next.get(byte) or self._step(state, byte)
                 read.append(state)
-        emit(len(read))
-        return ids
+        return ids + self._tokens(read, len(read)) if ids else self._tokens(read, len(read))
+
+    @staticmethod
+    def _tokens(read: list[_State], end: int) -> list[int]:
+        """The tokens of the first ``end`` bytes read."""
+        tokens = []
+        while end > 0:
+            state = read[end - 1]
+            tokens.append(state.token)
+            end -= state.size
+        tokens.reverse()
+        return tokens
 
 
 class Utf8Stream:
@@ -233,7 +235,10 @@ class Codec:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece that the young generation may not have; when that is full it becomes the old one."""
-        value = self.young.get(piece) or self.old.get(piece)
+        value = self.young.get(piece)
+        if value is not None:
+            return value
+        value = self.old.get(piece)
         if value is None:
             value = array("i", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= LONGEST:
