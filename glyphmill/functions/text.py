@@ -6,7 +6,7 @@ All but NFC, edit breakdown and alignment are built-in expressions.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,6 +58,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(normalize_text(text), " "), lambda w: w != "")
 
 
+#: Distances up to which a band around the diagonal is tried, one after another, before the whole table.
+BANDS = (32, 256)
+
+
+def _or_else(whole: Column) -> Callable[[Column], Column]:
+    return lambda d: F.when(d >= 0, d).otherwise(whole)
+
+
+def distance(left: Column, right: Column) -> Column:
+    """Levenshtein distance, in time with the distance where that is small beside the texts."""
+    out = F.levenshtein(left, right)
+    for band in reversed(BANDS):
+        found = F.array(F.levenshtein(left, right, band))
+        out = F.get(F.transform(found, _or_else(out)), F.lit(0))
+    return out
+
+
 def word_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance of word sequences: each word of the pair becomes one code point, which the built-in compares."""
 
@@ -69,7 +86,7 @@ def word_distance(left: Column, right: Column) -> Column:
     pair = F.struct(words(left).alias("a"), words(right).alias("b"))
     let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
     known = lambda p: F.array_distinct(F.concat(p["a"], p["b"]))
-    return let(pair, lambda p: let(known(p), lambda k: F.when(F.size(k) > 1_100_000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(coded(p["a"], k), coded(p["b"], k)))))
+    return let(pair, lambda p: let(known(p), lambda k: F.when(F.size(k) > 1_100_000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(let(F.struct(coded(p["a"], k).alias("a"), coded(p["b"], k).alias("b")), lambda c: distance(c["a"], c["b"])))))
 
 
 def score(prediction: Column, reference: Column, raw: bool = True) -> Column:
@@ -79,12 +96,12 @@ def score(prediction: Column, reference: Column, raw: bool = True) -> Column:
     """
     p, r = normalize_text(prediction), normalize_text(reference)
     known = F.struct(
-        F.when(p == r, F.lit(0)).otherwise(F.levenshtein(r, p)).cast("long").alias("char_edits"),
+        F.when(p == r, F.lit(0)).otherwise(distance(r, p)).cast("long").alias("char_edits"),
         F.when(p == r, F.lit(0)).otherwise(word_distance(reference, prediction)).cast("long").alias("word_edits"),
         F.char_length(r).cast("long").alias("reference_chars"),
         F.size(words(reference)).cast("long").alias("reference_words"),
         (p == r).alias("exact_match"),
-        *([F.when(prediction == reference, F.lit(0)).otherwise(F.levenshtein(reference, prediction)).cast("double").alias("raw")] if raw else []),
+        *([F.when(prediction == reference, F.lit(0)).otherwise(distance(reference, prediction)).cast("double").alias("raw")] if raw else []),
     )
 
     def rates(k: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
+from glyphmill.plans.cut import checkpointed
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,7 @@ def pass_table(cell: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 def model_table(cell: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """A row for each track and model: means over passes, sums of counts, latencies pooled over passes."""
+    cell = checkpointed(cell)  # counts without texts: cheaper to keep than to measure predictions twice
     per_pass = pass_table(cell, policy)
     measured = (F.col("outcome") == "success") & ~F.coalesce("cache_hit", F.lit(False)) & (F.col("latency_seconds") >= 0)
     pooled = cell.where(measured).groupBy("track", "model").agg(F.percentile("latency_seconds", 0.5).alias("median_latency_seconds"), F.percentile("latency_seconds", 0.95).alias("p95_latency_seconds"))

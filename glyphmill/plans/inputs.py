@@ -50,7 +50,8 @@ QUERIES = {
     "stream_attempt_pairing": (stream_attempt_pairing, "select user_id, count(*) filter (event_type = 'click') as starts, count(*) filter (event_type <> 'click') as finishes, count(*) filter (event_type = 'error') as failed, greatest(count(*) filter (event_type = 'click') - count(*) filter (event_type <> 'click'), 0) as uncertain from events group by 1"),
     "stream_window_latency": (stream_window_latency, "select date_trunc('hour', ts) as start, count(*) as n, count(*) filter (event_type = 'error') as errors, round(sum(value) / count(*), 6) as mean_latency from events where event_type <> 'click' group by 1"),
     "stream_dedup": (stream_dedup, "select distinct event_id, user_id, event_type from events"),
-    "page_text": (page_text, None),
+    "page_text": (page_text, r"""select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title,
+        trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages"""),
     "overflow_chunks": (overflow_chunks, "select doc_id, i::integer as piece, substr(text, i * 2000 + 1, 2000) as text from (select doc_id, text, unnest(range(0, (length(text) + 1999) // 2000)) as i from documents where length(text) > 2000)"),
     "equation_equivalence": (equation_equivalence, "select p_partkey, case p_partkey % 3 when 0 then 'equivalent' when 1 then 'different' else 'undetermined' end as status, case p_partkey % 3 when 0 then 'same_exact_polynomial' when 1 then 'numeric_counterexample' else 'no_counterexample_found' end as reason from part"),
 }

@@ -237,7 +237,8 @@ QUERIES = {
     "critical_expressions": (critical_expressions, f"{_CRIT} select * from cs"),
     "reading_order": (reading_order, f"{_ANN}, o as (select sample_id, model, case when w[1] is null or w[2] is null then 'not_annotated' when a <> '' and b <> '' and {_fine('r')} then 'scored' else 'error' end as status, {_fine('p')} as ok from ab) select sample_id, model, status, case when status = 'scored' then ok end as passed from o"),
     "task_metric_rollup": (task_metric_rollup, f"{_CRIT} select model, count(*) filter (status = 'scored') as scored, count(*) filter (status = 'error') as error, count(*) filter (status = 'not_annotated') as not_annotated, count(*) as n, sum(passed)::bigint as passed, sum(total)::bigint as total, round(count(*) filter (status = 'scored')::double / count(*), 6) as coverage, round(sum(passed)::double / sum(total), 6) as accuracy from cs group by model"),
-    "repeated_text": (repeated_text, None),
+    "repeated_text": (repeated_text, f"""with w as (select doc_id, string_split({norm('text')}, ' ') as w from documents)
+        select doc_id, len(list_filter(range(1, len(w)), lambda i: (i + 2 <= len(w) and w[i] = w[i + 1] and w[i] = w[i + 2]) or len(list_filter(range(2, 8), lambda n: i + 2 * n - 1 <= len(w) and w[i:i + n - 1] = w[i + n:i + 2 * n - 1])) > 0)) > 0 as repeated from w"""),
     "commentary_flags": (commentary_flags, r"""select doc_id, contains(text, '```') or regexp_matches(text, '\bhere(?:''s| is) (?:the )?(?:transcription|text)\b|\btranscription\s*:', 'i') or regexp_matches(text, '\bthe image (?:shows|contains|depicts)\b', 'i') or regexp_matches(text, '\bthe handwriting (?:says|reads)\b', 'i') or regexp_matches(text, '\b(?:i think|i can see|it appears to be)\b', 'i') as commentary from documents"""),
     "label_audit": (label_audit, r"""with d as (select doc_id, doc_id % 13 as m, text || case when doc_id % 13 < 6 then [' {a{b}}', ' }{', ' x^{2', ' $y', ' TODO', chr(1)][doc_id % 13 + 1] else '' end as text from documents)
         select doc_id, array_to_string(list_filter([case when trim(text) = '' then 'empty_reference' end, case when regexp_matches(text, '[\x00-\x08\x0b-\x1f]') then 'control_character' end, case when regexp_matches(text, '\x{FFFD}|\b(?:TODO|TBD|UNREADABLE|ILLEGIBLE)\b') then 'unresolved_label' end,
