@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import string
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Generic, TypeVar
 
@@ -42,7 +43,7 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: windows that p(e) weighs in p(e|t); disclosure that makes a span; disclosure that removes.
 WINDOW, PRIOR, THRESHOLD, REMOVE = 8, 1.0, 0.75, 0.9
 #: Buckets of the bitmap of candidates; terms that a task adds up before it sends them on, and strings it remembers.
-BUCKETS, FLUSH = 1 << 20, 1 << 17
+BUCKETS, FLUSH = 1 << 22, 1 << 17
 #: Different marked strings in a text up to which each is searched for; with more the text is taken apart.
 SEARCHED = 16
 #: Tasks over which a text with very many copies is dealt.
@@ -181,15 +182,17 @@ class _Sieve(Generic[T]):
     def __call__(self, text: str) -> dict[str, tuple[T, ...]]:
         parts = set(text.split())
         parts -= self.dull
-        again = parts & self.before
-        parts -= again
-        out, dull = {}, again
+        dull = parts & self.before
+        parts -= dull
+        known = parts & self.found.keys()
+        parts -= known
         for part in parts:
-            value = self.found.get(part) or self.make(part)
-            if value:
-                out[part] = self.found[part] = value
+            if value := self.make(part):
+                self.found[part] = value
+                known.add(part)
             else:
                 dull.add(part)
+        out = dict(zip(known, map(self.found.__getitem__, known), strict=True))
         if len(self.found) >= FLUSH:
             self.found.clear()
         if len(self.dull) >= FLUSH:
@@ -217,7 +220,7 @@ def _frequencies(bitmap, copied) -> callable:
     """Counts of terms over texts without copies, and the terms of each text whose digest's bucket is among ``copied``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = bitmap.value.tobytes(), {}
+        marked, counts = _marked(bitmap.value.tobytes(), BUCKETS), Counter()
         several, seen = copied.value.tobytes() if copied else None, set()
 
         def given(digests: list, terms: list, counts: dict) -> pa.RecordBatch:
@@ -225,25 +228,24 @@ def _frequencies(bitmap, copied) -> callable:
             columns = [([*digests, *many], pa.binary()), ([*terms, *many], pa.list_(pa.int64())), ([*few, *counts], pa.int64()), ([*few, *counts.values()], pa.int64())]
             return pa.record_batch([pa.array(x, t) for x, t in columns], ["digest", "terms", "term", "n"])
 
-        sieve = _Sieve(_marked(wanted, BUCKETS))
+        sieve = _Sieve(lambda part: tuple(h for _, _, h in marked(part)))
         for batch in batches:
             digests, terms = [], []
             for digest, text in zip(batch.column(0), batch.column(1), strict=True):
                 digest = digest.as_py()
-                found = {h for x in sieve(text.as_py() or "").values() for _, _, h in x}
+                found = set().union(*sieve(text.as_py() or "").values())
                 if several and found and _holds(several, int.from_bytes(digest[:4], "big") % BUCKETS):
                     if digest not in seen:
                         seen.add(digest)
                         digests.append(digest)
                         terms.append(list(found))
                     continue
-                for h in found:
-                    counts[h] = counts.get(h, 0) + 1
+                counts.update(found)
             if digests:
                 yield given(digests, terms, {})
             if len(counts) >= FLUSH:
                 yield given([], [], counts)
-                counts = {}
+                counts = Counter()
             if len(seen) >= FLUSH:
                 seen.clear()
         yield given([], [], counts)
