@@ -32,8 +32,8 @@ PIECE = 1 << 18
 #: The broadcast matrix holds a column for each language; more labels than this are an error, not a cut.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
-#: Numbers of the sparse product held at once.
-CELLS = 1 << 21
+#: Numbers of the sparse product held at once, and texts.
+CELLS, TEXTS = 1 << 19, 128
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,8 @@ def predicted(docs: DataFrame, model: Model, keep: list[str] | None = None) -> D
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = scores([x.as_py() for x in batch.column(len(keep))], shared.value)
+            column = batch.column(len(keep))
+            got = [x for at in range(0, batch.num_rows, TEXTS) for x in scores([t.as_py() for t in column.slice(at, TEXTS)], shared.value)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     docs = docs.select(*keep, F.col("text").alias("text_"))
