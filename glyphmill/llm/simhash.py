@@ -141,16 +141,16 @@ def components(docs: DataFrame, cell: int = CELL) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the least doc_id, rows without one last.
 
-    Rows that share this doc_id are told apart by a hash of all their columns; of equal rows one stays.
+    Rows are told apart by 128 bits of hashes of all their columns; of equal rows one stays. Texts are shuffled once.
     """
-    docs = docs.select(*DOCUMENT_COLUMNS)
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64(*DOCUMENT_COLUMNS).alias("hash"))
+    marks = {"h1": F.xxhash64(*DOCUMENT_COLUMNS), "h2": F.xxhash64(F.lit("second"), *DOCUMENT_COLUMNS)}
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumns(marks)
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
     prints = checkpointed(fingerprints(docs.withColumn("key", key), ["doc_id", "key"]))
     group, _ = grouped(prints)
     first = prints.groupBy("fp").agg(F.min("key").alias("key")).join(group.select("fp", "component"), "fp")
-    first = first.groupBy("component").agg(F.min("key").alias("key")).select(F.col("key.hash").alias("first_hash"), F.col("key.doc_id").alias("first_id"))
-    kept = docs.withColumn("hash", F.xxhash64(*DOCUMENT_COLUMNS)).join(first, F.expr("doc_id <=> first_id and hash = first_hash"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "hash"]).select(*DOCUMENT_COLUMNS)
+    first = first.groupBy("component").agg(F.min("key").alias("key")).select("key.h1", "key.h2")
+    return docs.join(first, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select(*DOCUMENT_COLUMNS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
