@@ -27,7 +27,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Language ID and packing have no SQL; tests hold run() against plain versions of the stages, in Python.
+#: Language ID and packing have no SQL. Each operator is held against a plain version by its own tests; the test of
+#: run() puts the stages one after another over collected rows and compares.
 ORACLE_SQL = None
 
 
