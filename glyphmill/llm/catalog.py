@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from glyphmill.llm import (
+    alignment,
     byte_bpe,
     cap_filters,
     extendible_shards,
     language_id,
     packing,
+    piece_bpe,
+    prefix_trie,
     quality_rules,
     quote_links,
     sanitise,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_quote_links": quote_links.query,
     "op9_secret_scan": secret_scan.query,
     "op10_cap_filters": cap_filters.query,
+    "op11_alignment": alignment.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_piece_bpe": piece_bpe.query,
 }
 
 ORACLES = {
@@ -33,4 +39,5 @@ ORACLES = {
     "op7_extendible_shards": extendible_shards.SQL,
     "op8_quote_links": quote_links.SQL,
     "op10_cap_filters": cap_filters.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
