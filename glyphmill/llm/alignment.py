@@ -39,8 +39,8 @@ from glyphmill.llm import packing, piece_bpe
 from glyphmill.llm.common import table
 from glyphmill.plans.cut import shared_folder
 
-#: Bytes in a batch that a task sends on.
-BATCH = 4 << 20
+#: Slots of the hash of pairs.
+SLOTS = 1 << 22
 NONE = np.empty(0, np.int32)
 
 
@@ -115,24 +115,42 @@ class Aligner:
         self.a_length = np.array(list(map(len, self.a.bytes_of)))
         self.b_length = np.array(list(map(len, self.b.bytes_of)))
         self.pairs = possible_pairs(self.a.bytes_of, [b"" if i in self.b.is_control or i == self.b.unknown else x for i, x in enumerate(self.b.bytes_of)])
+        #: By a hash of a pair, a place in ``pairs`` to look at before a search.
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.slots[_slot(self.pairs)] = np.arange(len(self.pairs))
         #: What is written for a token: its id and what follows it, by whether it is its group's last on its side.
         self.written = [f"{i}{after}" for after in ",|" for i in range(len(self.a_length))] + [f"{i}{after}" for after in ",;" for i in range(len(self.b_length))]
 
-    def align(self, text: str) -> Aligned | None:
-        """None if there are no tokens."""
-        if not text:
-            return None
-        data = f" {text}".encode()
-        a, b = self.a(f" {text}"), self.b.encode(text)[0]
-        if b"".join(map(self.a.bytes_of.__getitem__, a.tolist())) != data or b"".join(map(self.b.bytes_of.__getitem__, b.tolist())) != data:
-            return None
-        group = components(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))
-        return Aligned(a, b, group[: len(a)], group[len(a) :])
+    def align(self, texts: list[str]) -> Iterator[Aligned | None]:
+        """For each text its tokens and groups; None if it has no tokens."""
+        form = [self.b.normalizer(t)[0] for t in texts] if self.b.normalizer.changes else [self.b.normalizer.plain(t) for t in texts]
+        for text, pieces in zip(texts, self.b.pieces(form), strict=True):
+            data = f" {text}".encode()
+            a, b = self.a(f" {text}"), pieces.astype(np.int32)
+            a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
+            if not text or not len(a) or not len(b) or not a_ends[-1] == b_ends[-1] == len(data) or not self._gives_back(text, data, a, b):
+                yield None
+                continue
+            group = components(a_ends, b_ends)
+            yield Aligned(a, b, group[: len(a)], group[len(a) :])
+
+    def _gives_back(self, text: str, data: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether both tokens' bytes are the data. They are by construction where A is plain byte-level BPE and B
+        changes nothing but spaces; a U+2581 of the text itself is read as a space."""
+        if not self.a.fast and b"".join(map(self.a.bytes_of.__getitem__, a.tolist())) != data:
+            return False
+        if not self.b.normalizer.changes:
+            return piece_bpe.SPACE not in text
+        return b"".join(map(self.b.bytes_of.__getitem__, b.tolist())) == data
 
     def links(self, x: Aligned) -> np.ndarray:
         """The place in ``pairs`` of each group's link."""
         a, b = x.a[_last(x.a_group)].astype(np.int64), x.b[_last(x.b_group)]
-        return np.searchsorted(self.pairs, a << 32 | b).astype(np.int32)
+        pair = a << 32 | b
+        place = self.slots[_slot(pair)]
+        others = np.flatnonzero(self.pairs[place] != pair)
+        place[others] = np.searchsorted(self.pairs, pair[others])
+        return place
 
     def text(self, x: Aligned) -> str:
         """Groups as a1,a2|b1;a3|b2,b3."""
@@ -146,6 +164,10 @@ class Aligner:
         return "".join(map(self.written.__getitem__, order.tolist()))[:-1]
 
 
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair >> 32) * 40_503 + pair) & (SLOTS - 1)
+
+
 def _last(group: np.ndarray) -> np.ndarray:
     """Where each group's last member stands."""
     return np.append(np.flatnonzero(group[1:] != group[:-1]), len(group) - 1)
@@ -176,18 +198,12 @@ def aligned(docs: DataFrame, vocabulary_file: str | None = None, model_file: str
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*files.value)
         for batch in batches:
-            at = size = 0
-            a, b, groups, links = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                found = aligner.align(text.as_py() or "")
-                a.append(len(found.a) if found else 0)
-                b.append(len(found.b) if found else 0)
-                groups.append(aligner.text(found) if found else "")
-                links.append(aligner.links(found) if found else NONE)
-                size += len(groups[-1]) + 4 * len(links[-1])
-                if size > BATCH or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : i + 1], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(groups, pa.string()), piece_bpe.lists(links, pa.int32())], names=["doc_id", "n_a", "n_b", "groups", "links"])
-                    at, size, a, b, groups, links = i + 1, 0, [], [], [], []
+            for at, texts in piece_bpe.together(batch.column(1)):
+                found = list(aligner.align(texts))
+                counts = [pa.array([len(getattr(x, side)) if x else 0 for x in found], pa.int64()) for side in "ab"]
+                groups = pa.array([aligner.text(x) if x else "" for x in found], pa.string())
+                links = piece_bpe.lists([aligner.links(x) if x else NONE for x in found], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(found)], *counts, groups, links], names=["doc_id", "n_a", "n_b", "groups", "links"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(lambda batches: piece_bpe.few_collections(lambda: each(batches)), "doc_id long, n_a long, n_b long, groups string, links array<int>")

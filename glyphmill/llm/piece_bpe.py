@@ -9,7 +9,8 @@ vocabulary, the last one holds its span, and the others are empty.
 
 No merge joins anything to a U+2581 on its right unless the vocabulary has such a piece. So the normal form falls into
 units, each a run of U+2581 and what follows, that are merged each for itself; what became of a unit is kept, within a
-fixed size. A unit merges by a heap: the pair of the highest score first, of equal ones the leftmost.
+fixed size. A unit merges the pair of the highest score first, of equal ones the leftmost; new units of many texts do
+so side by side, each a pair a round, but for long ones, which have a heap.
 
 Decoding joins the pieces' bytes. Bytes of byte pieces that aren't UTF-8 become U+FFFD each, the first U+2581 of the
 text is dropped, other ones are spaces, and control pieces are empty.
@@ -30,6 +31,7 @@ import re
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -42,11 +44,10 @@ from glyphmill.llm.common import table
 SPACE = "▁"
 #: Units kept in each of two generations, and the longest one kept.
 KEPT, LONGEST = 1 << 19, 64
-#: Characters of a unit up to which a scan for the next pair beats a heap; the score of pairs that aren't pieces.
+#: Characters of a unit up to which many are merged at once, the longer ones by a heap; the score of what isn't a piece.
 SHORT, NEVER = 48, float("-inf")
-#: Bytes in a batch that a task sends on.
-BATCH = 4 << 20
-
+#: Characters of texts that are encoded together; a longer text goes alone.
+TOGETHER = 1 << 20
 #: Fixed values of the file format: field numbers, and types of pieces.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _MODEL_TYPE, _BYTE_FALLBACK, _AS_SUFFIX, _UNK_SURFACE, _BPE = 3, 35, 24, 44, 2
@@ -145,6 +146,12 @@ class Normalizer:
         self.map = CharacterMap(has.get(_CHARSMAP, b""))
         self.prefix, self.trims = has.get(_DUMMY_PREFIX, 1), has.get(_REMOVE_EXTRA, 1)
         self.space = SPACE if has.get(_ESCAPE, 1) else " "
+        #: Whether anything but spaces changes.
+        self.changes = bool(self.map.cells or self.trims or not self.prefix or self.space != SPACE)
+
+    def plain(self, text: str) -> str:
+        """The normal form where nothing but spaces changes."""
+        return f" {text}".replace(" ", SPACE) if text else ""
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         stretches = list(self.map.replaced(text))
@@ -213,6 +220,7 @@ class Pieces:
         self.normalizer = Normalizer(spec)
         self.end = next((i for i in sorted(self.is_control) if self.names[i] == "</s>"), None)
         apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self._merge_table()
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if apart else r"(?s:.+)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -237,25 +245,75 @@ class Pieces:
         elif kind == _UNKNOWN:
             self.unknown = i
 
-    def _merged(self, unit: str) -> list[str]:
-        return self._short(unit) if len(unit) <= SHORT else self._long(unit)
-
-    def _short(self, unit: str) -> list[str]:
-        """The pair of the highest score is merged, the leftmost of them, until none is left."""
-        parts, score = list(unit), self.scores.get
-        pairs = [score(p, NEVER) for p in map(str.__add__, parts, parts[1:])]
-        while pairs and (best := max(pairs)) != NEVER:
-            i = pairs.index(best)
-            del pairs[i]
-            parts[i] += parts.pop(i + 1)
-            if i < len(pairs):
-                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
-            if i:
-                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
-        return parts
-
-    def _long(self, unit: str) -> list[str]:
-        """The same by a heap."""
+    def _merge_table(self) -> None:
+        """Symbols of a merge are pieces, by id, and other characters, by code point after the ids. Of each two symbols
+        that make a piece: the pair as one number, in order, and the piece."""
+        n = len(self.bytes_of)
+        self.symbol = np.arange(n, n + 0x110000, dtype=np.int64)
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.symbol[ord(name)] = i
+        of = lambda x: self.ids.get(x, n + ord(x) if len(x) == 1 else None)
+        splits = [(of(name[:at]), of(name[at:]), i) for name, i in self.ids.items() for at in range(1, len(name))]
+        pairs = sorted((left << 32 | right, i) for left, right, i in splits if left is not None and right is not None)
+        self.pairs, self.made = (np.array(x, np.int64) for x in zip(*[*pairs, (1 << 62, -1)], strict=True))
+        self.score = np.append(np.full(n, NEVER), NEVER)
+        for name, i in self.ids.items():
+            self.score[i] = self.scores[name]
+
+    def _makes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, or -1."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.made[at], -1)
+
+    def _short(self, units: list[str]) -> list[bytes]:
+        """All units at once: in each round every unit merges its pair of the highest score, the leftmost of them."""
+        size = np.array(list(map(len, units)))
+        symbol = self.symbol[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")]
+        unit, taken = np.repeat(np.arange(len(units)), size), np.ones(len(symbol), np.int64)
+        makes = np.append(np.where(unit[1:] == unit[:-1], self._makes(symbol[:-1], symbol[1:]), -1), -1)
+        done: list[tuple[np.ndarray, ...]] = []
+        while len(symbol):
+            score = self.score[makes]
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            best = np.repeat(np.maximum.reduceat(score, starts), np.diff(np.append(starts, len(unit))))
+            ended = best == NEVER
+            at = np.flatnonzero((score == best) & ~ended)
+            at = at[np.append(True, unit[at[1:]] != unit[at[:-1]])] if len(at) else at
+            symbol[at] = makes[at]
+            taken[at] += taken[at + 1]
+            done.append((unit[ended], symbol[ended], taken[ended]))
+            stays = ~ended
+            stays[at + 1] = False
+            at = (np.cumsum(stays) - 1)[at]
+            symbol, unit, taken, makes = symbol[stays], unit[stays], taken[stays], makes[stays]
+            for i in (at, at[at > 0] - 1):  # the pairs that a merged symbol is in
+                after = np.minimum(i + 1, max(len(symbol) - 1, 0))
+                makes[i] = np.where((unit[i] == unit[after]) & (after > i), self._makes(symbol[i], symbol[after]), -1)
+        unit, symbol, taken = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(unit, kind="stable")
+        data = (symbol | taken << 32)[order].tobytes()
+        ends = 8 * np.cumsum(np.bincount(unit, minlength=len(units)))
+        values = [data[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        for i in set(unit[symbol >= len(self.bytes_of)].tolist()):
+            values[i] = self._with_bytes(np.frombuffer(values[i], "<i8").tolist())
+        return values
+
+    def _with_bytes(self, pieces: list[int]) -> bytes:
+        """The same with byte pieces for characters that aren't pieces."""
+        out, n = array("q"), len(self.bytes_of)
+        for piece in pieces:
+            symbol = piece & 0xFFFFFFFF
+            if symbol < n:
+                out.append(piece)
+            else:
+                out.extend(self.byte_ids[x] for x in chr(symbol - n).encode("utf-8", "surrogatepass"))
+                out[-1] |= 1 << 32
+        return out.tobytes()
+
+    def _long(self, unit: str) -> bytes:
+        """One unit, by a heap."""
         parts, scores = list(unit), self.scores
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap = [(-scores[p], i, i + 1, len(p)) for i, p in enumerate(map(str.__add__, parts, parts[1:])) if p in scores]
@@ -278,39 +336,50 @@ class Pieces:
                 offer(left, after[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        return [p for p in parts if p]
-
-    def _unit(self, unit: str) -> bytes:
-        """A unit's pieces as 64-bit numbers: the id, and from bit 32 on the characters that it takes."""
-        value = self.young.get(unit)
-        if value is not None:
-            return value
-        value = self.old.get(unit)
-        if value is None:
-            pieces = array("q")
-            for part in self._merged(unit):
-                i = self.ids.get(part)
-                if i is not None:
-                    pieces.append(i | len(part) << 32)
-                else:
-                    pieces.extend(self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass"))
-                    pieces[-1] |= 1 << 32
-            value = pieces.tobytes()
-        if len(unit) <= LONGEST:
-            if len(self.young) >= KEPT:
-                self.old, self.young = self.young, {}
-            self.young[unit] = value
-        return value
-
-    def encode(self, text: str) -> tuple[np.ndarray, int, np.ndarray]:
-        """Ids without an end id, the byte where the first piece's span starts, and those where the spans end."""
-        form, origin = self.normalizer(text)
-        units = self.units.findall(form)
+        n = len(self.bytes_of)
+        return self._with_bytes([(self.ids[p] if p in self.ids else n + ord(p)) | len(p) << 32 for p in parts if p])
+
+    def _values(self, units: list[str]) -> list[bytes]:
+        """For each of different units its pieces as 64-bit numbers: the id, and from bit 32 on the characters it takes.
+
+        They are kept from now on; when the young generation is full it becomes the old one.
+        """
         values = list(map(self.young.get, units))
-        if None in values:
-            values = [self._unit(u) if v is None else v for u, v in zip(units, values, strict=True)]
-        pieces = np.frombuffer(b"".join(values), "<i8")
-        return pieces.astype("<i4"), int(origin[0]), origin[np.cumsum(pieces >> 32)]
+        new = [i for i, v in enumerate(values) if v is None]
+        short = []
+        for i in new:
+            values[i] = self.old.get(units[i])
+            if values[i] is None:
+                if len(units[i]) <= SHORT:
+                    short.append(i)
+                else:
+                    values[i] = self._long(units[i])
+        if short:
+            for i, value in zip(short, self._short([units[i] for i in short]), strict=True):
+                values[i] = value
+        if len(self.young) + len(new) > KEPT:
+            self.old, self.young = self.young, {}
+        self.young.update((units[i], values[i]) for i in new if len(units[i]) <= LONGEST)
+        return values
+
+    def pieces(self, forms: list[str]) -> list[np.ndarray]:
+        """The pieces of each normal form, as 64-bit numbers."""
+        units = list(chain.from_iterable(map(self.units.findall, forms)))
+        different = list(dict.fromkeys(units))
+        values = self._values(different)
+        number = dict(zip(different, range(len(different)), strict=True))
+        which = np.fromiter(map(number.__getitem__, units), np.int64, len(units))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 8
+        first, sizes = np.cumsum(size) - size, size[which]
+        places = np.arange(sizes.sum()) + np.repeat(first[which] - (np.cumsum(sizes) - sizes), sizes)
+        pieces = np.frombuffer(b"".join(values), "<i8")[places]
+        return np.split(pieces, np.searchsorted(np.cumsum(pieces >> 32), np.cumsum(list(map(len, forms)))[:-1], "right"))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For each text ids without an end id, the byte where the first piece's span starts, and those where spans end."""
+        normal = list(map(self.normalizer, texts))
+        for pieces, (_, origin) in zip(self.pieces([form for form, _ in normal]), normal, strict=True):
+            yield pieces.astype("<i4"), int(origin[0]), origin[np.cumsum(pieces >> 32)]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes join up within runs that no control piece cuts."""
@@ -366,6 +435,17 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(kind, int(ends[-1]), [None, pa.py_buffer(values.tobytes())]))
 
 
+def together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where each lot of texts begins, and the texts, empty for null."""
+    at, size, texts = 0, 0, []
+    for i, text in enumerate(column):
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size > TOGETHER or i == len(column) - 1:
+            yield at, texts
+            at, size, texts = i + 1, 0, []
+
+
 def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """doc_id, ids (with the end id), start, ends (bytes of the text where each piece's span ends; the end id's is
     empty) and decoded, what decoding makes of the ids.
@@ -379,21 +459,15 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         pieces = codec(model.value)
         closing = np.array([] if pieces.end is None else [pieces.end], "<i4")
         for batch in batches:
-            at = size = 0
-            ids: list[np.ndarray] = []
-            ends: list[np.ndarray] = []
-            starts: list[int] = []
-            texts: list[str] = []
-            for i, text in enumerate(batch.column(1)):
-                own, start, own_ends = pieces.encode(text.as_py() or "")
-                ids += [np.concatenate([own, closing])]
-                starts.append(start)
-                ends.append(np.concatenate([own_ends, [own_ends[-1] if len(own_ends) else start] * len(closing)]).astype(np.int64))
-                texts.append(pieces.decode(ids[-1].tolist()))
-                size += 12 * len(own) + len(texts[-1])
-                if size > BATCH or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[at : i + 1], lists(ids, pa.int32()), pa.array(starts, pa.int64()), lists(ends, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "ids", "start", "ends", "decoded"])
-                    at, size, ids, ends, starts, texts = i + 1, 0, [], [], [], []
+            for at, texts in together(batch.column(1)):
+                ids, starts, ends = [], [], []
+                for own, start, own_ends in pieces.encode(texts):
+                    ids.append(np.concatenate([own, closing]))
+                    starts.append(start)
+                    ends.append(np.concatenate([own_ends, [own_ends[-1] if len(own_ends) else start] * len(closing)]).astype(np.int64))
+                decoded = [pieces.decode(x.tolist()) for x in ids]
+                columns = [batch.column(0)[at : at + len(ids)], lists(ids, pa.int32()), pa.array(starts, pa.int64()), lists(ends, pa.int64()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "start", "ends", "decoded"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(lambda batches: few_collections(lambda: coded(batches)), "doc_id long, ids array<int>, start long, ends array<long>, decoded string")

@@ -49,8 +49,8 @@ def random_texts(n, seed=3, most=30):
 
 
 def test_pieces_and_spans_against_library(pieces, library):
-    for text in random_texts(4000):
-        ids, start, ends = pieces.encode(text)
+    texts = random_texts(4000)
+    for text, (ids, start, ends) in zip(texts, pieces.encode(texts), strict=True):
         want = library.encode(text, return_type="proto").pieces
         assert ids.tolist() == [p.id for p in want] == library.encode(text)
         assert list(zip([start, *ends.tolist()], ends.tolist(), strict=False)) == [(p.begin, p.end) for p in want]
@@ -83,7 +83,8 @@ def test_pieces_in_either_way_and_forgotten(pieces, library, monkeypatch):
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         small = piece_bpe.Pieces(f.read())
     for text in texts:
-        assert small.encode(text)[0].tolist() == library.encode(text)
+        assert next(small.encode([text]))[0].tolist() == library.encode(text)
+    assert [x[0].tolist() for x in small.encode(texts)] == library.encode(texts)
 
 
 def test_other_models_are_refused():
