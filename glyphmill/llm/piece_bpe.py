@@ -43,7 +43,7 @@ from glyphmill.llm.common import table
 
 SPACE = "▁"
 #: Units kept in each of two generations, and the longest one kept.
-KEPT, LONGEST = 1 << 19, 64
+KEPT, LONGEST = 1 << 18, 64
 #: Characters of a unit up to which many are merged at once, the longer ones by a heap; the score of what isn't a piece.
 SHORT, NEVER = 48, float("-inf")
 #: Characters of texts that are encoded together; a longer text goes alone.
