@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
 from glyphmill.plans.scores import P, _round
-from glyphmill.sources import adapters, export, readers, runs, strict
+from glyphmill.sources import adapters, export, log, readers, runs, strict
 from glyphmill.sources import evidence as e
 from glyphmill.streaming import attempts, machine
 
@@ -24,18 +25,50 @@ def _written(spark, df, name):
     return at
 
 
+def _unended(spark, at, content):
+    """One more file of a folder, that ends as content does."""
+    spark.createDataFrame([(content[:-1],)], "value string").coalesce(1).write.mode("append").option("lineSep", content[-1]).text(at)
+
+
 def log_repair(spark, sf_dir):
     ev = _table(spark, sf_dir, "events").select(*[c.split()[0] for c in EVENT.split(", ")])
     at = _written(spark, ev.select(F.to_json(F.struct(*ev.columns)).alias("value")), "log")
-    spark.createDataFrame([('{"event_id": -1, "user_id": 1, "event_type": "click", "value": 1.0}\n{"event_id": -2, "user_',)], "value string").coalesce(1).write.mode("append").text(at)
-    records, torn = strict.committed(spark, at, EVENT)
+    _unended(spark, at, '{"event_id": -1, "user_id": 1, "event_type": "click", "value": 1.0}\n{"event_id": -2, "user_')
+    to, aside = export.scratch(spark, "repaired"), export.scratch(spark, "aside")
+    log.repair(spark, at, EVENT, to, aside)
+    records, torn = spark.read.schema(EVENT).json(to), spark.read.schema("file string, value string").json(aside)
     return records.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")).withColumn("torn", F.lit(torn.count()))
 
 
 def corrupt_lines(spark, sf_dir):
     n = _table(spark, sf_dir, "nation")
     at = _written(spark, n.orderBy("n_nationkey").coalesce(1).select(F.when(F.col("n_nationkey") % 7 == 3, F.col("n_name")).when(F.col("n_nationkey") == 24, '{"k": 2').otherwise(F.to_json(F.struct(F.col("n_nationkey").alias("k")))).alias("value")), "lines")
-    return strict.log_lines(spark, at, "k int").select("value", "state")
+    _unended(spark, at, '{"k": 98}\n\n{"k": "word"}\n{"k": 99')
+    _unended(spark, at, '{"k": 97}')
+    return log.states(spark, at, "k int").select("value", "state")
+
+
+#: Events of a log file; a file's end is, by its number: committed, whole without a newline, torn, or corrupt with one.
+FILE_EVENTS = 1000
+
+
+def log_ends(spark, sf_dir):
+    f, kind = F.expr(f"event_id div {FILE_EVENTS}"), F.expr(f"event_id div {FILE_EVENTS} % 4")
+    w = Window.partitionBy("f").orderBy("event_id")
+    ev = _table(spark, sf_dir, "events").select("event_id", "user_id", f.alias("f"), kind.alias("kind"))
+    ev = ev.withColumn("first", F.lag("event_id").over(w).isNull()).withColumn("last", F.lead("event_id").over(w).isNull())
+    line = F.when(F.col("last") & (F.col("kind") >= 2), '{"event_id": {"x": 1}').otherwise(F.to_json(F.struct("event_id", "user_id")))
+    rows = ev.select("f", "kind", "event_id", F.when(F.col("first") | F.col("kind").isin(0, 3), line).otherwise(F.concat(F.lit("\n"), line)).alias("value"))
+    sound, broken = export.scratch(spark, "ends"), export.scratch(spark, "broken")
+    for where, at, end in (("kind = 0", sound, "\n"), ("kind in (1, 2)", sound, "}"), ("kind = 3", broken, "\n")):
+        some = rows.where(where).withColumn("value", F.col("value") if end == "\n" else F.expr("left(value, length(value) - 1)"))
+        some.repartition("f").sortWithinPartitions("f", "event_id").select("f", "value").write.mode("append").option("lineSep", end).partitionBy("f").text(at)
+    schema = "event_id long, user_id long"
+    known = log.ends(log.lines(spark, [sound, broken] if spark.read.text(broken).limit(1).count() else sound, schema))
+    number = F.regexp_extract("file", r"/f=(\d+)/", 1).cast("long")
+    count = lambda df, name: df.groupBy(F.expr(f"event_id div {FILE_EVENTS}").alias("f")).agg(F.count(F.lit(1)).alias(name), F.sum("user_id").alias(f"{name}_users"))
+    repaired, live = count(log.repaired(spark, sound, schema)[0], "repaired"), count(log.live(spark, sound, schema), "live")
+    return known.select(number.alias("f"), "end", "lines", "corrupt").join(repaired, "f", "left").join(live, "f", "left")
 
 
 def metadata_scan(spark, sf_dir):
@@ -193,7 +226,7 @@ def run_load(spark, sf_dir):
     s, r = e.samples(spark, sf_dir), e.results(spark, sf_dir)
     keep = ["model", "pass", "sample_id", "status", "prediction", "reference", "latency_seconds"]
     at = _written(spark, r.select(F.to_json(F.struct(*keep)).alias("value")), "run")
-    spark.createDataFrame([('{"model": "m_sub", "pass": 3, "sam',)], "value string").coalesce(1).write.mode("append").text(at)
+    _unended(spark, at, '{"model": "m_sub", "pass": 3, "sam')
     schema = "model string, pass int, sample_id long, status string, prediction string, reference string, latency_seconds double"
     got = runs.run(spark, at, s, e.models(spark), 3, schema, live=True)
     return _round(got.groupBy("model", "difficulty").agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("predicted"), F.avg("latency_seconds").alias("mean_latency")))
@@ -247,7 +280,12 @@ _LONG = "'l-' || s_suppkey"
 
 QUERIES = {
     "log_repair": (log_repair, "select event_type, n + (event_type = 'click')::int as n, ids - (event_type = 'click')::int as ids, 1 as torn from (select event_type, count(*) as n, sum(event_id)::bigint as ids from events group by 1)"),
-    "corrupt_lines": (corrupt_lines, """select case when n_nationkey % 7 = 3 then n_name when n_nationkey = 24 then '{"k": 2' else '{"k":' || n_nationkey || '}' end as value, case when n_nationkey = 24 then 'torn' when n_nationkey % 7 = 3 then 'corrupt' else 'whole' end as state from nation"""),
+    "corrupt_lines": (corrupt_lines, """select case when n_nationkey % 7 = 3 then n_name when n_nationkey = 24 then '{"k": 2' else '{"k":' || n_nationkey || '}' end as value, case when n_nationkey = 24 or n_nationkey % 7 = 3 then 'corrupt' else 'whole' end as state from nation
+        union all values ('{"k": 98}', 'whole'), ('', 'corrupt'), ('{"k": "word"}', 'corrupt'), ('{"k": 99', 'torn'), ('{"k": 97}', 'whole')"""),
+    "log_ends": (log_ends, f"""with g as (select event_id // {FILE_EVENTS} as f, count(*) as n, sum(user_id)::bigint as u, arg_max(user_id, event_id) as v from events group by 1)
+        select f, case f % 4 when 1 then 'unterminated' when 2 then 'torn' else 'committed' end as "end", n as lines, (f % 4 = 3)::bigint as corrupt,
+        case f % 4 when 0 then n when 1 then n when 2 then nullif(n - 1, 0) end as repaired, case f % 4 when 0 then u when 1 then u when 2 then u - v end as repaired_users,
+        case f % 4 when 0 then n when 1 then nullif(n - 1, 0) when 2 then nullif(n - 1, 0) end as live, case f % 4 when 0 then u when 1 then u - v when 2 then u - v end as live_users from g"""),
     "metadata_scan": (metadata_scan, "select c_name as sample_id, case when c_custkey % 2 = 0 then c_mktsegment end as content_type, case when c_custkey % 2 = 1 then 'test' end as split, case when c_custkey % 2 = 0 then c_mktsegment end as critical from customer"),
     "word_table_scan": (word_table_scan, "select distinct 'w-' || s_suppkey % 40 as id, 'word' || s_suppkey % 40 as text from supplier where s_suppkey % 10 <> 0 and s_suppkey % 3 <> 0"),
     "line_table_scan": (line_table_scan, f"select {_LONG} as id, case when s_suppkey % 2 = 0 then 'A ' || s_name else 'A MOVE ' || s_name end as text from supplier where s_suppkey % 5 <> 0 and s_suppkey % 11 <> 0"),

@@ -9,22 +9,6 @@ RESULT = "model string, sample_id string, pass int, status string, prediction st
 PREDICTION = "sample_id string, prediction string, status string, latency_seconds double, usage struct<input_tokens: bigint, output_tokens: bigint>"
 
 
-def strict_records(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """JSON lines; a line that isn't whole is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-
-
-def committed_records(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """JSON lines of a log that may be growing: lines that can't be read, such as a torn last one, are set aside in _corrupt_record."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-
-
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata keyed by id or sample_id."""
-    raw = spark.read.schema("id string, sample_id string, content_type string, split string, verified string, verification_status string, source_document string, document_id string, writer_id string, difficulty string").json(path)
-    return raw.select(F.coalesce("id", "sample_id").alias("sample_id"), *[c for c in raw.columns if c not in ("id", "sample_id")])
-
-
 def repeated_keys(df: DataFrame, key: str = "sample_id") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
@@ -36,21 +20,6 @@ def word_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f")[0].alias("id"), F.element_at("f", -1).alias("text"))
 
 
-def line_table(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """id, status and text of lines: nine fields, the last with | for spaces. Only ok lines, unless ``strict``, which keeps all."""
-    rows = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+", 9).alias("f")).where("size(f) = 9")
-    for i in range(2, 8):
-        rows = rows.where(F.col("f")[i].try_cast("int").isNotNull())
-    out = rows.select(F.col("f")[0].alias("id"), F.col("f")[1].alias("status"), F.trim(F.regexp_replace(F.replace(F.col("f")[8], F.lit("|"), F.lit(" ")), r"\s+", " ")).alias("text"))
-    return out if strict else out.where("status = 'ok'")
-
-
-def id_list(spark: SparkSession, path: str, pattern: str = r"^[A-Za-z0-9-]+$") -> DataFrame:
-    """One id in a line; those of another form raise an error."""
-    checked = F.when(F.col("id").rlike(pattern), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not an id: "), "id")))
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''").select(checked.alias("id"))
-
-
 def forms(spark: SparkSession, path: str) -> DataFrame:
     """form, writer, line order, text and box of form XML; a last line that holds a signature is left out."""
     schema = "_id string, `_writer-id` string, `handwritten-part` struct<line: array<struct<_id: string, _text: string, word: array<struct<cmp: array<struct<_x: int, _y: int, _width: int, _height: int>>>>>>>"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.operators import identity
-from glyphmill.sources import export, strict
+from glyphmill.sources import export, log, strict
 from glyphmill.sources.sinks import broken_rows
 
 VERSION = "v1"
@@ -44,9 +44,11 @@ def snapshot(spark: SparkSession, path: str, expected: str | None = None) -> Dat
 
 
 def run(spark: SparkSession, path: str, samples: DataFrame, models: DataFrame, planned_passes: int, schema: str, live: bool = False) -> DataFrame:
-    """A run's results with their samples' metadata; cells that shouldn't be are errors. A live run's log may have a torn end."""
-    records, torn = strict.committed(spark, path, schema)
-    if not live:
+    """A run's results with their samples' metadata; cells that shouldn't be are errors. Of a live run's log only committed lines count."""
+    if live:
+        records = log.live(spark, path, schema)
+    else:
+        records, torn = log.repaired(spark, path, schema)
         strict.sound(records, torn, "torn line")
     findings = identity.result_findings(samples, models, records, planned_passes)
     strict.sound(records, findings, "result")

@@ -1,33 +1,10 @@
-"""Writers of reports, snapshots and caches."""
+"""Checks of snapshots and texts for sheets."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.text import csv_guard
-
-
-def table_for_csv(df: DataFrame, first: list[str]) -> DataFrame:
-    """Preferred columns, then the others by name; nested values as JSON, null as nothing, formulas made harmless."""
-    order = [c for c in first if c in df.columns] + sorted(set(df.columns) - set(first))
-    kinds = dict(df.dtypes)
-
-    def plain(c: str):
-        nested = kinds[c].startswith(("struct", "array", "map"))
-        return csv_guard(F.coalesce(F.to_json(c) if nested else F.col(c).cast("string"), F.lit(""))).alias(c)
-
-    return df.select(*map(plain, order))
-
-
-def write_csv(df: DataFrame, path: str, first: list[str] | None = None) -> None:
-    table_for_csv(df, first or []).write.mode("errorifexists").option("header", True).option("quoteAll", True).csv(path)
-
-
-def freeze(samples: DataFrame, path: str) -> None:
-    """A snapshot, written once: another at the same place is an error."""
-    samples.withColumn("row_hash", F.sha2(F.to_json(F.struct(*sorted(samples.columns))), 256)).write.mode("errorifexists").parquet(path)
-
 
 def broken_rows(frozen: DataFrame) -> DataFrame:
     """Rows of a snapshot whose hash isn't that of their values."""
@@ -35,11 +12,6 @@ def broken_rows(frozen: DataFrame) -> DataFrame:
     return frozen.where(F.col("row_hash") != F.sha2(F.to_json(F.struct(*values)), 256))
 
 
-def cache_store(cache: DataFrame, new: DataFrame) -> DataFrame:
-    """Responses whose key the cache lacks, to be appended: what is stored is never replaced."""
-    return new.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
-
-
 def overflow_chunks(df: DataFrame, key: str, text: str, size: int = 32_000) -> DataFrame:
     """Texts too long for a sheet's cell, in numbered pieces."""
     long = df.where(F.char_length(text) > size)

@@ -1,4 +1,4 @@
-"""Strict readers: logs with a torn end, annotation tables, id lists, external predictions and settings files.
+"""Strict readers: annotation tables, id lists, external predictions and settings files.
 
 A reader that finds what mustn't be there raises, naming the first case; ``*_findings`` list all cases instead.
 """
@@ -25,26 +25,6 @@ def sound(df: DataFrame, bad: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """value, state and record of each line: whole, torn (no record, the last of its file) or corrupt (no record, before that).
-
-    A file's lines are in the order of its blocks, and within a block in that of its task.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place")).where(F.trim("value") != "")
-    last = lines.groupBy("file").agg(F.max("place.block").alias("block"), F.max("place").alias("last"))
-    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    out = lines.withColumn("record", parsed).join(F.broadcast(last.select("file", "last")), "file")
-    state = F.when(F.col("record._corrupt_record").isNull() & F.col("record").isNotNull(), "whole").when(F.col("place") == F.col("last"), "torn").otherwise("corrupt")
-    return out.select("file", "value", state.alias("state"), "record")
-
-
-def committed(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a log up to its last whole line, and the torn ends set aside; a line corrupt before the end is an error."""
-    lines = log_lines(spark, path, schema)
-    sound(lines, lines.where("state = 'corrupt'").select("file", "value"), "corrupt line")
-    return lines.where("state = 'whole'").select("record.*").drop("_corrupt_record"), lines.where("state = 'torn'").select("file", "value")
-
-
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata by sample_id, each id once, with its annotations and critical fields as they are."""
     raw = spark.read.schema("id string, sample_id string, content_type string, split string, verified string, verification_status string, source_document string, document_id string, writer_id string, difficulty string, annotations struct<critical_expressions: array<string>, reading_order: array<array<string>>>").json(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import identity, rollup, running
-from glyphmill.sources import adapters, export, runs, strict
+from glyphmill.sources import adapters, export, log, runs, strict
 from glyphmill.streaming import machine
 
 
@@ -19,12 +19,53 @@ def texts(spark, tmp_path, name, *files):
     return str(tmp_path / name)
 
 
+def ks(df):
+    return sorted(r.k for r in df.collect())
+
+
 def test_logs(spark, tmp_path):
-    at = texts(spark, tmp_path, "log", '{"k": 1}\n{"k": 2}\n{"k"', '{"k": 3}\n', "")
-    records, torn = strict.committed(spark, at, "k int")
-    assert sorted(r.k for r in records.collect()) == [1, 2, 3] and [r.value for r in torn.collect()] == ['{"k"']
-    with pytest.raises(ValueError, match="corrupt line"):
-        strict.committed(spark, texts(spark, tmp_path, "bad", '{"k": 1}\nnope\n{"k": 2}\n'), "k int")
+    at = texts(spark, tmp_path, "log", '{"k": 1}\n{"k": 2}\n{"k"', '{"k": 3}\n', "", '{"k": 4}\r\n{"k": 5}')
+    records, torn = log.repaired(spark, at, "k int")
+    assert ks(records) == [1, 2, 3, 4, 5] and [r.value for r in torn.collect()] == ['{"k"']
+    assert ks(log.live(spark, at, "k int")) == [1, 2, 3, 4]
+    ends = {r.file.rsplit("/", 1)[1]: (r.end, r.lines, r.corrupt) for r in log.ends(log.lines(spark, at, "k int")).collect()}
+    assert ends == {"0.txt": ("torn", 3, 0), "1.txt": ("committed", 1, 0), "3.txt": ("unterminated", 2, 0)}
+    log.repair(spark, at, "k int", str(tmp_path / "to"), str(tmp_path / "aside"))
+    assert ks(spark.read.json(str(tmp_path / "to"))) == [1, 2, 3, 4, 5] and spark.read.json(str(tmp_path / "aside")).first().value == '{"k"'
+
+
+@pytest.mark.parametrize("text", ['{"k": 1}\nnope\n{"k": 2}\n', '{"k": 1}\n{"k": 2\n', '{"k": "x"}\n', '{"k": 1}\n\n', '{"k": 1}\n5\n{"k"', "\n"])
+def test_logs_with_a_corrupt_line(spark, tmp_path, text):
+    """A line with a newline must be a record, also when it is the last."""
+    at = texts(spark, tmp_path, "bad", text, '{"k": 3}\n')
+    for read in (log.live, log.repaired):
+        with pytest.raises(ValueError, match="corrupt line"):
+            read(spark, at, "k int")
+
+
+def test_a_log_of_several_blocks(spark, tmp_path, monkeypatch):
+    """Read by several tasks, and with more open ends than are broadcast."""
+    monkeypatch.setattr(log, "FEW", 0)
+    n = 20_000
+    at = texts(spark, tmp_path, "large", "".join(f'{{"k": {i}, "t": "é"}}\n' for i in range(n)) + '{"k": -1}', '{"k": -2}\n{"k')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        found = log.lines(spark, at, "k int")
+        assert found.rdd.getNumPartitions() > 5
+        assert ks(log.live(spark, at, "k int")) == [-2, *range(n)]
+        records, torn = log.repaired(spark, at, "k int")
+        assert ks(records) == [-2, -1, *range(n)] and torn.count() == 1
+        assert {r.state: r["count"] for r in log.states(spark, at, "k int").groupBy("state").count().collect()} == {"whole": n + 2, "torn": 1}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_log_that_grows_while_it_is_read(spark, tmp_path):
+    at = texts(spark, tmp_path, "grows", '{"k": 1}\n{"k":')
+    found = log.lines(spark, at, "k int")
+    with open(f"{at}/0.txt", "a") as f:
+        f.write(' 2}\n{"k": 3}\n')
+    assert [(r.end, r.corrupt) for r in log.ends(found).collect()] == [("unterminated", 0)]
 
 
 def test_annotation_tables_refuse(spark, tmp_path):
