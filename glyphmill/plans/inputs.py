@@ -46,7 +46,38 @@ def equation_equivalence(spark, sf_dir):
     return p.select("p_partkey", equations.equivalence(left, right, domain).alias("e")).select("p_partkey", "e.status", "e.reason")
 
 
+#: Pairs of expressions over a part's size s, with what is true of them; x is one of -1, 0, 1 and 2, and y is 3.
+SHAPES = [
+    ("(x+s)*(x-s)", "x^2-s^2", "equivalent", "same_exact_polynomial"),
+    ("(x+y)^2", "x^2+2*x*y+y^2", "equivalent", "same_exact_polynomial"),
+    ("(s*x+s)/s", "x+1", "equivalent", "same_exact_polynomial"),
+    ("-(x-y)", "y-x", "equivalent", "same_exact_polynomial"),
+    ("s/x", "s/x", "equivalent", "same_normalized_expression"),
+    ("x^-1", "1/x", "undetermined", "no_counterexample_found"),
+    ("x/0", "x/0", "undetermined", "division by zero"),
+    ("x*s", "x*s+1", "different", "numeric_counterexample"),
+    ("1/x", "x", "different", "numeric_counterexample"),
+    ("x^3-x", "0", "different", "numeric_counterexample"),
+    ("y^s", "y^s+z", "undetermined", "domain_missing"),
+    ("x^13", "x^13+1", "undetermined", "no_counterexample_found"),
+    ("s+", "s", "undetermined", "not arithmetic"),
+    ("f(x)", "x", "undetermined", "unsupported expression"),
+    ("----------------------------------x", "x", "undetermined", "expression too deep"),
+    ("1000000000000000000*x", "x", "different", "numeric_counterexample"),
+    (" ", "x", "undetermined", "empty_expression"),
+]
+
+
+def equation_shapes(spark, sf_dir):
+    shapes = spark.createDataFrame([(i, left, right) for i, (left, right, _, _) in enumerate(SHAPES)], "shape int, l string, r string")
+    domain = F.create_map(F.lit("x"), F.array(*[F.lit(float(v)) for v in (-1, 0, 1, 2)]), F.lit("y"), F.array(F.lit(3.0)))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("shape", (F.col("p_partkey") % len(SHAPES)).cast("int")).join(F.broadcast(shapes), "shape")
+    said = lambda c: F.replace(c, F.lit("s"), F.col("p_size").cast("string"))
+    return p.select("p_partkey", equations.equivalence(said(F.col("l")), said(F.col("r")), domain).alias("e")).select("p_partkey", "e.status", "e.reason")
+
+
 QUERIES = {
+    "equation_shapes": (equation_shapes, f"select p_partkey, status, reason from part join (values {', '.join(f"({i}, '{s}', '{r}')" for i, (_, _, s, r) in enumerate(SHAPES))}) v(i, status, reason) on p_partkey % {len(SHAPES)} = i"),
     "stream_attempt_pairing": (stream_attempt_pairing, "select user_id, count(*) filter (event_type = 'click') as starts, count(*) filter (event_type <> 'click') as finishes, count(*) filter (event_type = 'error') as failed, greatest(count(*) filter (event_type = 'click') - count(*) filter (event_type <> 'click'), 0) as uncertain from events group by 1"),
     "stream_window_latency": (stream_window_latency, "select date_trunc('hour', ts) as start, count(*) as n, count(*) filter (event_type = 'error') as errors, round(sum(value) / count(*), 6) as mean_latency from events where event_type <> 'click' group by 1"),
     "stream_dedup": (stream_dedup, "select distinct event_id, user_id, event_type from events"),

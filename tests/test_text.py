@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,41 @@ def test_equations():
     assert equations.compare("x^2", "x")[1] == "domain_missing"
     assert equations.compare("__import__('os')", "x")[0] == "undetermined"
     assert equations.compare("1/x", "1/x")[0] == "equivalent"
+    assert equations.compare("x", "x+1", {"x": list(range(513))})[1] == "domain_limit"
+    assert equations.compare("x", "x+1", {"x": [None, True, float("nan"), "?"]})[1] == "domain_missing"
+    assert equations.compare("0^0", "2")[0] == "undetermined" and equations.compare("True", "1")[0] == "undetermined"
+    assert equations.compare("(x + y)^12", "(x + y)^12")[0] == "equivalent" and equations.compare("(x + y)^12", "x^12 + y^12")[0] == "undetermined"
+    assert equations.compare("-" * 29 + "x", "-x")[0] == "equivalent" and equations.compare("-" * 30 + "x", "x")[1] == "expression too deep"
+    assert equations.compare("1e400", "1")[0] == equations.compare("2", "10^18*10^18")[0] == "undetermined"
+
+
+def test_equations_against_values():
+    """Of random expressions those said to be equivalent have equal values, and those said to differ a point where they don't."""
+    r = random.Random(3)
+
+    def grown(depth):
+        if not depth or r.random() < 0.2:
+            return r.choice(["x", "y", str(r.randrange(4))])
+        if r.random() < 0.15:
+            return f"(-{grown(depth - 1)})"
+        op = r.choice("+-*/^")
+        return f"({grown(depth - 1)}{op}{r.randrange(3) if op == '^' else grown(depth - 1)})"
+
+    def value(text, **at):
+        try:
+            return eval(text.replace("^", "**"), {k: Fraction(v) for k, v in at.items()})  # noqa: S307
+        except ZeroDivisionError:
+            return None
+
+    seen = set()
+    for _ in range(3000):
+        a, b = grown(3), grown(2)
+        status, _, _ = equations.compare(a, b, {"x": [-2, 1, 3], "y": [0, 5]})
+        points = [(value(a, x=x, y=y), value(b, x=x, y=y)) for x in (-2, 1, 3) for y in (0, 5)]
+        pairs = [(u, v) for u, v in points if u is not None and v is not None]
+        seen.add(status)
+        if status == "equivalent":
+            assert all(u == v for u, v in pairs)
+        elif status == "different":
+            assert any(u != v for u, v in pairs)
+    assert len(seen) == 3
