@@ -6,17 +6,17 @@ import difflib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.components import connected_components
+from glyphmill.operators import neighbours
+from glyphmill.plans.cut import checkpointed
 
-#: Bits of a visual hash; any two within 4 bits agree on one of five runs.
-HASH_BITS, HASH_DISTANCE, RUN = 64, 4, 13
+#: Differing bits of visual hashes that are alike.
+HASH_DISTANCE = 4
 #: Characters of a block of texts compared with another; lengths of the runs of characters that rule pairs out.
 BLOCK, GRAMS = 1 << 18, (1, 3)
 
@@ -37,22 +37,17 @@ def sign_hash(vector: str) -> F.Column:
 
 
 def hamming_pairs(df: DataFrame, key: str, bits: str, distance: int = HASH_DISTANCE) -> DataFrame:
-    """Pairs of keys whose 64-bit hashes differ in at most ``distance`` bits: joined on equal runs of bits, then verified."""
-    runs = distance + 1
-    width = -(-HASH_BITS // runs)
-    cuts = [F.shiftrightunsigned(F.col(bits), i * width).bitwiseAND(F.lit((1 << min(width, HASH_BITS - i * width)) - 1)) for i in range(runs)]
-    points = df.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("h"), F.posexplode(F.array(*cuts)).alias("run", "value"))
-    a, b = (points.select("run", "value", F.col("k").alias(f"{s}_id"), F.col("h").alias(s)) for s in ("left", "right"))
-    gap = F.bit_count(F.col("left").bitwiseXOR(F.col("right")))
-    # Kept at the first run on which the two agree, so each pair comes once.
-    agree = [F.shiftrightunsigned(F.col("left").bitwiseXOR(F.col("right")), i * width).bitwiseAND(F.lit((1 << min(width, HASH_BITS - i * width)) - 1)) == 0 for i in range(runs)]
-    first = reduce(lambda acc, i: F.when(agree[i], F.lit(i)).otherwise(acc), reversed(range(runs)), F.lit(None).cast("int"))
-    return a.join(b, ["run", "value"]).where((F.col("left_id") < F.col("right_id")) & (gap <= distance) & (first == F.col("run"))).select("left_id", "right_id", gap.alias("distance"))
+    """All pairs of keys whose 64-bit hashes differ in at most ``distance`` bits.
 
-
-def components(pairs: DataFrame) -> DataFrame:
-    """node and component of what the pairs connect."""
-    return connected_components(pairs.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))).distinct()
+    The links of classes of equal hashes, written out: as many rows as there are pairs, quadratic in a class. Where
+    groups or links of classes will do, take ``neighbours``.
+    """
+    known = checkpointed(neighbours.classes(df, key, bits))
+    near = neighbours.near_hashes(known, distance).union(known.where("n > 1").select(F.col("h").alias("left"), F.col("h").alias("right"), F.lit(0).alias("distance")))
+    rows = df.where(F.col(bits).isNotNull())
+    a, b = (rows.select(F.col(bits).alias(side), F.col(key).alias(f"{side}_key")) for side in ("left", "right"))
+    both = near.join(a, "left").join(b, "right").where((F.col("left") != F.col("right")) | (F.col("left_key") < F.col("right_key")))
+    return both.select(F.least("left_key", "right_key").alias("left_id"), F.greatest("left_key", "right_key").alias("right_id"), "distance")
 
 
 def _tagged(text: str, size: int) -> list[tuple[str, int]]:
@@ -139,7 +134,9 @@ def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: f
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, the same ones for a seed: the least by a hash of seed and key."""
+    """n rows without replacement, the same ones for a seed: the least by a hash of seed and key. More than there are is an error."""
+    if n < 1 or (there := df.limit(n).count()) < n:
+        raise ValueError(f"{n} rows of {df.count() if n < 1 else there}")
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     return df.withColumn("order_", order).orderBy("order_", key).limit(n).drop("order_")
 
@@ -149,23 +146,3 @@ def stratified_round_robin(df: DataFrame, key: str, band: str, n: int, seed: int
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     turn = F.row_number().over(Window.partitionBy(band).orderBy("order_", key))
     return df.withColumn("order_", order).withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", band).limit(n).drop("order_")
-
-
-def grouped_split(samples: DataFrame, ratios: dict[str, float], seed: int) -> DataFrame:
-    """A split for each sample such that no document and no writer is in two.
-
-    Documents and writers that share a sample are one group. A group's place on the unit line is its seeded hash;
-    the splits' shares of the line decide, so the work is one pass and needs no counts of other groups.
-    """
-    nodes = samples.select(F.concat(F.lit("d"), F.col("source_document").cast("string")).alias("u"), F.concat(F.lit("w"), F.col("writer_id").cast("string")).alias("v"))
-    group = connected_components(nodes.distinct()).distinct()
-    place = F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}|"), F.col("component"))), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
-    total, split = 0.0, F.lit(None).cast("string")
-    names = list(ratios)
-    for name in reversed(names):
-        total = sum(ratios[x] for x in names[: names.index(name) + 1])
-        split = F.when(place < total, F.lit(name)).otherwise(split)
-    out = samples.select("sample_id", F.concat(F.lit("d"), F.col("source_document").cast("string")).alias("node")).join(group, "node")
-    return out.select("sample_id", F.col("component").alias("split_group"), F.coalesce(split, F.lit(names[-1])).alias("split"))
-
-

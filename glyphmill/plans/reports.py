@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
-from glyphmill.operators import checks, compare, costs, scoring, task_metrics
+from glyphmill.operators import checks, compare, costs, quantiles, scoring, task_metrics
 from glyphmill.plans.scores import CELLS, SCORED, P, _all, _by_run, _cells, _round, norm
 from glyphmill.sources import evidence as e
 
@@ -62,6 +62,11 @@ def latency_stats(spark, sf_dir):
     return _round(ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.95).alias("p95"), F.try_divide(60.0 * F.count("value"), F.sum("value")).alias("per_minute")))
 
 
+def selected_percentiles(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("price", F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice")))
+    return _round(quantiles.percentiles(li, ["l_returnflag", "l_linestatus"], "price", {"p05": 0.05, "median": 0.5, "p95": 0.95, "p999": 0.999}))
+
+
 def merge_runs(spark, sf_dir):
     r = e.results(spark, sf_dir)
     return compare.merge_runs({"a": r.where("pass = 1"), "b": r.where("pass = 2"), "c": r.where("pass = 3")}).groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -198,6 +203,7 @@ def _fine(x: str) -> str:
 
 
 QUERIES = {
+    "selected_percentiles": (selected_percentiles, "select l_returnflag, l_linestatus, count(p) as n, " + ", ".join(f"round(quantile_cont(p, {q}), 6) as {name}" for name, q in (("p05", 0.05), ("median", 0.5), ("p95", 0.95), ("p999", 0.999))) + " from (select *, case when l_linenumber < 7 then l_extendedprice end as p from lineitem) group by 1, 2 having count(p) > 0"),
     "unit_cost": (unit_cost, f"""{P}, u as (select * from results union all select model || '+usage' as model, * exclude (model) from results where output_tokens is not null), c as (select model, {_COST} as cost from u where not cache_hit and status <> 'unsupported'),
         a as (select model, count(cost) as usage_record_count, count(*) filter (cost is null) as unpriced_count, sum(cost) as o from c group by 1) select model, usage_record_count, unpriced_count, case when unpriced_count = 0 then round(o, 3) end as observed_cost, case when unpriced_count = 0 then round(o / usage_record_count, 6) end as unit_cost from a"""),
     "cost_scenarios": (cost_scenarios, f"""{P}, c as (select model, {_COST} as cost from results where output_tokens is not null and not cache_hit and status <> 'unsupported'), u as (select model, avg(cost) as unit from c group by 1)

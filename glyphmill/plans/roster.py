@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from glyphmill.operators import audit, eligibility, resample, scoring
+from glyphmill.operators import audit, eligibility, neighbours, resample, scoring, splits
 from glyphmill.plans.scores import CELLS, SCORED, P, _cells, _round
 from glyphmill.sources import evidence as e
 
@@ -44,15 +46,26 @@ def split_overlap(spark, sf_dir):
     return audit.cross_split_leakage(d, "digest", "split")
 
 
-def hamming_lsh_pairs(spark, sf_dir):
+def _hashed(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     turned = F.transform("embedding", lambda x, i: F.when(i.isin(3, 40), -x).otherwise(x))  # a near copy of every vector
-    v = v.union(v.select(F.col("vec_id") + 10_000_000, turned)).withColumn("bits", audit.sign_hash("embedding"))
-    return audit.hamming_pairs(v, "vec_id", "bits")
+    return v.union(v.select(F.col("vec_id") + 10_000_000, turned)).withColumn("bits", audit.sign_hash("embedding"))
+
+
+def hamming_lsh_pairs(spark, sf_dir):
+    return audit.hamming_pairs(_hashed(spark, sf_dir), "vec_id", "bits")
+
+
+def hamming_groups(spark, sf_dir):
+    copies = _hashed(spark, sf_dir).select("vec_id", "bits")
+    copies = copies.union(copies.where("vec_id % 3 = 0").select(F.col("vec_id") + 20_000_000, "bits"))
+    return neighbours.groups(copies, "vec_id", "bits", 4).withColumnRenamed("key", "vec_id")
 
 
 def duplicate_components(spark, sf_dir):
-    return audit.components(hamming_lsh_pairs(spark, sf_dir))
+    found = neighbours.groups(_hashed(spark, sf_dir), "vec_id", "bits", audit.HASH_DISTANCE)
+    shared = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(shared, "component").select(F.col("key").alias("node"), "component")
 
 
 def near_text_pairs(spark, sf_dir):
@@ -71,7 +84,11 @@ def stratified_round_robin(spark, sf_dir):
 
 def grouped_split(spark, sf_dir):
     s = e.samples(spark, sf_dir).withColumn("writer_id", F.floor(F.col("source_document") / 5))
-    return audit.grouped_split(s, {"train": 0.7, "validation": 0.15, "test": 0.15}, 42)
+    return splits.grouped_split(s, {"train": 0.7, "validation": 0.15, "test": 0.15}, 42)
+
+
+def document_split(spark, sf_dir):
+    return splits.grouped_split(e.samples(spark, sf_dir), {"train": 0.8, "validation": 0.1, "test": 0.1}, 7, writers=False)
 
 
 def paired_difference(spark, sf_dir):
@@ -90,6 +107,21 @@ times as (select replicate, source_document, count(*) as times from drawn join n
 _SIGN = "list_reduce(list_transform(range(1, 65), lambda i: case when embedding[i] > 0 then (1::ubigint << (64 - i)::ubigint) else 0::ubigint end), lambda a, b: a | b)"
 _PAIRS = f"e2 as (select vec_id, embedding from embeddings union all select vec_id + 10000000, list_transform(embedding, lambda x, i: case when i in (4, 41) then -x else x end) from embeddings), v as (select vec_id, {_SIGN} as h from e2), p as (select a.vec_id as left_id, b.vec_id as right_id, bit_count(xor(a.h, b.h))::integer as distance from v a join v b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 4)"
 
+def _greedy(groups, node, ratios, seed):
+    """The split that lacks most gets the next group, one by one."""
+    order = list(ratios)
+    random.Random(seed).shuffle(order)
+    lack = [f"(n::double * {ratios[x]}::double - c{i})" for i, x in enumerate(order)]
+    pick = f"case when {lack[0]} >= {lack[1]} and {lack[0]} >= {lack[2]} then 0 when {lack[1]} >= {lack[2]} then 1 else 2 end"
+    step = f"case when o.at <= 3 then o.at - 1 else {pick} end"
+    return f"""{P}, g as ({groups}), s as (select g, count(*) as size from samples join g on g.w = {node} group by g),
+        p as (select *, row_number() over (order by md5('{seed}|' || g), g) as place from s),
+        o as (select *, row_number() over (order by case when place <= 3 then place else 4 end, case when place > 3 then -size end, place) as at, sum(size) over () as n from p),
+        t as (select 0::bigint as at, 0::bigint as c0, 0::bigint as c1, 0::bigint as c2, null::varchar as g, null::int as to_ union all
+            select o.at, c0 + case when {step} = 0 then size else 0 end, c1 + case when {step} = 1 then size else 0 end, c2 + case when {step} = 2 then size else 0 end, o.g, {step} from t join o on o.at = t.at + 1)
+        select sample_id, g as split_group, ['{"', '".join(order)}'][to_ + 1] as split from samples join g on g.w = {node} join t using (g)"""
+
+
 QUERIES = {
     "exclusion_reasons": (exclusion_reasons, f"{P} select content_type, case when verification_status = 'unverified' then 'reference_unverified' when split <> 'test' then 'not_test_split' end as reason, count(*) as n from samples group by all"),
     "research_findings": (research_findings, f"""{P} select 'missing_verification_status' as type, sample_id::varchar as subject from samples where verification_status is null union all select 'reference_not_verified', sample_id::varchar from samples where verification_status = 'unverified'
@@ -106,9 +138,11 @@ QUERIES = {
     "near_text_pairs": (near_text_pairs, None),
     "seeded_subset": (seeded_subset, f"{P} select sample_id, difficulty from samples order by md5('42|' || sample_id), sample_id limit 50"),
     "stratified_round_robin": (stratified_round_robin, f"{P} select sample_id, difficulty, turn::integer as turn from (select sample_id, difficulty, row_number() over (partition by difficulty order by md5('42|' || sample_id), sample_id) as turn from samples) order by turn, difficulty limit 30"),
-    "grouped_split": (grouped_split, f"""{P}, g as (select source_document // 5 as w, min('d' || source_document) as component from samples group by 1),
-        h as (select *, ('0x' || substr(md5('42|' || component), 1, 8))::bigint / 4294967296.0::double as place from g)
-        select sample_id, component as split_group, case when place < 0.7 then 'train' when place < 0.85 then 'validation' else 'test' end as split from samples join h on h.w = source_document // 5"""),
+    "grouped_split": (grouped_split, _greedy("select source_document // 5 as w, min('d' || source_document) as g from samples group by 1", "source_document // 5", {"train": 0.7, "validation": 0.15, "test": 0.15}, 42)),
+    "document_split": (document_split, _greedy("select source_document as w, 'd' || source_document as g from samples group by 1", "source_document", {"train": 0.8, "validation": 0.1, "test": 0.1}, 7)),
+    "hamming_groups": (hamming_groups, f"""with recursive {_PAIRS}, c as (select vec_id, h from v union all select vec_id + 20000000, h from v where vec_id % 3 = 0), k as (select h, min(vec_id) as class_id from c group by h),
+        q as (select a.class_id as u, b.class_id as w from k a join k b on a.h <> b.h and bit_count(xor(a.h, b.h)) <= 4), r as (select class_id as u, class_id as w from k union select r.u, q.w from r join q on q.u = r.w), f as (select u as class_id, min(w) as component from r group by 1)
+        select vec_id, class_id, component from c join k using (h) join f using (class_id)"""),
     "paired_difference": (paired_difference, f"""{SCORED}, one as (select r.model, r.sample_id, r.source_document, m.char_edits, m.reference_chars from results r join m using (model, sample_id) where pass = 1 and status = 'success'),
         sums as (select a.source_document, sum(a.char_edits) as el, sum(a.reference_chars) as cl, sum(b.char_edits) as er, sum(b.reference_chars) as cr from one a join one b using (sample_id) where a.model = 'm_exact' and b.model = 'm_sub' group by 1),
         {_DRAWS.format(of='sums', reps=1000)}, de as (select replicate, sum(times * er)::double / sum(times * cr) - sum(times * el)::double / sum(times * cl) as delta from times join sums using (source_document) group by 1)

@@ -66,14 +66,6 @@ def test_hamming_pairs_against_all_pairs(spark):
     assert got == want
 
 
-def test_grouped_split_keeps_groups_whole(spark):
-    s = spark.createDataFrame([(i, i % 12, i % 5) for i in range(60)] + [(100 + i, 50 + i, 90 + i) for i in range(60)], "sample_id long, source_document long, writer_id long")
-    out = audit.grouped_split(s, {"train": 0.6, "validation": 0.2, "test": 0.2}, 1).join(s, "sample_id")
-    for c in ("source_document", "writer_id"):
-        assert out.groupBy(c).agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
-    assert out.count() == 120 and out.select("split").distinct().count() == 3
-
-
 def test_near_text_pairs(spark):
     rows = [(1, "page 12 of the long report on rivers", "train"), (2, "page 34 of the long report on rivers", "test"), (3, "something else entirely", "test"), (4, None, "test")]
     got = audit.near_text_pairs(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split", min_words=0).collect()
