@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
+from glyphmill.operators import ledger
 from glyphmill.plans.scores import P, _round
 from glyphmill.sources import adapters, export, log, readers, runs, strict
 from glyphmill.sources import evidence as e
@@ -262,7 +263,7 @@ def adapter_run(spark, sf_dir):
 
 def _outcomes(events):
     kind = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "permanent").when(F.col("event_type") == "signup", "retryable").otherwise("wait")
-    return events.select(F.col("user_id").alias("key"), F.col("event_id").alias("number"), kind.alias("outcome"))
+    return events.select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("number"), kind.alias("outcome"))
 
 
 def attempt_states(spark, sf_dir):
@@ -270,6 +271,22 @@ def attempt_states(spark, sf_dir):
     return machine.drained(machine.results(_outcomes(log)), export.scratch(spark, "machine"))
 
 
+#: What a request reserves, and a ledger's limit, in millionths of a dollar.
+AMOUNT, LIMIT = 50_000, 4_000_000
+
+
+def reservation_ledger(spark, sf_dir):
+    """Every event but clicks starts a request and finishes it within the hour; clicks never finish, and one error in fifty has no cost."""
+    ev = _table(spark, sf_dir, "events").select(F.expr("event_id div 100").alias("ledger"), "ts", "event_id", "event_type", "value")
+    amount = F.lit(AMOUNT).cast("long") + F.col("event_id") % 7
+    starts = ev.select("ledger", "ts", (F.col("event_id") * 2).alias("number"), F.col("event_id").alias("request"), F.lit("reserve").alias("kind"), amount.alias("amount"), F.lit(None).cast("long").alias("cost"))
+    cost = F.when((F.col("event_type") == "error") & (F.col("event_id") % 50 == 7), F.lit(None)).otherwise(F.col("event_id") % 90_000)
+    ends = ev.where("event_type <> 'click'").select("ledger", F.expr("timestampadd(second, int(event_id * 37 % 3600), ts)").alias("ts"), (F.col("event_id") * 2 + 1).alias("number"), F.col("event_id").alias("request"), F.lit("finish").alias("kind"), F.lit(None).cast("long").alias("amount"), cost.alias("cost"))
+    events = starts.union(ends)
+    strict.sound(events, ledger.findings(events), "ledger")
+    return ledger.running(events, LIMIT, AMOUNT)
+
+
 def stream_dedup_repeats(spark, sf_dir):
     log = attempts.log(spark, sf_dir)
     both = log.union(log.where("event_id % 10 = 0"))
@@ -320,5 +337,9 @@ QUERIES = {
         c as (select *, sum((o <> 'wait')::int) over w as tries, sum((o = 'retryable')::int) over w as again, o in ('success', 'permanent') or (o = 'retryable' and sum((o <> 'wait')::int) over w > 2) as ends from o window w as (partition by key order by number)),
         f as (select key, min(number) as at from c where ends group by 1), l as (select key, max(number) as at from c group by 1), z as (select l.key, coalesce(f.at, l.at) as at from l left join f using (key))
         select z.key, case when c.ends and c.o = 'success' then 'success' when c.ends then 'error' when c.o = 'wait' then 'paused' else 'retrying' end as state, c.tries::integer as attempts, z.at from z join c on c.key = z.key and c.number = z.at"""),
+    "reservation_ledger": (reservation_ledger, f"""with x as (select event_id // 100 as ledger, ts, event_id * 2 as number, 'reserve' as kind, {AMOUNT} + event_id % 7 as held, 0 as spent, 0 as unknown, 1 as open from events
+            union all select event_id // 100, ts + to_seconds(event_id * 37 % 3600), event_id * 2 + 1, 'finish', -({AMOUNT} + event_id % 7), case when event_type = 'error' and event_id % 50 = 7 then 0 else event_id % 90000 end, (event_type = 'error' and event_id % 50 = 7)::int, -1 from events where event_type <> 'click'),
+        s as (select ledger, number, kind, sum(spent) over w as spent, sum(held) over w as reserved, sum(unknown) over w as unknown, sum(open) over w as open from x window w as (partition by ledger order by ts, number))
+        select ledger, number, kind, spent::bigint as spent, reserved::bigint as reserved, unknown::bigint as unknown, open::bigint as open, unknown = 0 and spent + reserved < {LIMIT} and spent + reserved + {AMOUNT} <= {LIMIT} as may_start from s"""),
     "stream_dedup_repeats": (stream_dedup_repeats, "select event_type, count(distinct event_id) as n, count(distinct event_id) as different from events group by 1"),
 }

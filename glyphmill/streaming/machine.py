@@ -2,7 +2,7 @@
 
 A key waits, retries after a failure that may pass, pauses when asked to wait, and ends in success or error. A
 failure that won't pass ends it at once, one that may after ``RETRIES`` retries. What comes after the end changes
-nothing. Attempts of a key are taken in the order of their numbers within a batch, so a replay gives the same end.
+nothing. Attempts of a key are taken in the order of their times and numbers, whatever the batches they come in.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from glyphmill.streaming import ordered
 
 RETRIES = 2
 FINAL = ("success", "error")
 OUTPUT = "key long, state string, attempts int, at long"
 _STATE = "state string, attempts int, at long"
+_NAMES = ["state", "attempts", "at"]
+START = ("waiting", 0, -1)
 
 
 def step(state: str, attempts: int, outcome: str) -> tuple[str, int]:
@@ -43,36 +45,21 @@ def _advance(state: tuple[str, int, int], rows: Iterator[tuple[int, str]]) -> tu
     return now, attempts, at
 
 
-def results(attempts: DataFrame) -> DataFrame:
-    """key, state, attempts and at (the number of the attempt that led there) of (key, number, outcome).
-
-    On a stream a row comes for each key that a batch has changed; on a frame, one for each key.
-    """
-    if not attempts.isStreaming:
-
-        def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("number")
-            return pd.DataFrame([(key[0], *_advance(("waiting", 0, -1), zip(frame["number"], frame["outcome"], strict=True)))], columns=["key", "state", "attempts", "at"])
+def _frame(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values(["ts", "number"])
+    return pd.DataFrame([(key[0], *_advance(START, zip(frame["number"], frame["outcome"], strict=True)))], columns=["key", *_NAMES])
 
-        return attempts.groupBy("key").applyInPandas(whole, OUTPUT)
 
-    def some(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = tuple(state.get) if state.exists else ("waiting", 0, -1)
-        frame = pd.concat(list(frames)).sort_values("number")
-        after = _advance(before, zip(frame["number"], frame["outcome"], strict=True))
-        state.update(after)
-        if after != before:
-            yield pd.DataFrame([(key[0], *after)], columns=["key", "state", "attempts", "at"])
+def results(attempts: DataFrame, late: str = "2 hours", keep: int = 24 * 3600) -> DataFrame:
+    """key, state, attempts and at (the number of the attempt that led there) of (key, ts, number, outcome).
 
-    return attempts.groupBy("key").applyInPandasWithState(some, OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """The last state of every key, once a stream has given all that it has; updates are kept as files."""
+    On a frame, a row for each key. On a stream a row for each key that a batch has changed, see ``ordered``: attempts
+    may come out of order by ``late``, and a key leaves the store ``keep`` seconds after its last one.
+    """
+    if not attempts.isStreaming:
+        return attempts.groupBy("key").applyInPandas(_frame, OUTPUT)
+    fold = ordered.Fold(START, lambda state, event: _advance(state, iter([event])), lambda state: state[0] in FINAL, _STATE, [("outcome", "string")], 1000 * keep)
+    return ordered.folded(attempts, fold, _STATE, late)
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    rows = stream.sparkSession.read.schema(f"{OUTPUT}, batch long").parquet(f"{folder}/out")
-    return rows.groupBy("key").agg(F.max_by(F.struct("state", "attempts", "at"), "batch").alias("x")).select("key", "x.*")
+drained = ordered.drained

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import identity, rollup, running
 from glyphmill.sources import adapters, export, log, runs, strict
-from glyphmill.streaming import machine
 
 
 def texts(spark, tmp_path, name, *files):
@@ -207,13 +206,6 @@ def test_adapters(spark):
     assert adapters.source_fingerprint(Broken) != adapters.source_fingerprint(adapters.Plain) and adapters.model_listing(spark).count() == 1
 
 
-def test_attempt_states():
-    walk = lambda *outcomes: machine._advance(("waiting", 0, -1), enumerate(outcomes))
-    assert walk("retryable", "success", "permanent") == ("success", 2, 1)
-    assert walk("retryable", "retryable", "retryable", "success") == ("error", 3, 2)
-    assert walk("wait") == ("paused", 0, 0) and walk("wait", "permanent") == ("error", 1, 1)
-
-
 def test_reviews_and_filters_refuse(spark):
     roster = spark.createDataFrame([("a", "c" * 64, "text")], "sample_id string, crop string, reference string")
     review = roster.select("sample_id", F.col("crop").alias("crop_sha256"), F.sha2("reference", 256).alias("reference_sha256"), F.lit("exclude").alias("decision"), F.lit("unreadable").alias("reason_code"), F.lit("blot").alias("reason"))
