@@ -234,6 +234,7 @@ def label_issues(text: Column, kind: Column) -> Column:
     return F.array_compact(
         F.array(
             F.when(normalize_text(text) == "", F.lit("empty_reference")),
+            F.when(text != nfc(text), F.lit("non_nfc_unicode")),
             F.when(text.rlike(r"[\x00-\x08\x0b-\x1f]"), F.lit("control_character")),
             F.when(text.rlike(r"\x{FFFD}|\b(?:TODO|TBD|UNREADABLE|ILLEGIBLE)\b"), F.lit("unresolved_label")),
             F.when(~depth, F.lit("unbalanced_latex_braces")),
@@ -243,6 +244,48 @@ def label_issues(text: Column, kind: Column) -> Column:
     )
 
 
+def score_equation(prediction: Column, reference: Column) -> Column:
+    """The score of equations as text; null where the reference is empty. Both must be columns in canonical composition (``nfc``).
+
+    Which equations say the same is another question, see ``equations``.
+    """
+    m = score(prediction, reference, raw=False)
+    bound = F.transform(F.array(m), lambda x: F.when(x.isNotNull(), F.struct(x["cer"].alias("equation_cer"), x["exact_match"].alias("normalized_exact_match"), *[x[c].alias(c) for c in ("wer", "char_edits", "word_edits", "reference_chars", "reference_words")])))
+    return F.get(bound, F.lit(0))
+
+
+def row_error_rate(stored: Column, prediction: Column, reference: Column) -> Column:
+    """A row's character error rate; what was stored, if that is a rate, where the pair is beyond MAX_CELLS or the reference empty.
+
+    Texts of equations must be in canonical composition (``nfc``).
+    """
+    p, r = normalize_text(prediction), normalize_text(reference)
+    known = F.when((stored >= 0) & (stored < float("inf")), stored)
+
+    def rate(pair: Column) -> Column:
+        cells = (F.char_length(pair["r"]) + 1).cast("long") * (F.char_length(pair["p"]) + 1)
+        own = F.try_divide(F.when(pair["p"] == pair["r"], F.lit(0)).otherwise(distance(pair["r"], pair["p"])).cast("double"), F.char_length(pair["r"]))
+        return F.when((cells > MAX_CELLS) | (pair["r"] == ""), known).otherwise(own)
+
+    return F.get(F.transform(F.array(F.struct(p.alias("p"), r.alias("r"))), rate), F.lit(0))
+
+
+#: Characters of a name that are kept.
+NAME = 48
+
+
+def safe_name(text: Column) -> Column:
+    """A name for files: letters and digits in lower case, dashes for all else, and eight digits of the text's digest."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+    kept = F.substr(plain, F.lit(1), F.lit(NAME))
+    return F.concat(F.when(kept == "", F.lit("condition")).otherwise(kept), F.lit("-"), F.substr(F.sha2(text.cast("binary"), 256), F.lit(1), F.lit(8)))
+
+
+def document_of_line(line_id: Column) -> Column:
+    """A line's document: its id without what follows the last dash."""
+    return F.regexp_replace(line_id, "-[^-]*$", "")
+
+
 def csv_guard(text: Column) -> Column:
     """A quote before texts that a spreadsheet would take for a formula."""
     return F.when(text.rlike("^﻿?\\s*[=+@-]"), F.concat(F.lit("'"), text)).otherwise(text)

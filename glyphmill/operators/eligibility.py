@@ -44,12 +44,19 @@ def document(document_id: Column, source_document: Column, sample_id: Column) ->
 def exclusions(samples: DataFrame) -> DataFrame:
     """sample_id and the first reason that holds against it; null for those that count.
 
-    Whether splits matter at all is one fact about the whole roster.
+    Whether splits matter at all is one fact about the whole roster. Columns excluded (boolean) and eligible (words for
+    true and false), where there are any, exclude a sample before all else.
     """
+    barred = F.lit(False)
+    if "excluded" in samples.columns:
+        barred |= F.coalesce(F.col("excluded").cast("boolean"), F.lit(False))
+    if "eligible" in samples.columns:
+        barred |= tri_state(F.col("eligible").cast("string")).eqNullSafe(F.lit(False))
     labelled = samples.agg(F.coalesce(F.max(F.when(split_name(F.col("split")).isin(*TRACKED_SPLITS), True)), F.lit(False)).alias("labelled_"))
     split = split_name(F.col("split"))
     reason = (
-        F.when(tri_state(F.col("verification_status")).eqNullSafe(F.lit(False)), "reference_unverified")
+        F.when(barred, "explicitly_excluded")
+        .when(tri_state(F.col("verification_status")).eqNullSafe(F.lit(False)), "reference_unverified")
         .when(F.col("labelled_") & split.isNull(), "missing_split")
         .when(split.isNotNull() & (split != "test") & (F.col("labelled_") | split.isin("train", "validation")), "not_test_split")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,29 @@ def pair_findings(rows: DataFrame) -> DataFrame:
     return pairs.select(F.explode(kinds).alias("finding"), "pair")
 
 
+LINEAGE = r"^(real|synthetic)/([^0-9/]+([0-9]{4}))/(.+)$"
+
+
+def lineage_findings(rows: DataFrame, sources: Callable[[Column], list[Column]]) -> DataFrame:
+    """finding and id of (id, origin, pair, source_document, paired_source_id) whose fields don't say what the id says.
+
+    An id is origin/groupYYYY/page. ``sources`` gives the names that a document of a year may have.
+    """
+    part = lambda i: F.regexp_extract("id", LINEAGE, i)
+    known, rest = F.col("id").rlike(LINEAGE), F.concat_ws("/", part(2), part(4))
+    differs = lambda a, b: ~F.col(a).eqNullSafe(b)
+    kinds = F.array_compact(
+        F.array(
+            F.when(~known, "unexpected_id"),
+            F.when(known & differs("origin", part(1)), "origin_mismatch"),
+            F.when(known & differs("pair", rest), "pair_mismatch"),
+            F.when(known & ~F.coalesce(F.col("source_document").isin(*sources(part(3))), F.lit(False)), "source_mismatch"),
+            F.when(known & differs("paired_source_id", F.concat(F.lit("real/"), F.col("pair"))), "paired_source_mismatch"),
+        )
+    )
+    return rows.select(F.explode(kinds).alias("finding"), "id")
+
+
 def leaks(rows: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
     """key, n_groups and n_rows: for each key, the groups that lie in more than one split. Null keys lie nowhere."""
     cells = rows.select(split, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).where("x.value is not null")

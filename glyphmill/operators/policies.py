@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from glyphmill.operators.running import running_sums
 
 
+# Names of equation tasks, and models whose usual checkpoints read lines of prose only.
+EQUATION_TASKS = ("equation", "math", "mathematics", "latex", "formula")
+PROSE_ONLY = "trocr"
+
+
 def supported(capabilities: DataFrame, tracks: DataFrame) -> DataFrame:
-    """model, track and why the model doesn't do it: an allow-list, a deny-list or a flag of (model, allowed, denied, equations)."""
+    """model, track and why the model doesn't do it: an allow-list, a deny-list or a flag of (model, allowed, denied, equations).
+
+    Any name of equation tasks in a list stands for all of them. A model that says nothing of equations may be known
+    by its name to read prose only.
+    """
     pairs = F.broadcast(capabilities).crossJoin(F.broadcast(tracks))
-    lists = lambda c: F.transform(F.col(c), lambda x: F.lower(F.trim(x)))
-    barred = (F.col("allowed").isNotNull() & ~F.array_contains(lists("allowed"), F.col("track"))) | F.coalesce(F.array_contains(lists("denied"), F.col("track")), F.lit(False))
-    barred = barred | ((F.col("track") == "equation") & ~F.coalesce("equations", F.lit(True)))
-    return pairs.select("model", "track", F.when(barred, "model_does_not_support_task").alias("reason"))
+    equation = F.col("track") == "equation"
+
+    def named(c: str) -> Column:
+        names = F.transform(F.col(c), lambda x: F.lower(F.trim(x)))
+        return F.coalesce(F.array_contains(names, F.col("track")) | (equation & F.arrays_overlap(names, F.array(*map(F.lit, EQUATION_TASKS)))), F.lit(False))
+
+    barred = (F.col("allowed").isNotNull() & ~named("allowed")) | named("denied") | (equation & ~F.coalesce("equations", F.lit(True)))
+    silent = (F.coalesce(F.size("allowed"), F.lit(0)) < 1) & (F.coalesce(F.size("denied"), F.lit(0)) < 1) & F.col("equations").isNull()
+    by_name = equation & F.lower("model").contains(PROSE_ONLY) & silent
+    return pairs.select("model", "track", F.when(barred, "model_does_not_support_task").when(by_name, "standard_trocr_is_prose_only").alias("reason"))
 
 
 def provider(selector: Column, default: str = "local") -> Column:

@@ -31,8 +31,8 @@ def ranked(models: DataFrame, margin: float) -> DataFrame:
     return out.withColumn("rank", F.col("within_band_position") + F.coalesce(F.count(F.lit(1)).over(before), F.lit(0)))
 
 
-def winners(ranking: DataFrame, finalizable: bool = True) -> DataFrame:
-    """A row for each track: the winner, or why there is none."""
+def winners(ranking: DataFrame, finalizable: bool = True, tracks: DataFrame | None = None) -> DataFrame:
+    """A row for each track, also those of ``tracks`` (column track) where nothing was scored: the winner, or why there is none."""
     top = F.col("band") == 1
     out = ranking.groupBy("track").agg(
         F.every("terminal_complete").alias("complete"),
@@ -42,7 +42,12 @@ def winners(ranking: DataFrame, finalizable: bool = True) -> DataFrame:
     )
     reason = F.when(~F.col("complete") | F.lit(not finalizable), "incomplete_evaluation").when(~F.col("top_timed"), "missing_top_band_latency")
     status = F.when(reason == "incomplete_evaluation", "incomplete").when(reason.isNotNull(), reason).when(F.col("timed"), "available").otherwise("partial_missing_latency")
-    return out.select("track", F.when(reason.isNull(), F.col("first")).alias("winner"), reason.alias("winner_reason"), status.alias("status"))
+    known = out.select("track", F.when(reason.isNull(), F.col("first")).alias("winner"), reason.alias("winner_reason"), status.alias("status"))
+    if tracks is None:
+        return known
+    none = F.lit("no_scored_models")
+    every = tracks.select("track").distinct().join(known.withColumn("known", F.lit(True)), "track", "left")
+    return every.select("track", "winner", F.when(F.col("known").isNull(), none).otherwise(F.col("winner_reason")).alias("winner_reason"), F.coalesce("status", none).alias("status"))
 
 
 def raw_accuracy_rank(models: DataFrame) -> DataFrame:

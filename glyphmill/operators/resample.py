@@ -6,7 +6,7 @@ are all that a replicate needs. Draws come from hashes of seed, replicate and po
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.scoring import Policy, _score
@@ -22,6 +22,12 @@ def numbered(documents: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(before), "part").select("source_document", (F.col("before") + F.col("at")).alias("place"))
 
 
+def pair_seed(seed: int, track: Column, left: Column, right: Column) -> Column:
+    """The seed of a pair's replicates on a track, from 0 to 2^64 - 1, as a decimal."""
+    parts = F.concat_ws("\0", F.lit(str(seed)), track, left, right)
+    return F.conv(F.substr(F.sha2(parts.cast("binary"), 256), F.lit(1), F.lit(16)), 16, 10).cast("decimal(20,0)")
+
+
 def draws(documents: DataFrame, replicates: int, seed: int) -> DataFrame:
     """replicate, document and how often it was drawn: as many draws as there are documents, dealt over all tasks."""
     places = numbered(documents)

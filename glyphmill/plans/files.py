@@ -65,7 +65,7 @@ def log_ends(spark, sf_dir):
         some = rows.where(where).withColumn("value", F.col("value") if end == "\n" else F.expr("left(value, length(value) - 1)"))
         some.repartition("f").sortWithinPartitions("f", "event_id").select("f", "value").write.mode("append").option("lineSep", end).partitionBy("f").text(at)
     schema = "event_id long, user_id long"
-    known = log.ends(log.lines(spark, [sound, broken] if spark.read.text(broken).limit(1).count() else sound, schema))
+    known = log.ends(log.lines(spark, [sound, broken] if spark.read.option("recursiveFileLookup", True).text(broken).limit(1).count() else sound, schema))
     number = F.regexp_extract("file", r"/f=(\d+)/", 1).cast("long")
     count = lambda df, name: df.groupBy(F.expr(f"event_id div {FILE_EVENTS}").alias("f")).agg(F.count(F.lit(1)).alias(name), F.sum("user_id").alias(f"{name}_users"))
     repaired, live = count(log.repaired(spark, sound, schema)[0], "repaired"), count(log.live(spark, sound, schema), "live")

@@ -172,8 +172,8 @@ def commentary_flags(spark, sf_dir):
 
 def label_audit(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 9 == 0, "table").otherwise("prose")
-    more = F.element_at(F.array(F.lit(" {a{b}}"), F.lit(" }{"), F.lit(" x^{2"), F.lit(" $y"), F.lit(" TODO"), F.lit("\x01")), (F.col("doc_id") % 13 + 1).cast("int"))
-    return _docs(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 13 < 6, more).otherwise(F.lit("")))).select("doc_id", F.array_join(t.label_issues(F.col("text"), kind), ",").alias("issues"))
+    more = F.element_at(F.array(F.lit(" {a{b}}"), F.lit(" }{"), F.lit(" x^{2"), F.lit(" $y"), F.lit(" TODO"), F.lit("\x01"), F.lit(" e\u0301")), (F.col("doc_id") % 13 + 1).cast("int"))
+    return _docs(spark, sf_dir).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 13 < 7, more).otherwise(F.lit("")))).select("doc_id", F.array_join(t.label_issues(F.col("text"), kind), ",").alias("issues"))
 
 
 def csv_guard(spark, sf_dir):
@@ -246,8 +246,8 @@ QUERIES = {
     "repeated_text": (repeated_text, f"""with w as (select doc_id, string_split({norm('text')}, ' ') as w from documents)
         select doc_id, len(list_filter(range(1, len(w)), lambda i: (i + 2 <= len(w) and w[i] = w[i + 1] and w[i] = w[i + 2]) or len(list_filter(range(2, 8), lambda n: i + 2 * n - 1 <= len(w) and w[i:i + n - 1] = w[i + n:i + 2 * n - 1])) > 0)) > 0 as repeated from w"""),
     "commentary_flags": (commentary_flags, r"""select doc_id, contains(text, '```') or regexp_matches(text, '\bhere(?:''s| is) (?:the )?(?:transcription|text)\b|\btranscription\s*:', 'i') or regexp_matches(text, '\bthe image (?:shows|contains|depicts)\b', 'i') or regexp_matches(text, '\bthe handwriting (?:says|reads)\b', 'i') or regexp_matches(text, '\b(?:i think|i can see|it appears to be)\b', 'i') as commentary from documents"""),
-    "label_audit": (label_audit, r"""with d as (select doc_id, doc_id % 13 as m, text || case when doc_id % 13 < 6 then [' {a{b}}', ' }{', ' x^{2', ' $y', ' TODO', chr(1)][doc_id % 13 + 1] else '' end as text from documents)
-        select doc_id, array_to_string(list_filter([case when trim(text) = '' then 'empty_reference' end, case when regexp_matches(text, '[\x00-\x08\x0b-\x1f]') then 'control_character' end, case when regexp_matches(text, '\x{FFFD}|\b(?:TODO|TBD|UNREADABLE|ILLEGIBLE)\b') then 'unresolved_label' end,
+    "label_audit": (label_audit, r"""with d as (select doc_id, doc_id % 13 as m, text || case when doc_id % 13 < 7 then [' {a{b}}', ' }{', ' x^{2', ' $y', ' TODO', chr(1), ' e' || chr(769)][doc_id % 13 + 1] else '' end as text from documents)
+        select doc_id, array_to_string(list_filter([case when trim(text) = '' then 'empty_reference' end, case when nfc_normalize(text) <> text then 'non_nfc_unicode' end, case when regexp_matches(text, '[\x00-\x08\x0b-\x1f]') then 'control_character' end, case when regexp_matches(text, '\x{FFFD}|\b(?:TODO|TBD|UNREADABLE|ILLEGIBLE)\b') then 'unresolved_label' end,
         case when m in (1, 2) then 'unbalanced_latex_braces' end, case when doc_id % 9 <> 0 and (length(text) - length(replace(text, '$', ''))) % 2 = 1 then 'unbalanced_inline_math' end, case when doc_id % 9 = 0 then 'unknown_content_type' end], lambda x: x is not null), ',') as issues from d"""),
     "csv_guard": (csv_guard, "select doc_id, case when doc_id % 6 < 5 then '''' else '' end || ['=', ' +', '-', chr(65279) || '@', chr(9) || '=', 'a='][doc_id % 6 + 1] || text as guarded from documents"),
     "row_fingerprint": (row_fingerprint, "select doc_id, sha256(concat_ws('|', 'v1', doc_id, lang, source, sha256(text))) as fingerprint from documents"),

@@ -23,7 +23,7 @@ FEW = 10_000
 
 def lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """file, size, place, value, record and whole of each line. Places order a file's lines: its blocks, then lines as read."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(
+    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_size").alias("size"),
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"),

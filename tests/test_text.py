@@ -146,3 +146,36 @@ def test_equations_against_values():
         elif status == "different":
             assert any(u != v for u, v in pairs)
     assert len(seen) == 3
+
+
+def test_error_flags(spark):
+    rows = [
+        ("the cat", "the cat", "success", False), ("The Cat", "the cat", "success", False), ("the cat", "the dog", "success", True), ("", "x", "success", False), (None, "x", "error", None),
+        ("ok", "ok", "error", False), ("кот", "cat", "success", False), ("a" * 33, "abcd", "success", False), ("no no no", "x", "success", False), ("Transcription: x", "x", "success", False), ("the  cat ", "the cat", None, False),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, r string, s string, t boolean")
+    got = {x.i: x.f for x in df.select("i", t.error_flags(F.col("r"), F.col("p"), F.col("s"), F.col("t")).alias("f")).collect()}
+    assert got == {
+        0: ["exact_match"], 1: ["case_only"], 2: ["truncated"], 3: ["empty_output"], 4: ["empty_output", "request_failure_or_missing"], 5: ["request_failure_or_missing"],
+        6: ["non_latin_output"], 7: ["possible_extra_content"], 8: ["repeated_text"], 9: ["extra_commentary"], 10: ["request_failure_or_missing"],
+    }
+
+
+def test_equations_as_text(spark):
+    df = spark.createDataFrame([(" é  = 1 ", "é = 1"), ("x", " "), (None, "x")], "p string, r string")
+    assert [r.n for r in df.select(t.normalize_equation(F.col("p")).alias("n")).collect()] == ["é = 1", "x", None]
+    got = [r.m for r in df.select(t.nfc(F.col("p")).alias("p"), t.nfc(F.col("r")).alias("r")).select(t.score_equation(F.col("p"), F.col("r")).alias("m")).collect()]
+    assert got[0].equation_cer == 0 and got[0].normalized_exact_match and got[1] is None
+
+
+def test_row_error_rates_fall_back(spark):
+    rows = [("ab", "abcd", 0.9), ("x" * 600, "y" * 600, 0.25), ("x" * 600, "y" * 600, -1.0), ("x" * 600, "y" * 600, float("nan")), ("a", " ", 0.5), ("a", " ", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, r string, s double")
+    got = [x.v for x in df.orderBy("i").select(t.row_error_rate(F.col("s"), F.col("p"), F.col("r")).alias("v")).collect()]
+    assert got == [0.5, 0.25, None, None, 0.5, None]
+
+
+def test_names_for_files(spark):
+    names = ["Été 2_x!", "--", "a" * 60, "Ⅷ ½"]
+    got = [r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select(t.safe_name(F.col("n")).alias("s")).collect()]
+    assert [g.rsplit("-", 1)[0] for g in got] == ["été-2-x", "condition", "a" * 48, "ⅷ-½"] and all(len(g.rsplit("-", 1)[1]) == 8 for g in got)
