@@ -11,7 +11,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from glyphmill.llm import cap_filters, extendible_shards, quote_links, simhash
 
 
@@ -239,23 +238,3 @@ def test_quote_links_of_a_very_long_message(spark):
     rows = [(1, 0, "u", text), (1, 1, "u", "> " + text.replace("\n", "\n> ") + "\nend"), (1, 2, "u", "x" * 500_000)]
     got = {r.turn: (r.reply_to, r.n_quoted, len(r.text)) for r in quote_links.linked(spark.createDataFrame(rows, MESSAGES)).collect()}
     assert got == {0: (None, 0, len(text)), 1: (0, 30_000, 3), 2: (None, 0, 500_000)}
-
-
-def test_pipeline(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    whole = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        docs = spark.createDataFrame(out.toPandas(), out.schema)
-        assert 0.5 * whole < docs.count() <= whole
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    packed = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("total")).where("n = total")
-    assert packed.count() == docs.count()
-    assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first()[0] == pieces.agg(F.sum("length")).first()[0]
-    empty = spark.createDataFrame([], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, odd, sf).count() <= 3
