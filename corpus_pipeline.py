@@ -27,8 +27,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Language ID and packing have no SQL. Each operator is held against a plain version by its own tests; the test of
-#: run() puts the stages one after another over collected rows and compares.
+#: Language ID and packing have no SQL. tests/llm/test_pipeline.py holds each stage and the whole run against a plain
+#: version, by value.
 ORACLE_SQL = None
 
 
