@@ -10,7 +10,7 @@ from glyphmill.operators import ledger
 from glyphmill.plans.scores import P, _round
 from glyphmill.sources import adapters, export, log, readers, runs, strict
 from glyphmill.sources import evidence as e
-from glyphmill.streaming import attempts, machine
+from glyphmill.streaming import attempts, machine, ordered, tokens
 
 EVENT = "event_id long, user_id long, event_type string, value double"
 
@@ -287,6 +287,24 @@ def reservation_ledger(spark, sf_dir):
     return ledger.running(events, LIMIT, AMOUNT)
 
 
+def token_timing(spark, sf_dir):
+    """Ten events of the log are a response: a start, tokens, and an end that some lack; in some the first token is an error."""
+    at = F.col("event_id") % 10
+    request = F.expr("event_id div 10")
+    kind = F.when(at == 0, "start").when((at == 1) & (request % 11 == 3), "error").when((at == 9) & (request % 7 != 0), "end").otherwise("token")
+    log_ = attempts.log(spark, sf_dir).select(request.alias("key"), "ts", F.col("event_id").alias("number"), kind.alias("kind"))
+    return ordered.drained(tokens.timing(log_), export.scratch(spark, "tokens")).drop("began")
+
+
+def appended_log(spark, sf_dir):
+    """The log appended by a query that runs twice; the second run finds nothing new."""
+    path, checkpoint = export.scratch(spark, "appended"), export.scratch(spark, "checkpoint")
+    records = attempts.log(spark, sf_dir).select("event_id", "user_id", "event_type", "value")
+    attempts.append(records, path, checkpoint)
+    attempts.append(records, path, checkpoint)
+    return spark.read.schema(EVENT).json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("different"), F.sum("user_id").alias("users"))
+
+
 def stream_dedup_repeats(spark, sf_dir):
     log = attempts.log(spark, sf_dir)
     both = log.union(log.where("event_id % 10 = 0"))
@@ -341,5 +359,9 @@ QUERIES = {
             union all select event_id // 100, ts + to_seconds(event_id * 37 % 3600), event_id * 2 + 1, 'finish', -({AMOUNT} + event_id % 7), case when event_type = 'error' and event_id % 50 = 7 then 0 else event_id % 90000 end, (event_type = 'error' and event_id % 50 = 7)::int, -1 from events where event_type <> 'click'),
         s as (select ledger, number, kind, sum(spent) over w as spent, sum(held) over w as reserved, sum(unknown) over w as unknown, sum(open) over w as open from x window w as (partition by ledger order by ts, number))
         select ledger, number, kind, spent::bigint as spent, reserved::bigint as reserved, unknown::bigint as unknown, open::bigint as open, unknown = 0 and spent + reserved < {LIMIT} and spent + reserved + {AMOUNT} <= {LIMIT} as may_start from s"""),
+    "token_timing": (token_timing, """with x as (select event_id // 10 as key, event_id % 10 as pos, epoch_us(ts) // 1000 as ms from events), g as (select key, max(ms) as last, max(ms) filter (pos = 0) as began, max(ms) filter (pos = 1) as first, max(ms) filter (pos = 9) as ended, count(*) as n from x group by 1),
+        s as (select *, key % 11 = 3 as broke, last + 3600000 < (select max(ms) - 600000 from x) as silent from g)
+        select key, case when broke then 'rejected' when key % 7 <> 0 then 'complete' when silent then 'rejected' else 'open' end as status, case when not broke then first - began end as first_ms, case when not broke and key % 7 <> 0 then ended - began end as total_ms, case when broke then 0 when key % 7 <> 0 then 8 else 9 end::bigint as tokens from s"""),
+    "appended_log": (appended_log, "select event_type, count(*) as n, count(*) as different, sum(user_id)::bigint as users from events group by 1"),
     "stream_dedup_repeats": (stream_dedup_repeats, "select event_type, count(distinct event_id) as n, count(distinct event_id) as different from events group by 1"),
 }

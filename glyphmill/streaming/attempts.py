@@ -47,3 +47,12 @@ def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
 
         stream.writeStream.foreachBatch(last).option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+def append(records: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends a stream's records to a log of JSON lines, each exactly once, until the stream has no more for now.
+
+    Files count once the sink's own log names them, which it does a batch at a time. A query that was stopped at any
+    point goes on from its checkpoint; what an unfinished batch had written isn't named and isn't read.
+    """
+    records.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ events so far lead to, waiting ones in order of time and number; so the last row
 log was cut, as long as no event is later than the watermark allows. Events behind the watermark are dropped by Spark.
 
 A key whose state is final keeps no events, and every key leaves the store once ``keep`` has passed since its last
-settled event. Repeats of an event (same time and number) count once.
+settled event; one that isn't final by then may be given a last state. Repeats of an event (same time and number) count once.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 class Fold(StatefulProcessor):
     """step(state, (number, *values)) over a key's events. Columns of an event: ts, number and its values."""
 
-    def __init__(self, start: State, step: Step, final: Callable[[State], bool], state: str, values: list[tuple[str, str]], keep_ms: int) -> None:
-        self.start, self.step, self.final, self.keep_ms = start, step, final, keep_ms
+    def __init__(self, start: State, step: Step, final: Callable[[State], bool], state: str, values: list[tuple[str, str]], keep_ms: int, expired: Callable[[State], State] | None = None) -> None:
+        self.start, self.step, self.final, self.keep_ms, self.expired = start, step, final, keep_ms, expired
         self.state_schema = f"{state}, last_ms long"
         self.event_schema = ", ".join(["ms long", "number long", *(f"{n} {k}" for n, k in values)])
         self.names = ["number", *(n for n, _ in values)]
@@ -75,6 +75,8 @@ class Fold(StatefulProcessor):
         self.handle.registerTimer(at + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.settled.exists() and not self.waiting.exists():
+            return  # another timer of the key has been here
         until = timerValues.getCurrentWatermarkInMs()
         state, last = self._settled()
         events = sorted((tuple(x) for x in self.waiting.get()), key=lambda x: x[:2]) if self.waiting.exists() else []
@@ -85,6 +87,8 @@ class Fold(StatefulProcessor):
         if not rest and last + self.keep_ms < until:
             self.settled.clear()
             self.waiting.clear()
+            if self.expired and not self.final(state):
+                yield pd.DataFrame([(*key, *self.expired(state))])
             return
         self.settled.update((*state, last))
         if rest:
@@ -92,7 +96,6 @@ class Fold(StatefulProcessor):
         else:
             self.waiting.clear()
         self._wake(rest[0][0] if rest else last + self.keep_ms)
-        yield from ()
 
     def close(self) -> None:
         pass

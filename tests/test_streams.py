@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import ledger, running
-from glyphmill.streaming import machine, ordered
+from glyphmill.streaming import attempts, machine, ordered, tokens
 
 BASE = datetime.datetime(2024, 1, 1)
 ATTEMPT = "key long, ts timestamp, number long, outcome string"
@@ -91,3 +91,31 @@ def test_ledger_as_a_stream(spark, tmp_path):
     events = stream(spark, tmp_path, [rows[3:], rows[:3]], schema)
     got = ordered.drained(ordered.folded(events, fold, ledger.STATE, "60 seconds"), str(tmp_path / "out"))
     assert sorted(tuple(r) for r in got.select("key", "spent", "reserved", "unknown", "open").collect()) == [(1, 55, 0, 1, 0), (2, 0, 100, 0, 2)]
+
+
+TOKENS = "key long, ts timestamp, number long, kind string"
+
+
+def test_token_streams(spark, tmp_path):
+    """Late tokens and ends, missing ends, errors, ends without output, and a response that is still open."""
+    first = [(1, at(0), 0, "start"), (1, at(4), 2, "token"), (1, at(9), 3, "end"), (2, at(0), 4, "start"), (2, at(1), 5, "token"), (3, at(2), 6, "start"), (3, at(3), 7, "error"), (4, at(0), 8, "start"), (4, at(5), 9, "end"), (6, at(1), 12, "token")]
+    second = [(1, at(1), 1, "token"), (3, at(4), 10, "token"), (5, at(400), 11, "start"), (5, at(401), 13, "token")]
+    got = ordered.drained(tokens.timing(stream(spark, tmp_path, [first, second], TOKENS), patience=60, late="30 seconds"), str(tmp_path / "out"))
+    rows = {r.key: (r.status, r.first_ms, r.total_ms, r.tokens) for r in got.collect()}
+    assert rows == {1: ("complete", 1000, 9000, 2), 2: ("rejected", 1000, None, 1), 3: ("rejected", None, None, 0), 4: ("rejected", None, 5000, 0), 5: ("open", 1000, None, 1), 6: ("rejected", None, None, 0)}
+
+
+def test_an_append_that_is_cut_off_repeats_nothing(spark, tmp_path):
+    """Killed after its files were written and before the batch was committed; killed before the sink named them."""
+    source = stream(spark, tmp_path, [[(1, at(0), 0, "a")], [(2, at(1), 1, "b")]], TOKENS)
+    log, checkpoint = tmp_path / "log", tmp_path / "checkpoint"
+    attempts.append(source, str(log), str(checkpoint))
+    for f in (checkpoint / "commits").glob("*1*"):  # 1 and .1.crc
+        f.unlink()
+    attempts.append(source, str(log), str(checkpoint))
+    read = lambda: sorted(r.key for r in spark.read.json(str(log)).collect())
+    assert read() == [1, 2]
+    for f in [*(checkpoint / "commits").glob("*1*"), *(log / "_spark_metadata").glob("*1*")]:
+        f.unlink()
+    attempts.append(source, str(log), str(checkpoint))
+    assert read() == [1, 2] and len(list(log.glob("*.json"))) > 2
