@@ -224,7 +224,7 @@ def sampling_runs(spark, sf_dir):
 
     known = e.results(spark, sf_dir).where("model = 'm_sub' and pass = 1 and status = 'success' and sample_id % 3 <> 0").select("sample_id").distinct()
     fresh = e.samples(spark, sf_dir).select("sample_id", "difficulty").join(known, "sample_id", "left_anti")
-    return audit.seeded_subset(fresh, "sample_id", 40, 7)
+    return audit.seeded_subset(fresh, "sample_id", min(40, fresh.count()), 7)
 
 
 _RUNS = f"""{P}, runs as (select model as condition, pass, count(*) as recorded, count(*) + 5 * (max(pass) = 2)::int as expected, count(*) filter (status = 'error') as failed from results where model <> 'm_drop' or pass < 3 group by model, pass),
