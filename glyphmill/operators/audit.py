@@ -99,8 +99,8 @@ def _alike(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return compared
 
 
-def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9, min_words: int = 12) -> DataFrame:
-    """Pairs of texts of ``min_words`` or more in different splits, alike once numbers are masked: all that a comparison of all finds.
+def _near_texts(df: DataFrame, key: str, text: str, split: str, threshold: float, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (k, s, h) and pairs of classes (left_h, right_h, ratio) of texts of ``min_words`` or more that are alike once numbers are masked.
 
     Equal masked texts are one class with ratio 1, so only distinct ones are compared, block against block, with
     those whose length allows the ratio: lengths of a pair are in the same or adjoining classes. In a block a pair is
@@ -129,8 +129,23 @@ def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: f
     dealt = placed.select("h", "t", "lo", "hi", F.explode(cells).alias("x")).select("h", "t", "lo", "hi", "x.*")
     found = dealt.groupBy("c", "i", "d", "j").applyInPandas(_alike(threshold), "left_h string, right_h string, ratio double")
     equal = texts.where("lo <> hi").select(F.col("h").alias("left_h"), F.col("h").alias("right_h"), F.lit(1.0).alias("ratio"))
+    return rows.select("k", "s", "h"), found.union(equal)
+
+
+def near_text_links(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9, min_words: int = 12) -> DataFrame:
+    """left_id, right_id, ratio, left_n and right_n: classes of equal masked texts, by their least keys, that are alike
+    and lie in different splits, and their rows. A class in several splits is linked to itself. Copies add no links."""
+    rows, found = _near_texts(df, key, text, split, threshold, min_words)
+    classes = checkpointed(rows.groupBy("h").agg(F.min("k").alias("id"), F.count(F.lit(1)).alias("n")))
+    left, right = (classes.select(F.col("h").alias(f"{x}_h"), F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n")) for x in ("left", "right"))
+    return found.join(left, "left_h").join(right, "right_h").where("left_id <= right_id").select("left_id", "right_id", "ratio", "left_n", "right_n")
+
+
+def near_text_pairs(df: DataFrame, key: str, text: str, split: str, threshold: float = 0.9, min_words: int = 12) -> DataFrame:
+    """All pairs of rows with such texts in different splits: links written out, as many rows as there are pairs."""
+    rows, found = _near_texts(df, key, text, split, threshold, min_words)
     left, right = (rows.select(F.col("h").alias(f"{x}_h"), F.col("k").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")) for x in ("left", "right"))
-    return found.union(equal).join(left, "left_h").join(right, "right_h").where("left_id < right_id and left_s <> right_s").select("left_id", "right_id", "ratio")
+    return found.join(left, "left_h").join(right, "right_h").where("left_id < right_id and left_s <> right_s").select("left_id", "right_id", "ratio")
 
 
 def seeded_subset(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -68,6 +69,14 @@ def duplicate_components(spark, sf_dir):
     return found.join(shared, "component").select(F.col("key").alias("node"), "component")
 
 
+def near_text_links(spark, sf_dir):
+    """Every item, and four copies that differ by a number, by turns in the one split and the other."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    copies = [b.select(F.col("item_id") + i * 10_000_001, F.concat(F.lit(f"Item {i}.5: "), "text")) for i in range(1, 5)]
+    b = reduce(lambda x, y: x.union(y), copies, b).withColumn("split", F.when(F.col("item_id") % 2 == 0, "train").otherwise("test"))
+    return _round(audit.near_text_links(b, "item_id", "text", "split"))
+
+
 def near_text_pairs(spark, sf_dir):
     b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     b = b.union(b.select(F.col("item_id") + 10_000_001, F.concat(F.lit("Item 7.5: "), "text"))).withColumn("split", F.when(F.col("item_id") % 2 == 0, "train").otherwise("test"))
@@ -135,6 +144,7 @@ QUERIES = {
     "split_overlap": (split_overlap, "select md5(text) as digest, string_agg(distinct s, ',' order by s) as splits, count(distinct s) as n_splits from (select text, case doc_id % 10 when 0 then 'train' when 1 then 'validation' else 'test' end as s from documents) group by 1 having count(distinct s) > 1"),
     "hamming_lsh_pairs": (hamming_lsh_pairs, f"with {_PAIRS} select * from p"),
     "duplicate_components": (duplicate_components, f"with recursive {_PAIRS}, q as (select left_id as u, right_id as v from p union all select right_id, left_id from p), r as (select u, u as v from q union select r.u, q.v from r join q on q.u = r.v) select u as node, min(v) as component from r group by u"),
+    "near_text_links": (near_text_links, None),
     "near_text_pairs": (near_text_pairs, None),
     "seeded_subset": (seeded_subset, f"{P} select sample_id, difficulty from samples order by md5('42|' || sample_id), sample_id limit 50"),
     "stratified_round_robin": (stratified_round_robin, f"{P} select sample_id, difficulty, turn::integer as turn from (select sample_id, difficulty, row_number() over (partition by difficulty order by md5('42|' || sample_id), sample_id) as turn from samples) order by turn, difficulty limit 30"),

@@ -172,3 +172,33 @@ def test_values_of_hot_groups(spark, monkeypatch, small):
     assert {(r.g, r.least, r.n) for r in got} == {(1, 0, 500), (None, 3, 2), (2, None, 1)} and len(got) == 503
     sums = {(r.g, r.v): r.s for r in running.running_sums(df, ["g"], ["v"], {"s": F.coalesce("v", F.lit(0))}).collect()}
     assert all(sums[1, i] == i * (i + 1) // 2 for i in range(500)) and sums[None, 7] == 10 and sums[None, 3] == 3
+
+
+def test_near_text_links_of_copies(spark):
+    """Two hundred copies in two splits, and a near text, are two classes and two links."""
+    base = "on page {} of the long report we read of rivers and of towns along their banks in spring"
+    rows = [(i, base.format(i), "train" if i % 2 else "test") for i in range(200)] + [(500, base.format(3) + " x", "test"), (501, "nothing like it " * 5, "test"), (502, None, "test")]
+    got = audit.near_text_links(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split").collect()
+    assert sorted((r.left_id, r.right_id, r.left_n, r.right_n) for r in got) == [(0, 0, 200, 200), (0, 500, 200, 1)]
+    assert all(r.ratio >= 0.9 for r in got)
+
+
+def test_near_text_links_are_the_pairs_of_classes(spark):
+    import difflib
+    import re
+
+    r = random.Random(8)
+    base = [" ".join(r.choice("river town bridge hall spring report page road field".split()) for _ in range(16)) for _ in range(6)]
+    texts = [(b + f" {r.randrange(99)}" if r.random() < 0.5 else b.replace("river", r.choice(["river", "rivers"]))) for b in base for _ in range(6)]
+    rows = [(i, t, r.choice(["train", "test"])) for i, t in enumerate(texts)]
+    mask = {i: re.sub(r"\d+(?:\.\d+)?", "<number>", t.lower()) for i, t, _ in rows}
+    members = {}
+    for i, _, s in rows:
+        members.setdefault(mask[i], []).append((i, s))
+    want = set()
+    for a, x in members.items():
+        for b, y in members.items():
+            if x[0][0] <= y[0][0] and any(s != u for _, s in x for _, u in y) and difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9:
+                want.add((x[0][0], y[0][0], len(x), len(y)))
+    got = audit.near_text_links(spark.createDataFrame(rows, "id long, text string, split string"), "id", "text", "split").collect()
+    assert {(g.left_id, g.right_id, g.left_n, g.right_n) for g in got} == want and len(got) == len(want) > 5
