@@ -26,9 +26,13 @@ def retry_classes(spark, sf_dir):
 
 
 def layered_settings(spark, sf_dir):
-    g = e.models(spark).select("model", F.create_map(F.lit("temperature"), F.lit("0"), F.lit("tokens"), F.lit("512")).alias("options"))
-    s = spark.createDataFrame([("m_sub", {"tokens": "64", "seed": "1"}), ("m_gone", {"x": "y"})], "model string, options map<string,string>")
-    return policies.settings(g, s).select("model", F.explode("options").alias("option", "value"))
+    """Suppliers as models: two options each, and for one in three a condition that changes one of them and adds another."""
+    k = F.col("s_suppkey")
+    m = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k, F.col("s_name").alias("model"), F.col("s_nationkey").cast("string").alias("n"))
+    g = m.select("model", F.create_map(F.lit("temperature"), "n", F.lit("tokens"), F.lit("512")).alias("options"))
+    s = m.where(k % 3 == 0).select("model", F.create_map(F.lit("tokens"), k.cast("string"), F.lit("seed"), F.lit("1")).alias("options"))
+    gone = m.where(k % 10 == 1).select(F.concat(F.lit("gone "), "model").alias("model"), F.create_map(F.lit("x"), F.lit("y")).alias("options"))
+    return policies.settings(g, s.union(gone)).select("model", F.explode("options").alias("option", "value"))
 
 
 def pixel_filter(spark, sf_dir):
@@ -58,7 +62,8 @@ QUERIES = {
         select model, track, case when model = 'm_sub' and track <> 'prose' or model in ('m_drop', 'm_other') and track = 'equation' then 'model_does_not_support_task' end as reason from c cross join t"""),
     "selector_parse": (selector_parse, "select s_suppkey, case when s_suppkey % 2 = 0 then 'api' else 'local' end as provider, s_name as model from supplier"),
     "retry_classes": (retry_classes, "select event_type, case when event_id % 6 in (2, 4, 5) then 'retry' when event_id % 6 = 1 and event_id % 4 = 1 then 'wait' else 'permanent' end as outcome, count(*) as n from events group by all"),
-    "layered_settings": (layered_settings, "select * from (values ('m_exact', 'temperature', '0'), ('m_exact', 'tokens', '512'), ('m_drop', 'temperature', '0'), ('m_drop', 'tokens', '512'), ('m_sub', 'temperature', '0'), ('m_sub', 'tokens', '64'), ('m_sub', 'seed', '1')) v(model, option, value)"),
+    "layered_settings": (layered_settings, """select s_name as model, 'temperature' as option, s_nationkey::varchar as value from supplier union all
+        select s_name, 'tokens', case when s_suppkey % 3 = 0 then s_suppkey::varchar else '512' end from supplier union all select s_name, 'seed', '1' from supplier where s_suppkey % 3 = 0"""),
     "pixel_filter": (pixel_filter, "select p_partkey, p_size as w, (p_partkey % 60)::int as h, p_size::bigint * (p_partkey % 60) as pixels, p_size::bigint * (p_partkey % 60) >= 500 as kept from part"),
     "cache_keys": (cache_keys, f"{P} select model, pass, sample_id, case when cache_hit then 'repeated_measurement' when output_tokens is null then 'missing_output_tokens' end as bypass, case when not cache_hit and output_tokens is not null then sha256(concat_ws('|', model, sha256(reference), output_tokens)) end as key from results"),
     "unique_labels": (unique_labels, "select c_custkey, case when n = 1 then c_mktsegment else c_mktsegment || '-' || n end as unique_label from (select *, row_number() over (partition by c_mktsegment order by c_custkey) as n from customer)"),
