@@ -10,7 +10,7 @@ from glyphmill.functions import equations
 from glyphmill.plans.cut import shared_folder
 from glyphmill.plans.scores import _round
 from glyphmill.sources import readers, sinks
-from glyphmill.streaming import attempts
+from glyphmill.streaming import attempts, ordered
 
 
 def _folder(spark) -> str:
@@ -22,7 +22,7 @@ def stream_attempt_pairing(spark, sf_dir):
 
 
 def stream_window_latency(spark, sf_dir):
-    return _round(attempts.drained(attempts.windows(attempts.log(spark, sf_dir)), "complete", _folder(spark)))
+    return _round(ordered.drained(attempts.windows(attempts.log(spark, sf_dir)), _folder(spark), ("start",)))
 
 
 def stream_dedup(spark, sf_dir):

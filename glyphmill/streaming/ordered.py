@@ -108,8 +108,8 @@ def folded(events: DataFrame, fold: Fold, state: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(statefulProcessor=fold, outputStructType=output, outputMode="Update", timeMode="eventTime")
 
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """The last state of every key, once a stream has given all that it has; updates are kept as files."""
+def drained(stream: DataFrame, folder: str, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The last row of every key, once a stream has given all that it has; updates are kept as files."""
     spark = stream.sparkSession
     before = {k: spark.conf.get(k, None) for k in STORE}
 
@@ -125,5 +125,5 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema), "batch long"])
     rows = spark.read.schema(schema).parquet(f"{folder}/out/*")
-    names = [f.name for f in stream.schema if f.name != "key"]
-    return rows.groupBy("key").agg(F.max_by(F.struct(*names), "batch").alias("x")).select("key", "x.*")
+    names = [f.name for f in stream.schema if f.name not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("x")).select(*keys, "x.*")

@@ -119,3 +119,12 @@ def test_an_append_that_is_cut_off_repeats_nothing(spark, tmp_path):
         f.unlink()
     attempts.append(source, str(log), str(checkpoint))
     assert read() == [1, 2] and len(list(log.glob("*.json"))) > 2
+
+
+def test_windows_leave_the_store(spark, tmp_path):
+    """Windows behind the watermark take no more events, and what they had stays the result."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    row = lambda i, seconds, value: (i, at(seconds), 1, "error" if i == 2 else "view", value, None)
+    events = stream(spark, tmp_path, [[row(1, 0, 1.0), row(2, 60, 3.0)], [row(3, 20_000, 5.0)], [row(5, 20_100, 7.0)], [row(4, 100, 7.0)]], schema)
+    got = ordered.drained(attempts.windows(events), str(tmp_path / "out"), ("start",))
+    assert sorted((r.n, r.errors, r.mean_latency) for r in got.collect()) == [(2, 0, 6.0), (2, 1, 2.0)]
