@@ -74,6 +74,30 @@ def test_edit_steps(monkeypatch):
         assert len(steps) - steps.count("i") == len(a) and len(steps) - steps.count("d") == len(b)
 
 
+def test_pairs_without_a_table(monkeypatch):
+    """Replacements alone, and parts left out on one side, cost no cost rows."""
+    monkeypatch.setattr(t, "_rows", None)
+    a = "the sea, the tent and the theme " * 40
+    for b in (a.replace("e", "c"), a.replace(" the ", " "), "x " + a + " x", ""):
+        for left, right in ((a, b), (b, a)):
+            steps = t.edit_steps(left, right)
+            assert len(steps) - steps.count("=") == t.edit_distance(left, right)
+            assert len(steps) - steps.count("i") == len(left) and len(steps) - steps.count("d") == len(right)
+            assert t.edit_distance(left.split(), right.split()) <= t.edit_distance(left, right)
+
+
+def test_edits_of_all_kinds(monkeypatch):
+    monkeypatch.setattr(t, "STRIDE", 3)
+    r = random.Random(7)
+    for k in range(400):
+        a = "".join(r.choice("abc") for _ in range(r.randrange(12)))
+        b = ["".join(c for c in a if r.random() < 0.7), a.replace("a", "x"), a.replace("a", "bb"), a[3:] + a[:3]][k % 4]
+        for left, right in ((a, b), (b, a)):
+            assert t.edit_distance(left, right) == distance(left, right) == t.edit_distance(list(left), list(right))
+            if len(left) < 7 and len(right) < 7:
+                assert t.edit_steps(left, right) == preferred(left, right)
+
+
 def test_alignment_cap(spark):
     long = "x" * 600
     got = spark.createDataFrame([("ab", "ac"), (long, long + "y"), (None, "a")], "r string, p string").select(t.edit_alignment("r", "p").alias("a")).collect()
