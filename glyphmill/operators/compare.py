@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
 from glyphmill.operators.summary import with_measures
+from glyphmill.plans.cut import checkpointed
 
 
 def merge_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -20,7 +21,8 @@ def merge_runs(runs: dict[str, DataFrame]) -> DataFrame:
 def contingency(scored: DataFrame, planned: DataFrame, left: str, right: str, by: list[str]) -> DataFrame:
     """By ``by``, how often both, one or none of two models is exactly right on (by, sample_id), and where one has no result."""
     key = [*by, "sample_id"]
-    side = lambda m, c: scored.where(F.col("model") == m).select(*key, F.col("exact_match").alias(c))
+    found = checkpointed(scored.where(F.col("model").isin(left, right)).select("model", *key, "exact_match"))  # no texts; measured once for both sides
+    side = lambda m, c: found.where(F.col("model") == m).select(*key, F.col("exact_match").alias(c))
     both = planned.select(*key).join(side(left, "l"), key, "left").join(side(right, "r"), key, "left")
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     a, b = F.col("l"), F.col("r")

@@ -73,7 +73,8 @@ def merge_runs(spark, sf_dir):
 
 
 def paired_contingency(spark, sf_dir):
-    return compare.contingency(_one(spark, sf_dir), e.samples(spark, sf_dir).crossJoin(e.passes(spark)), "m_exact", "m_drop", ["pass"])
+    one = scoring.scored(e.results(spark, sf_dir).where("model in ('m_exact', 'm_drop')"))
+    return compare.contingency(one, e.samples(spark, sf_dir).crossJoin(e.passes(spark)), "m_exact", "m_drop", ["pass"])
 
 
 _TWICE = "(conv_id * 1000 + turn + 3) % 29 <> 0 and (conv_id * 1000 + turn + 6) % 29 <> 0"
