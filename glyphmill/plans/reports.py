@@ -82,8 +82,8 @@ _TWICE = "(conv_id * 1000 + turn + 3) % 29 <> 0 and (conv_id * 1000 + turn + 6)
 
 def suite_variability(spark, sf_dir):
     s, m, p, r = _all(spark, sf_dir)
-    s = s.where(_TWICE.replace("conv_id * 1000 + turn", "sample_id"))  # passes 1 and 2 have all of these samples, pass 3 hasn't
-    return _round(compare.variability(scoring.pass_table(scoring.cells(s, m, p, r.join(s.select("sample_id"), "sample_id", "left_semi")))))
+    twice = _TWICE.replace("conv_id * 1000 + turn", "sample_id")  # passes 1 and 2 have all of these samples, pass 3 hasn't
+    return _round(compare.variability(scoring.pass_table(scoring.cells(s.where(twice), m, p, r.where(twice)))))
 
 
 def condition_pairs(spark, sf_dir):

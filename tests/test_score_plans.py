@@ -18,3 +18,11 @@ def test_contingency_of_known_results(spark):
     planned = spark.createDataFrame([(p, s) for p in (1, 2) for s in "xyz"], "pass int, sample_id string")
     got = {r["pass"]: tuple(r)[1:] for r in compare.contingency(scored, planned, "a", "b", ["pass"]).collect()}
     assert got == {1: (1, 1, 0, 0, 1), 2: (0, 0, 0, 0, 3)}
+
+
+def test_suite_is_dealt_out(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES["suite_variability"](spark, sf))  # not the exchange of a join, which is gathered by bytes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
