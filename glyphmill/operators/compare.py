@@ -37,7 +37,7 @@ def variability(per_pass: DataFrame) -> DataFrame:
 
 def condition_pairs(per_pass: DataFrame) -> DataFrame:
     """Differences of CER between models on the passes that both completed."""
-    done = per_pass.where("missing_count < eligible_sample_count").select("track", "model", "pass", "corpus_cer")
+    done = checkpointed(per_pass.where("missing_count < eligible_sample_count").select("track", "model", "pass", "corpus_cer"))  # a few rows; joined to itself
     a, b = done.withColumnsRenamed({"model": "left_model", "corpus_cer": "l"}), done.withColumnsRenamed({"model": "right_model", "corpus_cer": "r"})
     return a.join(b, ["track", "pass"]).where("left_model < right_model").groupBy("track", "left_model", "right_model").agg(F.count(F.lit(1)).alias("passes"), F.avg(F.col("r") - F.col("l")).alias("mean_difference"))
 

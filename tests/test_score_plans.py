@@ -26,3 +26,7 @@ def test_suite_is_dealt_out(spark, sf):
         assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES["suite_variability"](spark, sf))  # not the exchange of a join, which is gathered by bytes
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_condition_pairs_measures_once(spark, sf):
+    assert "collect_list(" not in plan(catalog.QUERIES["condition_pairs"](spark, sf))
