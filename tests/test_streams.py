@@ -52,6 +52,19 @@ def test_states_do_not_depend_on_batches(spark, tmp_path):
         assert states(got) == want
 
 
+def test_keys_of_a_group(spark, tmp_path, monkeypatch):
+    """Many keys share a value of the store and a timer; large ids stay whole beside a null one."""
+    monkeypatch.setattr(ordered, "GROUPS", 1)
+    r = random.Random(2)
+    keys = [None, *(2**60 + i for i in range(5))]
+    rows = [(r.choice(keys), at(i * 10), i, r.choice(["retryable", "wait", "wait", "success"])) for i in range(60)]
+    got = ordered.drained(machine.results(stream(spark, tmp_path, [rows[:20], rows[20:40], rows[40:]], ATTEMPT), late="60 seconds"), str(tmp_path / "out"))
+    want = []
+    for k in keys:
+        want.append((k, *machine._advance(machine.START, [(n, o) for x, _, n, o in rows if x == k])))
+    assert sorted(map(repr, (tuple(x) for x in got.select("key", "state", "attempts", "at").collect()))) == sorted(map(repr, want))
+
+
 def test_finished_keys_leave_the_store(spark, tmp_path):
     """What comes after a key was forgotten starts anew; what comes while it is known changes nothing."""
     batches = [[(1, at(0), 0, "success"), (2, at(0), 1, "success")], [(3, at(50), 2, "wait")], [(2, at(60), 3, "permanent")], [(3, at(1000), 4, "wait")], [(3, at(1001), 5, "wait")], [(1, at(1002), 6, "permanent")]]
