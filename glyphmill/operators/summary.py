@@ -39,7 +39,7 @@ def _common(measured: DataFrame, by: list[str]) -> DataFrame:
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias("sample_count"), _n(F.col("m").isNotNull()).alias("scored_sample_count"),
         _n(F.col("status") == "success").alias("success_count"), _n(F.col("status") != "success").alias("failed_count"),
-        _n((F.col("status") == "success") & (t.normalize_text(F.coalesce("prediction", F.lit(""))) == "")).alias("empty_count"),
+        _n((F.col("status") == "success") & ~t.has_text(F.coalesce("prediction", F.lit("")))).alias("empty_count"),
         _n(F.col("truncated")).alias("truncated_count"), _n(F.col("cache_hit")).alias("cache_hit_count"),
         F.sum("m.char_edits").alias("char_edits"), F.sum("m.reference_chars").alias("reference_chars"),
         F.sum("m.word_edits").alias("word_edits"), F.sum("m.reference_words").alias("reference_words"),

@@ -1,6 +1,8 @@
 """Plans of queries over scores: what is measured is measured once and dealt out."""
 
-from glyphmill.operators import compare
+import pytest
+
+from glyphmill.operators import compare, scoring
 from glyphmill.plans import catalog
 
 
@@ -30,3 +32,9 @@ def test_suite_is_dealt_out(spark, sf):
 
 def test_condition_pairs_measures_once(spark, sf):
     assert "collect_list(" not in plan(catalog.QUERIES["condition_pairs"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["winner"])
+def test_texts_are_normalised_inside_the_step(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(scoring, "checkpointed", lambda df: df)
+    assert "regexp_replace(" not in plan(catalog.QUERIES[name](spark, sf))  # ten times a pair before, most of the step's time

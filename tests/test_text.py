@@ -55,6 +55,21 @@ def test_distances_against_an_independent_one(spark):
         assert x.m.word_edits == distance(x.r.split(), x.p.split())
 
 
+def test_white_space_is_the_same_inside_the_step(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
+    rows = spark.createDataFrame([(chr(c), f"{chr(c)}a{chr(c)}b ") for c in codes], "c string, x string")
+    got = rows.select("c", "x", t.normalize_text(F.col("x")).alias("n"), t.has_text(F.col("c")).alias("h")).collect()
+    assert [r.c for r in got if " ".join(r.x.split()) != r.n or r.h == r.c.isspace()] == []
+
+
+def test_sizes_and_missing_texts(spark):
+    rows = [("a  bc\u2003d ", None), ("", "x"), (None, "x"), (" \n", " "), ("a b", "a\tb"), ("a b", "ab")]
+    got = spark.createDataFrame(rows, "r string, p string").select(t.sizes("r").alias("n"), t.edits("r", "p").alias("e"), t.has_text(F.col("r")).alias("h")).collect()
+    assert [tuple(x.n) for x in got] == [(6, 3), (0, 0), (None, None), (0, 0), (3, 2), (3, 2)]
+    assert [tuple(x.e) for x in got] == [(None, None, 6, 3, None), (1, 1, 0, 0, False), (None,) * 5, (0, 0, 0, 0, True), (0, 0, 3, 2, True), (1, 2, 3, 2, False)]
+    assert [x.h for x in got] == [True, False, None, False, True, True]
+
+
 def test_word_codes_beyond_two_bytes(spark):
     codes = spark.range(1).select(*[F.length(F.decode(F.unhex(F.lit(f"{c:08X}")), "UTF-32")).alias(f"c{c}") for c in (0x100, 0xD7FF, 0xE000, 0x10000, 0x10FFFF)]).first()
     assert set(codes) == {1}
