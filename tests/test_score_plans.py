@@ -38,3 +38,17 @@ def test_condition_pairs_measures_once(spark, sf):
 def test_texts_are_normalised_inside_the_step(spark, sf, name, monkeypatch):
     monkeypatch.setattr(scoring, "checkpointed", lambda df: df)
     assert "regexp_replace(" not in plan(catalog.QUERIES[name](spark, sf))  # ten times a pair before, most of the step's time
+
+
+def test_spine_measures_nothing(spark, sf):
+    assert "edits(" not in plan(catalog.QUERIES["result_spine"](spark, sf))
+
+
+def test_outcomes_are_those_of_cells(spark):
+    samples = spark.createDataFrame([(1, "a b", "prose", 1), (2, " \t", "word", 1), (3, None, "equation", 2), (4, "x", "equation", 2)], "sample_id int, reference string, content_type string, source_document int")
+    models, passes = spark.createDataFrame([("m", 0), ("n", 1)], "model string, ord int"), spark.createDataFrame([(1,), (2,)], "pass int")
+    said = [(1, "success", "a"), (1, "error", None), (2, "success", "x"), (3, "success", "x"), (4, "success", None), (4, "unsupported", None), (1, "success", "a"), (4, None, "x"), (9, "success", "x")]
+    results = spark.createDataFrame([("m", 1 + i % 2, k, r, s, p, False, 1.0) for i, (k, s, p) in enumerate(said) for r in [{1: "a b", 2: " \t", 4: "x", 9: "y"}.get(k)]], "model string, pass int, sample_id int, reference string, status string, prediction string, cache_hit boolean, latency_seconds double")
+    want = scoring.cells(samples, models, passes, results).select("track", "model", "pass", "sample_id", "outcome").collect()
+    got = scoring.outcomes(samples, models, passes, results).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.outcome for r in got} == {"success", "failed", "missing", "unsupported"}
