@@ -34,7 +34,7 @@ def test_condition_pairs_measures_once(spark, sf):
     assert "collect_list(" not in plan(catalog.QUERIES["condition_pairs"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["winner", "accuracy_bands", "difficult_examples", "worst_n", "subgroup_report", "summary_by_model", "winner_gates", "threshold_sweep"])
+@pytest.mark.parametrize("name", ["winner", "accuracy_bands", "difficult_examples", "worst_n", "subgroup_report", "summary_by_model", "winner_gates", "threshold_sweep", "raw_accuracy_rank"])
 def test_texts_are_normalised_inside_the_step(spark, sf, name, monkeypatch):
     monkeypatch.setattr(scoring, "checkpointed", lambda df: df)
     assert "regexp_replace(" not in plan(catalog.QUERIES[name](spark, sf))  # ten times a pair before, most of the step's time
