@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
-from glyphmill.operators.scoring import spread
+from glyphmill.operators.scoring import measured
 
 
 def number(value: Column) -> Column:
@@ -23,15 +23,9 @@ def _ratio(part: str, whole: str) -> Column:
 
 
 def with_measures(results: DataFrame) -> DataFrame:
-    """results with ``m``, the measures of those that succeeded. Equal predictions for a sample are measured once."""
-    ok = F.coalesce((F.col("status") == "success") & F.col("prediction").isNotNull(), F.lit(False))
-    text = ["sample_id", "reference", "prediction"]
-    rest = [c for c in results.columns if c not in text]
-    m = t.score(F.col("prediction"), F.col("reference"), raw=False)
-    pairs = spread(results.where(ok)).groupBy(*text).agg(F.collect_list(F.struct(*rest)).alias("of"))
-    each = F.flatten(F.transform(F.array(m), lambda y: F.transform("of", lambda x: F.struct(x.alias("x"), y.alias("m")))))
-    measured = pairs.select(*text, F.explode(each).alias("z")).select(*text, "z.x.*", "z.m")
-    return measured.unionByName(results.where(~ok).withColumn("m", F.lit(None).cast(measured.schema["m"].dataType)))
+    """results with ``m``, the measures of those that succeeded, null for the others. See ``scoring.scored`` on how they should lie."""
+    ok = (F.col("status") == "success") & F.col("prediction").isNotNull()
+    return measured(results, t.score(F.col("prediction"), F.when(ok, F.col("reference")), raw=False))
 
 
 def _common(measured: DataFrame, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import identity, rollup, scoring
 from glyphmill.plans import roster
-from glyphmill.plans.scores import SCORED, P, _round
+from glyphmill.plans.scores import SCORED, P, _dealt, _round
 from glyphmill.sources import evidence as e
 
 #: Results with repeated cells, unknown samples and models, passes out of plan and references that differ.
@@ -163,7 +163,7 @@ def actual_model(spark, sf_dir):
 
 
 def difficult_examples(spark, sf_dir):
-    r = scoring.scored(e.results(spark, sf_dir).where("status = 'success' and model <> 'm_exact'"))
+    r = scoring.scored(_dealt(spark, sf_dir).where("status = 'success' and model <> 'm_exact'"))
     r = r.select("model", "pass", "sample_id", (F.col("char_edits") / F.col("reference_chars")).alias("cer"))
     return _round(rollup.difficult_examples(r, ["model", "pass"]))
 
@@ -210,7 +210,7 @@ def track_status(spark, sf_dir):
 
 
 def paired_models(spark, sf_dir):
-    r = scoring.scored(e.results(spark, sf_dir).where("status = 'success'")).select("model", "pass", "sample_id", "exact_match", (F.col("char_edits") / F.col("reference_chars")).alias("cer"))
+    r = scoring.scored(_dealt(spark, sf_dir).where("status = 'success'")).select("model", "pass", "sample_id", "exact_match", (F.col("char_edits") / F.col("reference_chars")).alias("cer"))
     return _round(rollup.all_pairs(r.where("cer is not null"), ["sample_id", "pass"]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
 from glyphmill.operators import checks, compare, costs, quantiles, scoring, task_metrics
-from glyphmill.plans.scores import CELLS, SCORED, P, _all, _by_run, _cells, _round, norm
+from glyphmill.plans.scores import CELLS, SCORED, P, _all, _by_run, _cells, _dealt, _round, norm
 from glyphmill.sources import evidence as e
 
 RATES = costs.Rates(3.0, 15.0, 0.3)
@@ -18,7 +18,7 @@ def _docs(spark, sf_dir):
 
 
 def _one(spark, sf_dir):
-    return scoring.scored(e.results(spark, sf_dir))
+    return scoring.scored(_dealt(spark, sf_dir))
 
 
 def unit_cost(spark, sf_dir):
@@ -73,7 +73,7 @@ def merge_runs(spark, sf_dir):
 
 
 def paired_contingency(spark, sf_dir):
-    one = scoring.scored(e.results(spark, sf_dir).where("model in ('m_exact', 'm_drop')"))
+    one = scoring.scored(_dealt(spark, sf_dir).where("model in ('m_exact', 'm_drop')"))
     return compare.contingency(one, e.samples(spark, sf_dir).crossJoin(e.passes(spark)), "m_exact", "m_drop", ["pass"])
 
 
@@ -81,7 +81,7 @@ _TWICE = "(conv_id * 1000 + turn + 3) % 29 <> 0 and (conv_id * 1000 + turn + 6)
 
 
 def suite_variability(spark, sf_dir):
-    s, m, p, r = _all(spark, sf_dir)
+    s, m, p, r = e.samples(spark, sf_dir), e.models(spark), e.passes(spark), _dealt(spark, sf_dir)
     twice = _TWICE.replace("conv_id * 1000 + turn", "sample_id")  # passes 1 and 2 have all of these samples, pass 3 hasn't
     return _round(compare.variability(scoring.pass_table(scoring.cells(s.where(twice), m, p, r.where(twice)))))
 
@@ -104,7 +104,7 @@ def nearest_rank_p95(spark, sf_dir):
 
 
 def worst_n(spark, sf_dir):
-    return _round(compare.worst(_by_run(e.results(spark, sf_dir)), 25).drop("flags"))
+    return _round(compare.worst(_by_run(_dealt(spark, sf_dir)), 25).drop("flags"))
 
 
 def review_queue(spark, sf_dir):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from glyphmill.operators import audit, eligibility, neighbours, resample, scoring, splits
-from glyphmill.plans.scores import CELLS, SCORED, P, _cells, _round
+from glyphmill.plans.scores import CELLS, SCORED, P, _cells, _dealt, _round
 from glyphmill.sources import evidence as e
 
 _BIT = "'0x' || substr(md5({x}), 1, 8)"
@@ -101,7 +101,7 @@ def document_split(spark, sf_dir):
 
 
 def paired_difference(spark, sf_dir):
-    one = scoring.scored(e.results(spark, sf_dir).where("pass = 1"))
+    one = scoring.scored(_dealt(spark, sf_dir).where("pass = 1"))
     return _round(resample.paired_difference(one, "m_exact", "m_sub"))
 
 

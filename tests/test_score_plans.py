@@ -1,8 +1,10 @@
 """Plans of queries over scores: what is measured is measured once and dealt out."""
 
+import pandas as pd
 import pytest
 
-from glyphmill.operators import compare, scoring
+from glyphmill.functions import text as t
+from glyphmill.operators import compare, scoring, summary
 from glyphmill.plans import catalog
 
 
@@ -52,3 +54,29 @@ def test_outcomes_are_those_of_cells(spark):
     want = scoring.cells(samples, models, passes, results).select("track", "model", "pass", "sample_id", "outcome").collect()
     got = scoring.outcomes(samples, models, passes, results).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.outcome for r in got} == {"success", "failed", "missing", "unsupported"}
+
+
+@pytest.mark.parametrize("name", ["difficult_examples"])
+def test_texts_are_dealt_out_once(spark, sf, name, monkeypatch):
+    monkeypatch.setattr(scoring, "checkpointed", lambda df: df)
+    found = plan(catalog.QUERIES[name](spark, sf))
+    assert "collect_list(" not in found  # every prediction was dealt out with its reference and sorted into groups before
+    below = found[found.index("ArrowEvalPython [edits(") :]
+    assert below.index("BroadcastNestedLoopJoin") < below.index("REPARTITION_BY_NUM")  # samples are dealt out, results made of them there
+
+
+def test_equal_pairs_of_a_batch_are_measured_once(monkeypatch):
+    seen, counts = [], t._counts
+    monkeypatch.setattr(t, "_counts", lambda r, p: seen.append((r, p)) or counts(r, p))
+    r, p = pd.Series(["a b", "a b", None, "a b", None]), pd.Series(["a b", "a c", "x", "a c", "x"])
+    assert t.edits.func(r, p)["char_edits"].tolist() == [0, 1, pd.NA, 1, pd.NA]
+    assert len(seen) == 3
+
+
+def test_measures_of_odd_results(spark):
+    said = [("success", "a c"), ("success", None), (None, "a b"), ("error", "a b"), ("unsupported", None), ("success", " a  b "), ("success", "")]
+    rows = [(i, r, s, p) for i, (r, (s, p)) in enumerate((r, x) for r in ("a b", " \t", None) for x in said)]
+    results = spark.createDataFrame(rows, "sample_id int, reference string, status string, prediction string")
+    got = {x["sample_id"]: x["m"] and (x["m"]["char_edits"], x["m"]["word_edits"], x["m"]["exact_match"]) for x in summary.with_measures(results).collect()}
+    assert got == {i: {0: (1, 1, False), 5: (0, 0, True), 6: (3, 2, False)}.get(i) for i in range(len(rows))}
+    assert {x["sample_id"]: x["char_edits"] for x in scoring.scored(results).collect()} == {0: 1, 5: 0, 6: 3}
