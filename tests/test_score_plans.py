@@ -56,7 +56,7 @@ def test_outcomes_are_those_of_cells(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r.outcome for r in got} == {"success", "failed", "missing", "unsupported"}
 
 
-@pytest.mark.parametrize("name", ["difficult_examples", "worst_n", "subgroup_report", "summary_by_model", "winner_gates"])
+@pytest.mark.parametrize("name", ["difficult_examples", "worst_n", "subgroup_report", "summary_by_model", "winner_gates", "threshold_sweep"])
 def test_texts_are_dealt_out_once(spark, sf, name, monkeypatch):
     monkeypatch.setattr(scoring, "checkpointed", lambda df: df)
     found = plan(catalog.QUERIES[name](spark, sf))
