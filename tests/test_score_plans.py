@@ -1,5 +1,8 @@
 """Plans of queries over scores: what is measured is measured once and dealt out."""
 
+import itertools
+import random
+
 import pandas as pd
 import pytest
 
@@ -80,3 +83,42 @@ def test_measures_of_odd_results(spark):
     got = {x["sample_id"]: x["m"] and (x["m"]["char_edits"], x["m"]["word_edits"], x["m"]["exact_match"]) for x in summary.with_measures(results).collect()}
     assert got == {i: {0: (1, 1, False), 5: (0, 0, True), 6: (3, 2, False)}.get(i) for i in range(len(rows))}
     assert {x["sample_id"]: x["char_edits"] for x in scoring.scored(results).collect()} == {0: 1, 5: 0, 6: 3}
+
+
+def _table(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_counts_are_those_of_the_whole_table():
+    rng = random.Random(15)
+    texts = [rng.choice(["", " ", "\t"]) + rng.choice([" ", "  ", " \n"]).join(rng.choices(["a", "ab", "b", "ba", "é", "aa"], k=rng.randrange(9))) for _ in range(60)]
+    for r, p in itertools.product(texts, texts):
+        a, b = r.split(), p.split()
+        left, right = " ".join(a), " ".join(b)
+        assert t._counts(r, p) == (_table(left, right), _table(a, b), len(left), len(a), a == b)
+
+
+def test_words_left_out_need_no_comparison_of_characters(monkeypatch):
+    monkeypatch.setattr(t, "edit_distance", None)  # was called on the texts and on their words before
+    assert t._counts("the a  the b", " a b ") == (8, 2, 11, 4, False)
+    assert t._counts("a b", "b a b c") == (4, 2, 3, 2, False)
+    assert t._counts(" a b", "\n") == (3, 2, 3, 2, False)
+
+
+def test_reference_is_split_once_for_results_side_by_side():
+    class Text(str):
+        splits = 0
+
+        def split(self):
+            Text.splits += 1
+            return super().split()
+
+    r = Text("one reference of three predictions")
+    assert [t._counts(r, p)[1] for p in ("one reference", r, "two", "another reference of three predictions")] == [3, 0, 5, 1]
+    assert Text.splits == 1
