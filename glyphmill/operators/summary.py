@@ -76,8 +76,12 @@ def track_report(samples: DataFrame, models: DataFrame, results: DataFrame) -> D
 
 
 def subgroups(results: DataFrame, samples: DataFrame, fields: list[str]) -> DataFrame:
-    """One pass for all fields: a row for each field, value and model; unknown values are a group."""
-    joined = with_measures(results).join(samples.select("sample_id", *[F.coalesce(F.col(f).cast("string"), F.lit("Unknown")).alias(f) for f in fields]), "sample_id")
+    """One pass for all fields: a row for each field, value and model; unknown values are a group.
+
+    Fields are joined before texts are measured, where the results lie: a table of fields in each task, nothing sorted, nothing sent after measuring.
+    """
+    known = samples.select("sample_id", *[F.coalesce(F.col(f).cast("string"), F.lit("Unknown")).alias(f) for f in fields]).hint("shuffle_hash")
+    joined = with_measures(results.join(known, "sample_id"))
     facets = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("x")
     out = joined.select("model", "status", "m", "source_document", facets).groupBy("x.field", "x.value", "model").agg(
         F.count(F.lit(1)).alias("result_count"), _n(F.col("m").isNotNull()).alias("scored_count"), F.countDistinct("source_document").alias("document_count"),

@@ -122,3 +122,9 @@ def test_reference_is_split_once_for_results_side_by_side():
     r = Text("one reference of three predictions")
     assert [t._counts(r, p)[1] for p in ("one reference", r, "two", "another reference of three predictions")] == [3, 0, 5, 1]
     assert Text.splits == 1
+
+
+def test_subgroups_join_fields_before_measuring(spark, sf):
+    found = plan(catalog.QUERIES["subgroup_report"](spark, sf))
+    assert found.index("ArrowEvalPython [edits(") < found.index("ShuffledHashJoin")  # measured rows were sent and sorted for it before
+    assert "SortMergeJoin" not in found
