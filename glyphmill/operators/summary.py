@@ -48,8 +48,11 @@ def _common(measured: DataFrame, by: list[str]) -> DataFrame:
 def summarize(results: DataFrame, expected: DataFrame, models: DataFrame) -> DataFrame:
     """Corpus rates per model, ranked where every expected sample was done once without a failure."""
     out = models.select("model").join(_common(with_measures(results), ["model"]), "model", "full_outer")
-    out = out.crossJoin(F.broadcast(expected.agg(F.count(F.lit(1)).alias("expected_sample_count"))))
-    missing = F.broadcast(models.select("model")).crossJoin(expected.select("sample_id")).join(results.select("model", "sample_id").distinct(), ["model", "sample_id"], "left_anti").groupBy("model").agg(F.count(F.lit(1)).alias("missing_sample_count"))
+    n = expected.agg(F.count(F.lit(1)).alias("expected_sample_count"))
+    out = out.crossJoin(F.broadcast(n))
+    have = results.select("model", "sample_id").distinct().join(expected.select("sample_id"), "sample_id").groupBy("model").agg(F.count(F.lit(1)).alias("have"))  # by sample alone: results stay where they lie
+    lacking = F.col("expected_sample_count") - F.coalesce("have", F.lit(0))
+    missing = models.select("model").join(have, "model", "left").crossJoin(F.broadcast(n)).groupBy("model").agg(F.sum(lacking).alias("missing_sample_count"))
     out = out.join(missing, "model", "left").na.fill(0, ["missing_sample_count", "sample_count", "failed_count"])
     out = out.withColumn("complete", (F.col("failed_count") == 0) & (F.col("missing_sample_count") == 0) & (F.col("sample_count") == F.col("expected_sample_count")))
     out = out.withColumns({"failure_rate": _ratio("failed_count", "sample_count"), "mean_latency_seconds": _ratio("total_latency_seconds", "measured_latency_sample_count"), "samples_per_minute": F.try_divide(60.0 * F.col("measured_latency_sample_count"), F.col("total_latency_seconds"))})

@@ -128,3 +128,17 @@ def test_subgroups_join_fields_before_measuring(spark, sf):
     found = plan(catalog.QUERIES["subgroup_report"](spark, sf))
     assert found.index("ArrowEvalPython [edits(") < found.index("ShuffledHashJoin")  # measured rows were sent and sorted for it before
     assert "SortMergeJoin" not in found
+
+
+def test_summary_makes_no_cell_for_missing_samples(spark, sf):
+    assert "LeftAnti" not in plan(catalog.QUERIES["summary_by_model"](spark, sf))  # every model with every sample before
+
+
+def test_missing_samples_of_odd_results(spark):
+    said = [("m", 1), ("m", 1), ("m", 9), ("x", 1), (None, 2), ("n", None), ("n", 2), ("n", 3)]
+    columns = "model string, sample_id int, reference string, prediction string, status string, truncated boolean, cache_hit boolean, latency_seconds double, load_duration_seconds double"
+    results = spark.createDataFrame([(m, k, "a b", "a b", "success", False, False, 1.0, None) for m, k in said], columns)
+    expected = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "sample_id int")
+    models = spark.createDataFrame([("m",), ("n",), ("o",), (None,)], "model string")
+    got = sorted(((r.model or "", r.missing_sample_count) for r in summary.summarize(results, expected, models).collect()))
+    assert got == [("", 0), ("", 0), ("m", 4), ("n", 2), ("o", 5), ("x", 0)]
